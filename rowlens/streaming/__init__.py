@@ -1,0 +1,4 @@
+"""Inputs are bounded: a comparison has no unbounded form, so nothing here reads a stream.
+
+What the ``stream`` mode option asks for, a join that spills instead of holding a side in memory, is how Spark
+joins anyway; the option is accepted and changes nothing."""
