@@ -64,15 +64,17 @@ def list_files(path: str) -> tuple[list[str], str]:
     return files, root
 
 
-def _read(spark: SparkSession, files: list[str], ext: str, infer_rows: int, delimiter: str, text_columns: frozenset) -> tuple[DataFrame, list, list[str]]:
+def _read(spark: SparkSession, files: list[str], ext: str, infer_rows: int, delimiter: str, text_columns: frozenset, tag: bool = False) -> tuple[DataFrame, list, list[str]]:
+    """A table of files of one format, the raw text behind it, and warnings. tag: with each row's file."""
     if ext == ".parquet":
-        return formats.read_parquet(spark, files), [], []
+        return formats.read_parquet(spark, files, tag), [], []
     if ext in formats.JSON:
-        raw, kinds, warnings = formats.read_json(spark, files, infer_rows)
+        raw, kinds, warnings = formats.read_json(spark, files, infer_rows, tag)
         empty_is_text = False
     else:
-        raw, warnings, empty_is_text = formats.read_text(spark, files, formats.delimiter_of(delimiter, formats.TEXT[ext])), [], True
-        kinds = formats.infer(raw, raw.columns, infer_rows)
+        raw, warnings, empty_is_text = formats.read_text(spark, files, formats.delimiter_of(delimiter, formats.TEXT[ext]), tag), [], True
+        names = [c for c in raw.columns if c != formats.PATH]
+        kinds = formats.infer_by_file(raw, names) if tag else formats.infer(raw, names, infer_rows)
     kinds = {n: (("string", null) if n in text_columns else (kind, null)) for n, (kind, null) in kinds.items()}
     return formats.typed_columns(raw, kinds, empty_is_text), [(raw, kinds)], warnings
 
@@ -98,12 +100,12 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
-def with_partitions(df: DataFrame, values: list[tuple[str, dict]]) -> DataFrame:
-    """Partition values as text columns after the data's, in the order of their names."""
-    names = sorted({k for _, v in values for k in v})
+def with_partitions(df: DataFrame, names: list[str]) -> DataFrame:
+    """Partition values, verbatim, as text columns after the data's; taken from each row's file."""
     if clash := [n for n in names if n in df.columns]:
         raise DiffError(f"partition column {clash[0]!r} is also a column of the data")
-    return df.withColumns({n: F.regexp_extract("__path", f"[/]{re.escape(n)}=([^/]*)[/]", 1) for n in names}).withColumns({n: F.when(F.col("__path").contains(f"/{n}="), F.url_decode(quoted(n))) for n in names})
+    values = {n: F.url_decode(F.replace(F.regexp_extract(formats.PATH, f"/{re.escape(n)}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))) for n in names}
+    return df.withColumns({n: F.when(F.col(formats.PATH).contains(f"/{n}="), v) for n, v in values.items()}).drop(formats.PATH)
 
 
 def open_dataset(spark: SparkSession, path: str, infer_rows: int = 1000, delimiter: str = "", text_columns: frozenset = frozenset()) -> Dataset:
@@ -140,35 +142,16 @@ def open_dataset(spark: SparkSession, path: str, infer_rows: int = 1000, delimit
     for f in files:
         groups.setdefault(formats.extension(f), []).append(f)
     parts, raws, warnings = [], [], []
-    partitioned = any(v for _, v in values)
     for ext, some in groups.items():
         for batch in _same_schema(some, ext):
-            df, raw, warn = _read(spark, batch, ext, infer_rows, delimiter, text_columns)
-            if partitioned:
-                source = raw[0][0] if raw else df
-                df = _tagged(spark, batch, ext, infer_rows, delimiter, text_columns, source, df)
+            df, raw, warn = _read(spark, batch, ext, infer_rows, delimiter, text_columns, True)
             parts.append(df)
             raws += raw
             warnings += [f"{batch[0]}: {w}" for w in warn]
-    df = union_by_name(parts)
-    if partitioned:
-        df = with_partitions(df, values).drop("__path")
+    df = with_partitions(union_by_name(parts), sorted({k for _, v in values for k in v}))
     return Dataset(df, warnings, raws, again, values)
 
 
-def _tagged(spark, batch, ext, infer_rows, delimiter, text_columns, source, df) -> DataFrame:
-    """The table with each row's file."""
-    if ext == ".parquet":
-        cols = df.columns
-        return spark.read.parquet(*batch).select(*(quoted(c) for c in cols), F.col("_metadata.file_path").alias("__path"))
-    kinds = {f.name: f for f in df.schema.fields}
-    reader = source.select("*", F.input_file_name().alias("__path"))
-    types = formats.infer(source, source.columns, infer_rows)
-    types = {n: (("string", null) if n in text_columns else (kind, null)) for n, (kind, null) in types.items()}
-    typed = formats.typed_columns(reader, {n: types[n] for n in kinds}, ext in formats.TEXT)
-    return reader.select("__path", *(formats.value_as(quoted(n), types[n][0]).alias(n) if types[n][0] != "string" else (F.coalesce(quoted(n), F.lit("")) if ext in formats.TEXT else quoted(n)).alias(n) for n in typed.columns)).select(*typed.columns, "__path")
-
-
 def _same_schema(files: list[str], ext: str) -> list[list[str]]:
     """Files that can be read together: Parquet by footer schema, text by header."""
     groups: dict = {}

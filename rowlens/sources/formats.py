@@ -25,6 +25,8 @@ WORDS = r"(?i)^([+-]?inf(inity)?|nan)$"
 HEX_FLOAT = r"^[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+#: The column that holds a row's file where files are read together.
+PATH = "__path"
 LADDER = ("bool", "long", "double", "date", "timestamp")
 
 
@@ -92,8 +94,25 @@ def infer(df: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bo
     return out
 
 
+def infer_by_file(raw: DataFrame, names: list[str]) -> dict[str, tuple[str, bool]]:
+    """As :func:`infer`, file by file over all rows of a tagged table in one job, the files' kinds united."""
+    aggs = []
+    for i, n in enumerate(names):
+        full = quoted(n).isNotNull() & (quoted(n) != "")
+        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(~full | quoted(n).isNull()).alias(f"e{i}")] + [F.count_if(full & value_as(quoted(n), k).isNull()).alias(f"b{i}_{k}") for k in LADDER]
+    out: dict[str, tuple[str, bool]] = {}
+    for row in raw.groupBy(PATH).agg(*aggs).orderBy(PATH).collect():
+        for i, n in enumerate(names):
+            kind = next((k for k in LADDER if row[f"b{i}_{k}"] == 0), "string") if row[f"n{i}"] else "string"
+            was, null = out.get(n, (kind, False))
+            if was != kind and {was, kind} != {"long", "double"}:
+                raise DiffError(f"column {n!r} is {was} in one file and {kind} in another ({row[PATH]})")
+            out[n] = (kind if was == kind else "double", null or bool(row[f"e{i}"]))
+    return out
+
+
 def typed_columns(raw: DataFrame, kinds: dict[str, tuple[str, bool]], empty_is_text: bool) -> DataFrame:
-    cols = []
+    cols = [F.col(PATH)] if PATH in raw.columns else []
     for n, (kind, nullable) in kinds.items():
         c = quoted(n)
         value = (F.coalesce(c, F.lit("")) if empty_is_text else c) if kind == "string" else value_as(c, kind)
@@ -110,7 +129,7 @@ def contradictions(raw: DataFrame, kinds: dict[str, tuple[str, bool]]) -> set[st
     return {n for i, (n, _) in enumerate(some) if row[f"b{i}"]}
 
 
-def read_text(spark: SparkSession, paths: list[str], delimiter: str) -> DataFrame:
+def read_text(spark: SparkSession, paths: list[str], delimiter: str, tag: bool = False) -> DataFrame:
     """CSV as strings. A record of the wrong length fails the scan; quoted fields may span lines."""
     first = spark.read.text(paths[0]).limit(1).collect()
     if not first or not first[0][0].lstrip("\ufeff"):
@@ -123,7 +142,8 @@ def read_text(spark: SparkSession, paths: list[str], delimiter: str) -> DataFram
     if header is not None and len(set(header)) != len(header):
         raise DiffError(f"{paths[0]}: a column name stands twice in the header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in stripped])
-    return read.schema(schema).csv(paths)
+    df = read.schema(schema).csv(paths)
+    return df.select("*", F.col("_metadata.file_path").alias(PATH)) if tag else df
 
 
 def _header(line: str, delimiter: str) -> list[str] | None:
@@ -133,11 +153,11 @@ def _header(line: str, delimiter: str) -> list[str] | None:
     return next(csv.reader([line], delimiter=delimiter), None) if line.count('"') % 2 == 0 else None
 
 
-def read_json(spark: SparkSession, paths: list[str], rows: int) -> tuple[DataFrame, dict[str, tuple[str, bool]], list[str]]:
+def read_json(spark: SparkSession, paths: list[str], rows: int, tag: bool = False) -> tuple[DataFrame, dict[str, tuple[str, bool]], list[str]]:
     """NDJSON as strings under its sampled keys, their kinds, and warnings for nested columns."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines = spark.read.text(paths).where(F.trim("value") != "")
-    parsed = lines.select(F.try_parse_json("value").alias("v"), F.col("value").alias("line"))
+    path = [F.col("_metadata.file_path").alias(PATH)] if tag else []
+    parsed = spark.read.text(paths).where(F.trim("value") != "").select(F.try_parse_json("value").alias("v"), F.col("value").alias("line"), *path)
     some = parsed if rows < 0 else parsed.limit(rows or 1000)
     some.createOrReplaceTempView("__rowlens_lines")
     total, bad = spark.sql("select count(*), count_if(v is null or schema_of_variant(v) not like 'OBJECT%') from __rowlens_lines").first()
@@ -170,15 +190,15 @@ def read_json(spark: SparkSession, paths: list[str], rows: int) -> tuple[DataFra
         raise DiffError(f"{paths[0]}: no column can be compared")
     get = lambda k: F.try_variant_get("v", "$['" + k.replace("'", "\\'") + "']", "string")
     broken = F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("malformed JSON: "), F.substring("line", 1, 80))))
-    return parsed.select(*(F.coalesce(broken.cast("string"), get(k)).alias(k) for k in kinds)), kinds, warnings
+    return parsed.select(*(F.coalesce(broken.cast("string"), get(k)).alias(k) for k in kinds), *([PATH] if tag else [])), kinds, warnings
 
 
-def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_parquet(spark: SparkSession, paths: list[str], tag: bool = False) -> DataFrame:
     """Parquet with footers' nullability and physical types where the driver can read a footer."""
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     df = spark.read.parquet(*paths)
     meta = footer(paths[0])
-    cols = []
+    cols = [F.col("_metadata.file_path").alias(PATH)] if tag else []
     for f in df.schema.fields:
         c, m = quoted(f.name), meta.get(f.name)
         if m is None:
