@@ -142,7 +142,8 @@ def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best = None
-    for m in range(max(1, -(-bits // 32)), min(complete + 1, bits // 4) + 1):
+    narrow = -(-bits // 32)  # partitions of 32 bits at most
+    for m in range(narrow, max(narrow, min(complete + 1, bits // 4)) + 1):
         groups = group_bits(n, both, m)
         cost = np.zeros((m, most + 2))
         for i, g in enumerate(groups):
@@ -152,12 +153,12 @@ def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int
             for t in range(most + 1):
                 probes = sum(comb(len(g), j) for j in range(t + 1))
                 cost[i, t + 1] = n * probes * ROW_COST + n * n / 2 * dist[: t + 1].sum() * PAIR_COST * words * (2 if t else 1)
-        need = complete - m + 1 + m  # sum of T_i + 1
+        need = complete + 1  # the sum of T_i + 1
         table = np.full(need + 1, np.inf)
         table[0], picks = 0, []
         for i in range(m):
             new, pick = np.full(need + 1, np.inf), np.zeros(need + 1, int)
-            for t in range(min(most + 1, len(groups[i])) + 1):
+            for t in range(min(most + 1, len(groups[i]), need) + 1):
                 got = np.concatenate([np.full(t, np.inf), table[: need + 1 - t]]) + cost[i, t]
                 better = got < new
                 new[better], pick[better] = got[better], t
