@@ -299,6 +299,10 @@ def _stored() -> dict:
     counts_sql = _counts(_orders())[1]
     run_baseline = lambda s, d: stored.baseline(s, *_sides(s, d, _orders()))
     out = {"snapshot_diff_counts": (run_baseline, counts_sql)}
+    part = "SELECT * FROM ({}) WHERE o_orderkey % 200 {} 100"
+    half = _orders(right=f"{part.format(ORDERS, '>=')} UNION ALL {part.format(ORDERS_2, '<')}")
+    versions = lambda s, d: stored.delta_versions(s, *(_spark_sql(s, d, x) for x in (part.format(ORDERS, ">="), part.format(ORDERS, "<"), part.format(ORDERS_2, "<"))))
+    out["delta_version_diff"] = versions, _counts(half)[1]
     for name in ("csv", "ndjson", "parquet_partitioned"):
         out[f"diff_{name}_roundtrip"] = (lambda s, d, name=name: stored.round_trip(s, *_sides(s, d, _orders()), name), counts_sql)
     return out
