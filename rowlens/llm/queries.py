@@ -96,6 +96,15 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top <
   CASE WHEN top <> page_id THEN top END AS refers_to
 FROM r"""
 
+_SQL_REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+v AS (SELECT r, p, array_to_string(w[p:p + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+m AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM v) WHERE n > 1),
+g AS (SELECT DISTINCT r, p + j AS i FROM m, (SELECT unnest(range(0, 35)) AS j)),
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT r, count(*) AS kept, string_agg(word, ' ' ORDER BY i) AS line FROM x ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
 _SQL_MIX = f"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS h,
     len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
@@ -116,4 +125,4 @@ FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _sql_licenses(), "op3_warc_salvage": _SQL_WARC, "op7_source_mixing": _SQL_MIX}
+    return {"op1_license_scan": _sql_licenses(), "op3_warc_salvage": _SQL_WARC, "op4_substring_dedup": _SQL_REPEATS, "op7_source_mixing": _SQL_MIX}
