@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=3, widt
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def bits_for(similarity: float, bits: int, slack: float = 1.0) -> int:
+def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     """Differing bits expected of two sets of equal size with this Jaccard similarity, and ``slack`` standard deviations."""
     share = acos(2 * similarity / (1 + similarity)) / pi
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
