@@ -45,29 +45,36 @@ def budget(m: int, rate: float = RATE, q: int = Q) -> int:
     return k
 
 
-def align(pattern: bytes, region: bytes, diagonal: int, width: int, k: int) -> tuple[int, int] | None:
-    """Least edits of ``pattern`` against any part of ``region`` that starts in columns diagonal .. diagonal + width - 1
-    and stays in that band widened by k to each side, and the column after that part; None if above k."""
-    first, w = diagonal - k, width + 2 * k
-    n = len(region)
-    text = np.frombuffer(region, np.uint8)
-    columns = first + np.arange(w)
-    far = np.int64(1 << 30)
-    row = np.where((columns >= 0) & (columns <= n), 0, far)
-    steps = np.arange(w)
+def align(pattern: bytes, band: bytes, k: int) -> tuple[int, int] | None:
+    """Least edits of ``pattern`` against any part of ``band``, and the end of the first such part; None if above k.
+
+    Columns of the alignment are bit vectors of vertical steps (one bit for each pattern character), so a column
+    costs a few integer operations; only the columns of the band are computed, and as few as can still matter."""
+    m, n = len(pattern), len(band)
+    if m - n > k:
+        return None
+    rows: dict[int, int] = {}
     for i, c in enumerate(pattern):
-        at = columns + i  # the region's character that a step on each diagonal takes
-        ok = (at >= 0) & (at < n)
-        differs = np.where(ok, text[np.clip(at, 0, n - 1)] != c, True)
-        new = np.where(ok, row + differs, far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where((at + 1 >= 0) & (at + 1 <= n), new, far)
-        row = np.minimum.accumulate(new - steps) + steps
-        row = np.where((at + 1 >= 0) & (at + 1 <= n), row, far)
-        if row.min() > k:
-            return None
-    best = int(row.argmin())
-    return int(row[best]), int(columns[best] + len(pattern))
+        rows[c] = rows.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << m - 1
+    up, down, now = full, 0, m
+    best = (m, 0)
+    for j, c in enumerate(band):
+        same = rows.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | ~(across | up) & full, up & across
+        if rises & top:
+            now += 1
+        elif falls & top:
+            now -= 1
+            if now < best[0]:
+                best = now, j + 1
+        if now - (n - 1 - j) > k and best[0] > k:
+            return None  # each column takes one off at most
+        rises, falls = rises << 1 & full, falls << 1 & full
+        either = same | down
+        up, down = falls | ~(either | rises) & full, rises & either
+    return best if best[0] <= k else None
 
 
 class Items:
@@ -137,7 +144,7 @@ class Items:
         at = region.find(p)
         if at >= 0:
             return 0, a + at, a + at + m
-        got = _aligned(p, region, diagonal - a, 2 * k + 1, k) if region else None
+        got = _aligned(p, region, k)
         return (got[0], max(0, a + got[1] - m), a + got[1]) if got else None
 
 
