@@ -18,6 +18,8 @@ partition and order.
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import BLOCK_BYTES, BLOCK_ROWS, materialize, pack, slices, small_batches, unpack, utf8
+from rowlens.llm.common import BLOCK_BYTES, BLOCK_ROWS, materialize, slices, small_batches, utf8
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
+#: That tokenizer's pre-token pattern over lower-case ASCII (fixed by the tokenizer's file).
+ASCII_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -48,14 +52,50 @@ class Pieces:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.added = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
-
-    def pretokens(self, word: str) -> list[str]:
-        """A word between white space as its pre-tokens; whole where an added token stands in it."""
-        low = word.lower().encode()
-        if any(a in low for a in self.added):
-            return [word]
-        normal = self.tok.normalizer.normalize_str(word) if self.tok.normalizer else word
-        return [normal[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
+        self.marks = {a[:2] for a in self.added}
+        self.ascii = ASCII_PATTERN if os.path.basename(path) == MODEL else None
+
+    def pretokens(self, words: list[bytes]) -> list[tuple[bytes, ...]]:
+        """Words between white space as their pre-tokens; whole where an added token stands in one.
+
+        ASCII words are cut by the tokenizer's own pattern, others by the library, many at a time."""
+        out: list = [None] * len(words)
+        rest = []
+        whole = b" ".join(words).lower()
+        marked = any(m in whole for m in self.marks)
+        for i, w in enumerate(words):
+            low = w.lower()
+            if marked and any(m in low for m in self.marks) and any(a in w.decode("utf-8", "replace").lower().encode() for a in self.added):
+                out[i] = (w,)
+            elif self.ascii and w.isascii():
+                out[i] = tuple(self.ascii.findall(low))
+            else:
+                rest.append(i)
+        for a in range(0, len(rest), 1000):
+            some = rest[a : a + 1000]
+            line = self._normal(b" ".join(words[i] for i in some).decode("utf-8", "replace"))
+            parts = line.split(" ")
+            if len(parts) != len(some):  # a word holds white space of another kind
+                for i in some:
+                    word = self._normal(words[i].decode("utf-8", "replace"))
+                    out[i] = tuple(word[x:y].encode() for _, (x, y) in self.tok.pre_tokenizer.pre_tokenize_str(word))
+                continue
+            ends, at = [], -1
+            for p in parts:
+                at += len(p) + 1
+                ends.append(at)
+            of: list[list[bytes]] = [[] for _ in some]
+            k = 0
+            for _, (x, y) in self.tok.pre_tokenizer.pre_tokenize_str(line):
+                while x >= ends[k]:
+                    k += 1
+                of[k].append(line[x:y].encode())
+            for i, x in zip(some, of, strict=True):
+                out[i] = tuple(x)
+        return out
+
+    def _normal(self, text: str) -> str:
+        return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
 
     def count(self, pretokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tok.encode_batch_fast(pretokens, add_special_tokens=False)]
@@ -64,32 +104,52 @@ class Pieces:
 def frequencies(texts: list[bytes], keys_of) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of a block; for each, sorted: first entry, and the entries' documents and frequencies.
 
-    keys_of turns a word into its keys; it is called once for each distinct word."""
-    ids: dict = {}
-    made: dict[bytes, tuple] = {}
-    docs, keys, freqs = [], [], []
+    keys_of turns a list of words into their keys; it gets each distinct word once."""
+    ids: dict[bytes, int] = {}
+    docs, words, counts = [], [], []
     for d, t in enumerate(texts):
-        of: Counter = Counter()
-        for w, n in Counter(t.split()).items():
-            if (k := made.get(w)) is None:
-                k = made[w] = tuple(ids.setdefault(x, len(ids)) for x in keys_of(w))
-            for x in k:
-                of[x] += n
-        docs.append(np.full(len(of), d, np.uint16))
-        keys.append(np.fromiter(of.keys(), np.int64, len(of)))
-        freqs.append(np.fromiter(of.values(), np.uint32, len(of)))
-    k, d, f = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (docs, np.uint16), (freqs, np.uint32)))
-    order = np.argsort(k, kind="stable")
-    k, d, f = k[order], d[order], f[order]
-    return list(ids), np.searchsorted(k, np.arange(len(ids) + 1)), d, f
-
-
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
+        of = Counter(t.split())
+        words.append(np.array([ids.setdefault(w, len(ids)) for w in of], np.int64))
+        counts.append(np.fromiter(of.values(), np.int64, len(of)))
+        docs.append(np.full(len(of), d, np.int64))
+    word, count, doc = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (words, counts, docs))
+    made: dict = {}
+    made_of = [[made.setdefault(k, len(made)) for k in ks] for ks in keys_of(list(ids))]
+    size = np.array([len(x) for x in made_of], np.int64)
+    flat = np.fromiter((k for ks in made_of for k in ks), np.int64, int(size.sum()))
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    n = size[word]
+    at = np.repeat(first[word] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+    pair = flat[at] << 16 | np.repeat(doc, n)  # a block has fewer than 65,536 documents
+    order = np.argsort(pair, kind="stable")
+    pair, count = pair[order], np.repeat(count, n)[order]
+    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
+    sums = np.add.reduceat(count, new) if len(new) else count
+    pair = pair[new]
+    return list(made), np.searchsorted(pair >> 16, np.arange(len(made) + 1)), (pair & 0xFFFF).astype(np.uint16), sums.astype(np.uint32)
+
+
+def stretches(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """values[at[i] : at[i + 1]] for each i as binaries, without copying one by one."""
+    values, at = values[at[0] : at[-1]], at - at[0]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def joined(col: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of :func:`stretches`, and how many each row has."""
+    d = np.dtype(dtype)
+    at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
+    data = col.buffers()[2]
+    size = int(at[-1] - at[0])
+    return (np.frombuffer(data, d, size // d.itemsize, int(at[0])) if size else np.empty(0, d)), np.diff(at) // d.itemsize
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
     """Batches and texts gathered into numbered blocks."""
     part, held, texts, n = TaskContext.get().partitionId() << 20, [], [], 0
     for b in slices(batches, text_col):
         t = utf8(b, text_col)
-        if texts and (n + sum(map(len, t)) > BLOCK_BYTES or len(texts) + len(t) > BLOCK_ROWS):
+        if texts and (n + sum(map(len, t)) > size or len(texts) + len(t) > BLOCK_ROWS):
             yield part, held, texts
             part, held, texts, n = part + 1, [], [], 0
         held.append(b)
@@ -110,13 +170,14 @@ def _postings(path: str, id_col: str, text_col: str):
         pieces = Pieces(path)
         for block, held, texts in blocks(batches, text_col):
             ids = [i for b in held for i in b.column(b.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist()]
-            keys, at, docs, freqs = frequencies(texts, lambda w: pieces.pretokens(w.decode("utf-8", "replace")))
+            keys, at, docs, freqs = frequencies(texts, pieces.pretokens)
             head = [[block], [None], [None], [None], [ids], [[len(t) for t in texts]]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(head, kinds, strict=True)], names)
             for a in range(0, len(keys), 20_000):
                 some, n = keys[a : a + 20_000], len(keys[a : a + 20_000])
-                cols = [[block] * n, some, [pack(docs[at[i] : at[i + 1]]) for i in range(a, a + n)], [pack(freqs[at[i] : at[i + 1]]) for i in range(a, a + n)], [None] * n, [None] * n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                part = at[a : a + n + 1]
+                cols = [pa.array([block] * n, pa.int64()), pa.array(some, pa.binary()).cast(pa.string()), stretches(docs, part), stretches(freqs, part), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -134,22 +195,26 @@ def _counted(path: str):
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Products of frequency and piece count, summed for each block and document of this task, in bounded rounds."""
 
-    def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for block, rows in held.items():
-            docs = np.concatenate([d for d, _ in rows])
-            total = np.bincount(docs, weights=np.concatenate([v for _, v in rows]).astype(np.float64))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(some.astype(np.uint16))], pa.binary()), pa.array([pack(total[some].astype(np.int64))], pa.binary())], ["block", "docs", "tokens"])
-
-    held, n = {}, 0
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        spot, total = (np.concatenate(x) for x in zip(*held, strict=True))
+        spots, where = np.unique(spot, return_inverse=True)
+        total = np.bincount(where.reshape(-1), weights=total)
+        blocks_, first = np.unique(spots >> 16, return_index=True)
+        at = np.append(first, len(spots))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), stretches((spots & 0xFFFF).astype(np.uint16), at), stretches(total.astype(np.int64), at)], ["block", "docs", "tokens"])
+
+    held, n = [], 0
     for b in batches:
-        for block, docs, freqs, pieces in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            d = unpack(docs, np.uint16)
-            held.setdefault(block, []).append((d, unpack(freqs, np.uint32).astype(np.int64) * pieces))
-            n += len(d)
-        if n > 4_000_000:
+        docs, size = joined(b.column(1), np.uint16)
+        freqs, _ = joined(b.column(2), np.uint32)
+        block, pieces = (b.column(i).to_numpy() for i in (0, 3))
+        held.append((np.repeat(block, size) << 16 | docs, freqs.astype(np.float64) * np.repeat(pieces, size)))
+        n += len(docs)
+        if n > 2_000_000:
             yield from flush(held)
-            held, n = {}, 0
+            held, n = [], 0
     yield from flush(held)
 
 
@@ -159,7 +224,7 @@ def _summed(table: pa.Table) -> pa.Table:
         if r["ids"] is not None:
             head = r
         else:
-            np.add.at(total, unpack(r["docs"], np.uint16), unpack(r["tokens"], np.int64))
+            total[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["tokens"], np.int64)
     n = len(head["ids"])
     return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["sizes"], pa.int64()), "n_tokens": pa.array(total[:n], pa.int64())})
 
