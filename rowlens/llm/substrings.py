@@ -37,6 +37,8 @@ from rowlens.llm.tokencount import blocks
 WINDOW, ROUNDS, LONGEST = 35, 2, 8
 #: One anchor in so many is sent.
 SPARSE = 4
+#: Text bytes of a block, and words whose hashes a task remembers.
+BLOCK, KNOWN = 8 << 20, 200_000
 _FAR = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -50,7 +52,7 @@ def word_hashes(texts: list[bytes], known: dict) -> tuple[np.ndarray, np.ndarray
         try:
             row = [known[w] for w in words]
         except KeyError:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             for w in words:
                 if w not in known:
@@ -80,7 +82,7 @@ def prefix_hash(words: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndar
 def recompress(words: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, longest: int = LONGEST) -> tuple:
     """Boundaries of the last round's symbols, and for each symbol the words from lo up to hi that it depends on."""
     n = len(words)
-    name, at = mix64(words), np.arange(n + 1)
+    name, at = mix64(words), np.arange(n + 1, dtype=np.int32)
     hard = np.zeros(n + 1, bool)
     hard[starts] = True
     lo, hi = at, at  # what a boundary's being there depends on
@@ -96,8 +98,8 @@ def recompress(words: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, long
         new = near(np.minimum, lo, inlo), near(np.maximum, hi, inhi)
         inlo, inhi = within(np.minimum, lo, inlo), within(np.maximum, hi, inhi)
         at, hard, name = at[kept], hard[kept], names
-        lo, hi = np.concatenate([[-_FAR], new[0], [-_FAR]]), np.concatenate([[n + _FAR], new[1], [n + _FAR]])
-        lo, hi = np.where(hard, -_FAR, lo), np.where(hard, n + _FAR, hi)  # a text's ends stay whatever stands there
+        lo, hi = (np.concatenate([[x], y, [x]]).astype(np.int32) for x, y in ((-_FAR, new[0]), (n + _FAR, new[1])))
+        lo, hi = np.where(hard, np.int32(-_FAR), lo), np.where(hard, np.int32(n + _FAR), hi)  # a text's ends stay whatever stands there
 
     for r in range(rounds):
         if len(name) < 2:
@@ -241,7 +243,7 @@ def _column(held: list, name: str) -> list:
 def _sent_anchors(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for block, held, texts in blocks(batches, "text"):
+        for block, held, texts in blocks(batches, "text", BLOCK):
             words, starts = word_hashes(texts, known)
             names, lo, _ = anchors(words, starts, window)
             yield from _send(block, buckets, names, None, lo, _column(held, "k1"), _column(held, "k2"), starts)
@@ -252,7 +254,7 @@ def _sent_anchors(buckets: int, window: int):
 def _sent_windows(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for block, held, texts in blocks(batches, "text"):
+        for block, held, texts in blocks(batches, "text", BLOCK):
             words, starts = word_hashes(texts, known)
             names, lo, hi = anchors(words, starts, window)
             told = [unpack(s, np.uint32).astype(np.int64) + a for s, a in zip(_column(held, "spots"), starts, strict=False)]
