@@ -17,6 +17,10 @@ pair of which is a group of its own, so no task holds an unbounded group and no
 bits link; beyond ``complete`` bits (where ``within`` is larger) links are found with high probability, not always.
 Components are the smallest ids reachable, by alternating star contractions written to the shared folder.
 
+Dropping rows. :func:`deduplicate` takes links as candidates only: an edge counts if the shingle sets of its ends have the
+Jaccard similarity asked for. Edges that span the candidates are tried first; where one fails, all other candidate pairs
+between what the good ones have left apart.
+
 Defined results: a null or empty text has fingerprint 0 and links like any other; a text shorter than a shingle is
 one shingle; null ids are ignored when a component takes its smallest id (null if all are); rows that share a doc_id
 are separate rows of one component if their texts are near; an empty table gives an empty result.
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from rowlens.llm.common import materialize, mix64, remove, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
+#: The row key that near-dedup gives its input.
+ROW = "__row"
 #: Assumed seconds for a probed row and for a compared pair and word of 64 bits.
 ROW_COST, PAIR_COST = 3e-6, 2e-9
 
@@ -105,7 +111,7 @@ def bit_statistics(distinct: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((bits, bits)), 0
         for b in batches:
-            x = _bits(_from_binary(b.column(0))).astype(np.float32) if b.num_rows else np.zeros((0, bits), np.float32)
+            x = _bits(_from_binary(b.column(0))[:, : bits // 64]).astype(np.float32) if b.num_rows else np.zeros((0, bits), np.float32)
             total += x.T @ x
             n += len(x)
         if n:
@@ -175,12 +181,12 @@ def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int
     return best
 
 
-def _probed(groups: list[list[int]], thresholds: list[int]):
+def _probed(groups: list[list[int]], thresholds: list[int], words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = _bits(_from_binary(b.column(0))).astype(np.int64)
+            bits = _bits(_from_binary(b.column(0))[:, :words]).astype(np.int64)
             every = np.arange(b.num_rows)
             for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
                 if t < 0:
@@ -198,15 +204,25 @@ def _probed(groups: list[list[int]], thresholds: list[int]):
     return run
 
 
-def spanning(fps: np.ndarray, probe: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(fps: np.ndarray, at, others, words: int, within: int, similarity: float | None) -> np.ndarray:
+    """Whether rows may link: by their bits and, for sets (whose size follows the bits), by what their sizes allow."""
+    near = np.bitwise_count(fps[others, :words] ^ fps[at, :words]).sum(1) <= within
+    if similarity is not None:
+        a, b = fps[at, words], fps[others, words]
+        near &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+    return near
+
+
+def spanning(fps: np.ndarray, probe: np.ndarray, within: int, words: int | None = None, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect what links within ``within`` bits, in a group that meets; two probes alone don't meet."""
+    words = fps.shape[1] if words is None else words
     left = np.argsort(probe, kind="stable")
     a, b = [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1) <= within
+            near = _near(fps, at, left, words, within, similarity)
             if probe[at]:
                 near &= ~probe[left]
             if near.any():
@@ -218,7 +234,19 @@ def spanning(fps: np.ndarray, probe: np.ndarray, within: int) -> tuple[np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _linked(within: int, words: int):
+def _across(fps: np.ndarray, probe: np.ndarray, within: int, words: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All row pairs that may link and differ in the label, which is the last two words."""
+    labels = fps[:, -2:]
+    if (labels == labels[0]).all():
+        return
+    for at in range(len(fps) - 1):
+        others = at + 1 + np.flatnonzero((labels[at + 1 :] != labels[at]).any(1) & ~(probe[at + 1 :] & probe[at]))
+        if len(others):
+            new = others[_near(fps, at, others, words, within, similarity)]
+            yield np.full(len(new), at), new
+
+
+def _linked(within: int, words: int, similarity: float | None = None, across: bool = False):
     names = ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,22 +264,36 @@ def _linked(within: int, words: int):
         if rest is not None and rest.num_rows:
             yield from groups(rest, np.array([rest.num_rows]))
 
+    def named(col, a: list, b: list) -> Iterator[pa.RecordBatch]:
+        if a and sum(map(len, a)):
+            i, j = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([col.take(i), col.take(j)], names)
+
     def groups(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         col = t["fp"].combine_chunks()
         fps, probe = _from_binary(col), t["probe"].to_numpy()
         starts = np.concatenate([[0], edges[:-1]])
         a, b = [], []
         sizes = edges - starts
+        if across:
+            col, held = _to_binary(fps[:, :-2]), 0
+            for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
+                for x, y in _across(fps[s : s + n], probe[s : s + n], within, words, similarity):
+                    a.append(x + s), b.append(y + s)
+                    held += len(x)
+                    if held > 1 << 16:
+                        yield from named(col, a, b)
+                        a, b, held = [], [], 0
+            yield from named(col, a, b)
+            return
         two = starts[sizes == 2]
         if len(two):  # most groups that hold a pair at all
-            near = (np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1) <= within) & ~(probe[two] & probe[two + 1])
+            near = _near(fps, two, two + 1, words, within, similarity) & ~(probe[two] & probe[two + 1])
             a.append(two[near]), b.append(two[near] + 1)
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            x, y = spanning(fps[s : s + n], probe[s : s + n], within)
+            x, y = spanning(fps[s : s + n], probe[s : s + n], within, words, similarity)
             a.append(x + s), b.append(y + s)
-        if a and sum(map(len, a)):
-            i, j = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([col.take(i), col.take(j)], names)
+        yield from named(col, a, b)
 
     return run
 
@@ -262,7 +304,12 @@ def links(distinct: DataFrame, bits: int, complete: int, within: int, block: int
     if n < 2:
         return None
     groups, thresholds, _ = allocate(n, both, complete, bits // 64)
-    probes = distinct.select("fp").mapInArrow(_probed(groups, thresholds), "key long, probe boolean, fp binary")
+    return meetings(distinct, groups, thresholds, bits // 64, _linked(within, bits // 64), block)
+
+
+def meetings(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], words: int, linked, block: int = BLOCK) -> DataFrame:
+    """The distinct edges that ``linked`` finds where rows meet under a value."""
+    probes = distinct.select("fp").mapInArrow(_probed(groups, thresholds, words), "key long, probe boolean, fp binary")
     heavy = materialize(probes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-heavy")
     if heavy.limit(1).count():
         probes = probes.join(heavy, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
@@ -272,7 +319,7 @@ def links(distinct: DataFrame, bits: int, complete: int, within: int, block: int
     else:
         probes = probes.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "probe", "fp")
     dealt = probes.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(_linked(within, bits // 64), "a binary, b binary").distinct()
+    return dealt.mapInArrow(linked, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,12 +363,97 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
+def _shingle_sets(keyed: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
+    """Of every row its key, id, text hash and node: fingerprint, size of its shingle set and 128-bit hash of that set."""
+    small_batches(keyed.sparkSession)
+    kind = keyed.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            texts = utf8(b, text_col)
+            sets = [np.unique(shingle_hashes(t, k)) for t in texts]
+            named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
+            size = np.array([len(x) for x in sets], np.uint64)
+            nodes = _to_binary(np.concatenate([fingerprints(texts, k, width), size[:, None], named], 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, id_col, "__hash")), nodes], [ROW, "doc_id", "hash", "fp"])
+
+    return keyed.select(ROW, id_col, F.xxhash64(text_col).alias("__hash"), text_col).mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, fp binary")
+
+
+def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, text_col: str, k: int) -> DataFrame:
+    """node and its packed sorted shingle hashes, of one row for each node of ``edges``."""
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+    some = materialize(distinct.join(ends, "fp", "left_semi").select(F.col("least").alias(ROW), F.col("fp").alias("node")), "simhash-ends")
+    small_batches(keyed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in utf8(b, text_col)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return materialize(keyed.select(ROW, text_col).join(some, ROW).select("node", text_col).mapInArrow(run, "node binary, shingles binary"), "simhash-sets")
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b and whether the Jaccard similarity of their shingle sets is at least ``similarity``."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    small_batches(edges.sparkSession, 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    out = materialize(edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean"), "simhash-verified")
+    small_batches(edges.sparkSession)
+    return out
+
+
+def similar_sets(keyed: DataFrame, distinct: DataFrame, text_col: str, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
+    """(node, root) over nodes that shingle sets of at least ``similarity`` link; None if there are under two nodes.
+
+    What meets within ``within`` bits is only a candidate. First the edges that span the candidates are verified; then,
+    where one has failed, every candidate pair whose ends the verified edges have not connected."""
+    n, both = bit_statistics(distinct, 64 * width)
+    if n < 2:
+        return None
+    groups, thresholds, _ = allocate(n, both, complete, width)
+    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialize(ordered(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity))), "simhash-edges")
+    sets = _sets_of(edges, keyed, distinct, text_col, k)
+    checked = _verified(edges, sets, similarity)
+    name = F.substring("fp", 8 * width + 9, 16)  # equal sets with other repeats have other bits
+    twins = distinct.groupBy(name.alias("name")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    twins = distinct.select(F.col("fp").alias("a"), name.alias("name")).join(twins, "name").where("a != b").select("a", "b")
+    good = materialize(checked.where("ok").select("a", "b").union(twins), "simhash-good")
+    if checked.where("not ok").limit(1).count():
+        roots = components(good)
+        ends = checked.select(F.col("a").alias("end")).union(checked.select(F.col("b").alias("end"))).distinct()
+        root = F.coalesce("root", "end")
+        labelled = ends.join(roots, F.col("end") == F.col("node"), "left").select(F.concat("end", F.substring(root, 8 * width + 9, 16)).alias("fp"))
+        labelled = materialize(labelled, "simhash-labelled")
+        more = ordered(meetings(labelled, groups, thresholds, width, _linked(within, width, similarity, across=True)))
+        more = materialize(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "simhash-edges")
+        good = good.union(_verified(more, sets, similarity).where("ok").select("a", "b"))
+    return components(good)
+
+
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similarity=0.8, width=4, complete=24) -> DataFrame:
-    """The rows of ``docs``, of each component one: that with the smallest id (of rows that share it, the first by
-    text hash and columns). Rows without an id can't be addressed and stay."""
+    """The rows of ``docs``, of each component of shingle sets with a Jaccard similarity of at least ``similarity`` one:
+    that with the smallest id (of rows that share it, the first by text hash and columns). Rows without an id can't be
+    addressed and stay."""
     within = max(complete, bits_for(similarity, 64 * width))
-    found = near_duplicates(docs, id_col, text_col, k, width, complete, within)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
+    prints = materialize(_shingle_sets(keyed, id_col, text_col, k, width), "simhash-fp")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
+    tree = similar_sets(keyed, distinct, text_col, k, similarity, width, complete, within)
+    rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
     one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *[c for c, t in docs.dtypes if t in ("string", "bigint", "int") and c not in (id_col, text_col)])
     kept = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
     kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")

@@ -102,6 +102,33 @@ def test_deduplicate_keeps_one_of_a_group(stored, rows, empty):
     assert not simhash.deduplicate(empty).collect()
 
 
+def test_deduplicate_verifies_shingle_sets(spark, tmp_path):
+    rng = random.Random(5)
+    docs = {}
+    for i in range(40):  # pairs with a set similarity of about 0.68: half of them lie within the candidates' bits
+        shared = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for j in range(2):
+            docs[2 * i + j] = " ".join([*shared, *(f"w{rng.randrange(10**6)}" for _ in range(93))])
+    base = [f"v{rng.randrange(10**6)}" for _ in range(500)]
+    for i in range(12):  # a chain whose neighbours have 0.85, whose ends have far less
+        docs[100 + i] = " ".join([*base[40 * i :], *(f"u{j}" for j in range(40 * i))])
+    docs |= {200: "a b c d e " * 40 + "f", 201: "a b c d e " * 40 + "g h i j k l m n"}  # equal in most bits, not in sets
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for i, t in docs.items()}
+    root = {i: i for i in docs}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in docs:
+        for j in docs:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(j)] = find(i)
+    want = {min(j for j in docs if find(j) == find(i)) for i in docs}
+    assert set(range(80)) <= want and len(want & set(range(100, 112))) == 1
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == want
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     bodies = ["b" * 999, "c" * 1000, "é" * 700, None, "", prose(rng, 3000)]
