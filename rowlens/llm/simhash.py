@@ -14,7 +14,8 @@ values within T_i.
 Verification. Rows that meet under a value are compared in full; what comes out is not the pairs but edges that span
 the linked rows (at most one less than rows). A value that more than ``BLOCK`` rows share is dealt into blocks, each
 pair of which is a group of its own, so no task holds an unbounded group and no pair is missed. Pairs within ``within``
-bits link; beyond ``complete`` bits (where ``within`` is larger) links are found with high probability, not always.
+bits link; beyond ``complete`` bits (where ``within`` is larger) the plan is the cheapest of those under which a pair at
+``within`` bits meets with a chance of at least ``RECALL``, however many rows there are.
 Components are the smallest ids reachable, by alternating star contractions written to the shared folder.
 
 Dropping rows. :func:`deduplicate` takes links as candidates only: an edge counts if the shingle sets of its ends have the
@@ -29,7 +30,7 @@ are separate rows of one component if their texts are near; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, comb, pi
+from math import acos, comb, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 from rowlens.llm.common import materialize, mix64, remove, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
+#: Least chance that a pair at the distance of a link meets, where the search is not complete to it.
+RECALL = 0.96
 #: The row key that near-dedup gives its input.
 ROW = "__row"
 #: Assumed seconds for a probed row and for a compared pair and word of 64 bits.
@@ -142,8 +145,25 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int = 2) -> tuple[list[list[int]], list[int], float]:
-    """Partitions, thresholds and estimated seconds of the cheapest plan that finds all pairs within ``complete`` bits."""
+def meeting(width: int, bits: int, distance: int, t: int) -> float:
+    """Chance that a pair which differs in ``distance`` of ``bits`` bits differs in at most ``t`` of ``width``."""
+    q = distance / bits
+    return sum(comb(width, j) * q**j * (1 - q) ** (width - j) for j in range(t + 1))
+
+
+def recall_of(groups: list[list[int]], thresholds: list[int], bits: int, distance: int) -> float:
+    """Chance that a pair at this distance meets under some partition of a plan."""
+    miss = 1.0
+    for g, t in zip(groups, thresholds, strict=True):
+        miss *= 1 - meeting(len(g), bits, distance, t)
+    return 1 - miss
+
+
+def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int = 2, within: int | None = None, recall: float = RECALL) -> tuple[list[list[int]], list[int], float]:
+    """Partitions, thresholds and estimated seconds of the cheapest plan that finds all pairs within ``complete`` bits
+    and, with ``within`` beyond that, at least the share ``recall`` of pairs at ``within`` bits, whatever n."""
+    if within is not None and within > complete:
+        return _allocate_with_recall(n, both, complete, words, most, within, recall)
     bits = len(both)
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -181,6 +201,56 @@ def allocate(n: int, both: np.ndarray, complete: int, words: int = 1, most: int
     return best
 
 
+def _allocate_with_recall(n: int, both: np.ndarray, complete: int, words: int, most: int, within: int, recall: float) -> tuple[list[list[int]], list[int], float]:
+    """The dynamic programme with a second budget: steps of the logarithm of the chance to miss a pair at ``within``."""
+    bits, steps = len(both), 400
+    p = np.diag(both) / max(n, 1)
+    differ = 2 * p * (1 - p)
+    step = -log(1 - recall) / steps
+    need, best = complete + 1, None
+    narrow = -(-bits // 32)
+    for m in range(narrow, max(narrow, bits // 8) + 1):
+        groups = group_bits(n, both, m)
+        table = np.full((need + 1, steps + 1), np.inf)
+        table[0, 0], picks = 0, []
+        for g in groups:
+            dist = np.ones(1)
+            for q in differ[g]:
+                dist = np.convolve(dist, [1 - q, q])
+            new, pick = table.copy(), np.zeros(table.shape + (3,), int)
+            pick[..., 0], pick[..., 1] = np.indices(table.shape)
+            for t in range(min(most + 1, len(g))):
+                probes = sum(comb(len(g), j) for j in range(t + 1))
+                cost = n * probes * ROW_COST + n * n / 2 * dist[: t + 1].sum() * PAIR_COST * words * (2 if t else 1)
+                gain = int(-log1p(-min(meeting(len(g), bits, within, t), 1 - 1e-12)) / step)
+                for a in range(need + 1):
+                    to = min(a + t + 1, need)
+                    got = table[a] + cost
+                    for lo, hi, at in ((0, max(0, steps - gain), None), (max(0, steps - gain), steps + 1, steps)):
+                        if lo >= hi:
+                            continue
+                        if at is None:
+                            better = got[lo:hi] < new[to, lo + gain : hi + gain]
+                            where = lo + np.flatnonzero(better)
+                            new[to, where + gain], pick[to, where + gain] = got[where], np.stack([np.full(len(where), a), where, np.full(len(where), t + 1)], 1)
+                        else:
+                            b = lo + int(np.argmin(got[lo:hi]))
+                            if got[b] < new[to, at]:
+                                new[to, at], pick[to, at] = got[b], (a, b, t + 1)
+            table = new
+            picks.append(pick)
+        if table[need, steps] < (best[2] if best else np.inf):
+            at, thresholds = (need, steps), []
+            for pick in reversed(picks):
+                a, b, t = pick[at]
+                thresholds.append(int(t) - 1)
+                at = int(a), int(b)
+            best = groups, thresholds[::-1], float(table[need, steps])
+    if best is None:
+        raise ValueError("no allocation of thresholds")
+    return best
+
+
 def _probed(groups: list[list[int]], thresholds: list[int], words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,7 +373,7 @@ def links(distinct: DataFrame, bits: int, complete: int, within: int, block: int
     n, both = bit_statistics(distinct, bits)
     if n < 2:
         return None
-    groups, thresholds, _ = allocate(n, both, complete, bits // 64)
+    groups, thresholds, _ = allocate(n, both, complete, bits // 64, within=within)
     return meetings(distinct, groups, thresholds, bits // 64, _linked(within, bits // 64), block)
 
 
@@ -422,7 +492,7 @@ def similar_sets(keyed: DataFrame, distinct: DataFrame, text_col: str, k: int, s
     n, both = bit_statistics(distinct, 64 * width)
     if n < 2:
         return None
-    groups, thresholds, _ = allocate(n, both, complete, width)
+    groups, thresholds, _ = allocate(n, both, complete, width, within=within)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(ordered(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity))), "simhash-edges")
     sets = _sets_of(edges, keyed, distinct, text_col, k)

@@ -96,6 +96,22 @@ def test_correlated_bits_share_a_partition():
     assert any({2, 9, 14} <= set(g) for g in groups)
 
 
+@pytest.mark.parametrize("n", [2 * 10**5, 10**7, 10**8])
+def test_recall_at_the_accepted_distance_does_not_fall_with_rows(n):
+    rng = np.random.default_rng(1)
+    both = np.full((256, 256), n / 4)
+    np.fill_diagonal(both, n / 2)
+    within = simhash.bits_for(0.8, 256)
+    groups, thresholds, _ = simhash.allocate(n, both, 24, 4, within=within)
+    assert sorted(b for g in groups for b in g) == list(range(256)) and sum(t + 1 for t in thresholds) >= 25
+    met = 0
+    for _ in range(2000):
+        differ = np.zeros(256, bool)
+        differ[rng.choice(256, within, replace=False)] = True
+        met += any(differ[g].sum() <= t for g, t in zip(groups, thresholds, strict=True))
+    assert met >= 0.94 * 2000
+
+
 # ---- archives
 
 
