@@ -35,7 +35,7 @@ from math import acos, comb, log, log1p, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import materialize, mix64, remove, slices, small_batches, utf8
@@ -434,7 +434,7 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
 
 
 def _shingle_sets(keyed: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
-    """Of every row its key, id, text hash and node: fingerprint, size of its shingle set and 128-bit hash of that set."""
+    """Of every row its key, id, hashes of text and other columns, and node: fingerprint, size of its shingle set and 128-bit hash of that set."""
     small_batches(keyed.sparkSession)
     kind = keyed.schema[id_col].dataType.simpleString()
 
@@ -445,9 +445,11 @@ def _shingle_sets(keyed: DataFrame, id_col: str, text_col: str, k: int, width: i
             named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
             size = np.array([len(x) for x in sets], np.uint64)
             nodes = _to_binary(np.concatenate([fingerprints(texts, k, width), size[:, None], named], 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, id_col, "__hash")), nodes], [ROW, "doc_id", "hash", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, id_col, "__hash", "__rest")), nodes], [ROW, "doc_id", "hash", "rest", "fp"])
 
-    return keyed.select(ROW, id_col, F.xxhash64(text_col).alias("__hash"), text_col).mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, fp binary")
+    rest = F.xxhash64(F.lit(0), *(c for c in keyed.columns if c not in (ROW, id_col, text_col)))
+    hashed = keyed.select(ROW, id_col, F.xxhash64(text_col).alias("__hash"), rest.alias("__rest"), text_col)
+    return hashed.mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, rest long, fp binary")
 
 
 def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -515,16 +517,14 @@ def similar_sets(keyed: DataFrame, distinct: DataFrame, text_col: str, k: int, s
 
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similarity=0.8, width=4, complete=24) -> DataFrame:
     """The rows of ``docs``, of each component of shingle sets with a Jaccard similarity of at least ``similarity`` one:
-    that with the smallest id (of rows that share it, the first by text hash and columns). Rows without an id can't be
-    addressed and stay."""
+    the first by id (nulls first), text hash and the hash of the other columns. Rows are told apart by a key of their own, so
+    those that share an id or have none are judged like any other."""
     within = max(complete, bits_for(similarity, 64 * width))
     keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
     prints = materialize(_shingle_sets(keyed, id_col, text_col, k, width), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
     tree = similar_sets(keyed, distinct, text_col, k, similarity, width, complete, within)
     rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *[c for c, t in docs.dtypes if t in ("string", "bigint", "int") and c not in (id_col, text_col)])
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    losers = rooted.join(first.select("root", F.col(f"first.{ROW}").alias("__first")), "root").where(F.col(ROW) != F.col("__first")).select(ROW)
+    return keyed.join(materialize(losers, "simhash-losers"), ROW, "left_anti").drop(ROW)

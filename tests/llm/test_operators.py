@@ -129,6 +129,15 @@ def test_deduplicate_verifies_shingle_sets(spark, tmp_path):
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == want
 
 
+def test_deduplicate_tells_rows_apart(spark):
+    rng = random.Random(6)
+    text = [prose(rng, 60) for _ in range(6)]
+    rows = [(3, text[0]), (5, text[1]), (5, text[0]), (6, text[2]), (6, text[3]), (6, text[3]), (None, text[4]), (None, text[4]), (None, text[5]), (9, text[5])]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(3, text[0]), (5, text[1]), (6, text[2]), (6, text[3]), (None, text[4]), (None, text[5])]
+    assert got(kept) == sorted(want, key=str)
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     bodies = ["b" * 999, "c" * 1000, "é" * 700, None, "", prose(rng, 3000)]
