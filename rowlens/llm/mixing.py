@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.common import WORD, materialize
 
+#: The row key that the training order gives its input.
+ROW = "__row"
 WEIGHTS, BUDGET, CAP, TILTS = (3, 1, 2), 1.5, 2.0, (0.0, 0.5, -0.5)
 
 
@@ -52,21 +54,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP, ti
     return ranked.select("skey", "source_size", "tilt", F.when(F.col("n") < F.col("first"), F.col("cap")).otherwise(F.col("w") * F.col("final")).alias("target"))
 
 
-def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, budget=BUDGET, cap=CAP, tilts=TILTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_taken, second_taken, position, second_position per row of ``docs``."""
+def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, budget=BUDGET, cap=CAP, tilts=TILTS, row_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_taken, second_taken, position, second_position per row of ``docs``,
+    and ``row_col``, if given: a unique key of the rows."""
+    row = [] if row_col is None else [row_col]
     if cap > 2:
         raise ValueError("a document is passed at most twice")
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("0"), source_col), F.lit("1")).alias("skey"), h.alias("h"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row,
     )
     sized = materialize(sized, "mix-sizes").withColumn("bucket", F.substring("h", 1, 3))
     blocks = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("in_block"))
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("skey", "bucket", F.coalesce(F.sum("in_block").over(ahead), F.lit(0)).alias("ahead"))
     blocks = blocks.join(source_targets(sized, weights, budget, cap, tilts), "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     at = sized.join(blocks, ["skey", "bucket"]).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     wanted = F.floor(F.col("target") + 0.5)
 
@@ -81,7 +85,7 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
     at = at.withColumn("first_taken", taken(F.col("start"))).withColumn("second_taken", taken(again))
     return at.select(
         "doc_id", "size", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "first_taken", "second_taken",
-        position(F.col("start"), F.col("first_taken")).alias("position"), position(again, F.col("second_taken")).alias("second_position"),
+        position(F.col("start"), F.col("first_taken")).alias("position"), position(again, F.col("second_taken")).alias("second_position"), *row,
     )
 
 
@@ -89,10 +93,11 @@ def training_order(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """The columns of ``docs`` and ``mix_pass`` (0, 1), ``mix_words`` (of the text that this pass takes) and
     ``mix_position``, one row per pass of a document, range-sorted by position. Documents not taken do not come.
 
-    ``id_col`` has to be unique here, since passes are joined to documents by it; rows without an id do not come."""
-    a = assign(docs, id_col, **options).select(F.col("doc_id").alias("__mix_id"), F.explode(F.array(*(
+    Passes are joined to documents by a row key that is written with them, so ids may be null or shared."""
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    a = assign(keyed, id_col, row_col=ROW, **options).select(F.col(ROW).alias("__mix_row"), F.explode(F.array(*(
         F.struct(F.lit(i).alias("p"), F.col(w).alias("w"), F.col(t).alias("t")) for i, (w, t) in enumerate((("first_taken", "position"), ("second_taken", "second_position")))
     ))).alias("__mix"))
     a = a.where(F.col("__mix.w") > 0)
-    out = docs.join(a, F.col(id_col) == F.col("__mix_id")).select(*(docs[c] for c in docs.columns), F.col("__mix.p").alias("mix_pass"), F.col("__mix.w").alias("mix_words"), F.col("__mix.t").alias("mix_position"))
+    out = keyed.join(a, F.col(ROW) == F.col("__mix_row")).select(*(keyed[c] for c in docs.columns), F.col("__mix.p").alias("mix_pass"), F.col("__mix.w").alias("mix_words"), F.col("__mix.t").alias("mix_position"))
     return out.orderBy("mix_position", id_col, "mix_pass")

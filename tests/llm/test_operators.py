@@ -221,6 +221,14 @@ def test_mixing(stored, empty, rows):
     assert not mixing.assign(empty).collect() and not mixing.training_order(empty).collect()
 
 
+def test_training_order_keeps_documents_without_or_with_shared_ids(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i // 2, f"t{i} " * (i % 7 + 1), f"s{i % 2}") for i in range(90)], "doc_id long, text string, source string")
+    mixed = mixing.training_order(docs).collect()
+    assert sum(r.mix_words for r in mixed) == sum(r.taken for r in mixing.assign(docs).collect())
+    passes = [(r.text, r.mix_pass) for r in mixed]
+    assert len(passes) == len(set(passes)) and any(r.doc_id is None for r in mixed)
+
+
 def test_schedules_tilt_positions(spark):
     docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     mean = {}
