@@ -10,7 +10,9 @@ payload, only the digest and the HTTP length.
 Reading. Archives come as binary files. A member (or, in a plain archive, a record at a version line) is checked:
 gzip checksum, header syntax, declared block length, payload digest. After a failed check the reader searches
 onward for the next member that unpacks to a version line, or the next version line, goes on from there and logs
-the bytes in between as a quarantined gap with the reason.
+the bytes in between as a quarantined gap with the reason. A member that holds several records is searched in its
+unpacked bytes: its valid records come, and a gap with the member's offsets tells of the rest. Of a member that is cut off
+or has a bad checksum, the records before the break come, except one that ends with the last byte that can be read.
 
 Defined results: a null payload is empty; null ids are written as such, and a group of equal payloads without any
 id is all responses; rows that share the largest id of their group are all responses; urls are percent-escaped;
@@ -85,19 +87,40 @@ class Bad(ValueError):
     pass
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at an offset and the offset after it."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The readable content of the gzip member at an offset, the offset after it (or of the break) and why it breaks."""
     unpack, view, out = zlib.decompressobj(31), memoryview(data), []
-    try:
-        while not unpack.eof and at < len(data):
-            part = view[at : at + (1 << 14)]
+    while not unpack.eof and at < len(data):
+        part, saved = view[at : at + (1 << 14)], unpack.copy()
+        try:
             out.append(unpack.decompress(part))
-            at += len(part)
-    except zlib.error as e:
-        raise Bad(f"gzip: {str(e)[:60]}") from None
+        except zlib.error as e:
+            for i in range(len(part)):
+                try:
+                    out.append(saved.decompress(part[i : i + 1]))
+                except zlib.error:
+                    return b"".join(out), at + i, f"gzip: {str(e)[:60]}"
+        at += len(part)
     if not unpack.eof:
-        raise Bad("gzip: member is cut off")
-    return b"".join(out), at - len(unpack.unused_data)
+        return b"".join(out), at, "gzip: member is cut off"
+    return b"".join(out), at - len(unpack.unused_data), ""
+
+
+def _records(inner: bytes, broken: str) -> tuple[list[dict], str]:
+    """The valid records of a member's content and the first reason why others are not; of a broken member the record
+    that ends with what can be read is not valid."""
+    out, p, why = [], 0, ""
+    while 0 <= p < len(inner):
+        try:
+            head, block, stop = _parse(inner, p)
+            if broken and stop >= len(inner):
+                raise Bad(broken)
+            out.append(_checked(head, block))
+            p = stop
+        except Bad as e:
+            why = why or str(e)
+            p = inner.find(_VERSION, p + 1)
+    return out, why
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
@@ -145,14 +168,13 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(start, end, record or None, reason) of an archive's records and quarantined gaps, in order and without holes."""
     at, gap, why = 0, -1, ""
     while at < len(data):
-        out, end = [], at
+        out, end, broken, bad = [], at, "", ""
         try:
             if data.startswith(_MAGIC, at):
-                inner, end = _member(data, at)
-                p = 0
-                while p < len(inner):
-                    head, block, p = _parse(inner, p)
-                    out.append(_checked(head, block))
+                inner, end, broken = _member(data, at)
+                out, bad = _records(inner, broken)
+                if not out and (broken or bad):
+                    raise Bad(broken or bad)
             else:
                 head, block, end = _parse(data, at)
                 out.append(_checked(head, block))
@@ -167,6 +189,13 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             gap = -1
         for r in out:
             yield at, end, r, ""
+        if broken:
+            gap, why = at, broken
+            nexts = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, max(end, at + 1))) if p >= 0]
+            at = min(nexts, default=len(data))
+            continue
+        if bad:
+            yield at, end, None, bad
         at = end
     if gap >= 0:
         yield gap, len(data), None, why

@@ -146,6 +146,21 @@ def test_salvage_recovers_and_logs():
     assert ids(data[:-7])[0] == [0, 1, 2, 3, 4]
 
 
+def test_salvage_inside_members_of_several_records():
+    import gzip
+
+    plain = gzip.decompress(archive())
+    at = plain.find(b"WARC/1.1", 100)
+    broken = plain[:at] + plain[at:].replace(b"Content-Length", b"Content-Lemgth", 1)
+    found = lambda data: ([r["id"] for _, _, r, _ in warc.salvage(data) if r], [why for _, _, r, why in warc.salvage(data) if not r])
+    assert found(gzip.compress(broken) + archive(2)) == ([0, 2, 3, 4, 5, 0, 1], ["mandatory header field is missing"])
+    assert found(gzip.compress(plain + b"\r\n")) == ([0, 1, 2, 3, 4, 5], ["no version line"])
+    whole = gzip.compress(plain)
+    bad = whole[:-8] + b"\0\0\0\0" + whole[-4:]
+    assert found(bad + archive(1))[0] == [0, 1, 2, 3, 4, 0] and len(found(bad)[1]) == 1
+    assert found(whole[: len(whole) * 3 // 4])[0][:1] == [0] and found(whole[: len(whole) * 3 // 4])[1] == ["gzip: member is cut off"]
+
+
 def test_salvage_of_plain_archives():
     import gzip
 
