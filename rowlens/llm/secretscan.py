@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what no pattern names.
 
 A candidate is a run of 16 or more characters of ``A-Z a-z 0-9 + / _ = -`` holding both a letter and a digit,
-whose line names something sensitive within the 64 bytes before it. Its novelty is its marginal size: the bytes
+whose line, or one next to it, names something sensitive; lines of nothing but a candidate, such as the body of a PEM
+block, go on from the line before. Its novelty is its marginal size: the bytes
 that a zstandard frame grows by when the candidate is appended to its surroundings, the compressor being primed
 with a dictionary of code and identifier words. Names, paths and repeated strings cost little; a key, drawn at
 random, costs nearly its entropy. Candidates of at least ``NOVEL`` marginal bytes per character are reported.
 
-Offsets are code points of the whole text. Base spans always stay; a novel span that would overlap one is not
-reported. Defined results: a null or empty text has no spans and the digest of the empty string; repeated rows give
+Offsets are code points of the whole text. Base spans always stay; a novel span inside one is not
+reported, one that only overlaps it is. Defined results: a null or empty text has no spans and the digest of the empty string; repeated rows give
 repeated results; an empty table gives an empty result.
 """
 
@@ -29,9 +30,10 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 LEAST = {"assign": 12, "access": 18}
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-SENSITIVE = re.compile(rb"password|passwd|passphrase|secret|token|api_?key|private_?key|credential|bearer|authorization|signature")
+SENSITIVE = re.compile(rb"password|passwd|passphrase|secret|token|api_?key|private[_\x20-]?key|credential|bearer|authorization|signature")
 WORDS_OF_SENSE = (b"pass", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization", b"signature")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+RUN_LINE = re.compile(rb"[\x20\t\"']*[A-Za-z0-9+/_=-]{16,}[\x20\t\r\\\"',]*")
 AROUND, NOVEL = 64, 0.6
 #: Words of code and identifiers that prime the compressor.
 IDENTIFIERS = (
@@ -66,19 +68,28 @@ def base_spans(text: bytes, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: bytes, low: bytes, known: list, novelty: Novelty) -> list[tuple[int, int, int]]:
+    """Candidates of enough novelty on a line that is, or is next to, one with a sensitive word, or that goes on from such
+    a line in lines of nothing but a candidate."""
     if not any(w in low for w in WORDS_OF_SENSE):
         return []
-    out, done = [], 0
-    for m in SENSITIVE.finditer(low):
-        line = low.find(b"\n", m.end())
-        stop = min(m.end() + AROUND, line if line >= 0 else len(text))
-        for c in CANDIDATE.finditer(text, max(m.end(), done)):
-            if c.start() >= stop:
-                break
-            done = c.end()
+    lines, at = [], 0
+    for line in text.split(b"\n"):
+        lines.append((at, at + len(line)))
+        at += len(line) + 1
+    named = [SENSITIVE.search(low, a, b) is not None for a, b in lines]
+    if not any(named):
+        return []
+    out, body = [], False
+    for i, (a, b) in enumerate(lines):
+        alone = RUN_LINE.fullmatch(text, a, b) is not None
+        near = named[i] or i > 0 and named[i - 1] or i + 1 < len(lines) and named[i + 1] or body and alone
+        body = near and alone or named[i]
+        if not near:
+            continue
+        for c in CANDIDATE.finditer(text, a, b):
             s, e = c.span()
             found = c[0]
-            if not re.search(rb"[0-9]", found) or not re.search(rb"[A-Za-z]", found) or any(a < e and s < b for a, _, b in known):
+            if not re.search(rb"[0-9]", found) or not re.search(rb"[A-Za-z]", found) or any(x <= s and e <= y for x, _, y in known):
                 continue
             if novelty.marginal(text[max(0, s - AROUND) : s], found, text[e : e + AROUND]) >= NOVEL * (e - s):
                 out.append((s, 3, e))
