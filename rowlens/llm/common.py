@@ -17,11 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch of whole texts; bounds what a Python worker holds besides a block.
-BATCH_ROWS = 512
-#: Text bytes and rows after which a block of documents is closed. A block is the unit in which
-#: per-document results are addressed, so no text has to be shuffled.
-BLOCK_BYTES, BLOCK_ROWS = 24 << 20, 60_000
+#: Rows and bytes of an Arrow batch of whole texts (one row at least); bounds what a Python worker holds besides a block.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -61,8 +58,9 @@ def remove(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts go to Python in batches of at most ``rows`` rows."""
+    """Whole texts go to Python in batches of at most ``rows`` rows and about ``BATCH_BYTES``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions_of(df: DataFrame) -> int:

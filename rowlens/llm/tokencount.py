@@ -1,11 +1,11 @@
 """Token counts: every distinct pre-token is encoded once, documents only carry pre-token frequencies.
 
-1. Texts are read in blocks. A block yields its distinct pre-tokens, each with the documents of the block that hold
-   it and how often (packed arrays), and one row with the ids and sizes of its documents.
-2. The distinct pre-tokens of all blocks are counted in pieces, once each.
-3. Frequencies meet piece counts in a join on the pre-token; each task adds up products for each block, and the
-   sums of a block meet in one small group. No token ids are kept and no text is shuffled; a pre-token that every
-   document holds has one row for each block, and adaptive execution may split those.
+1. The commonest pre-tokens of a bounded sample are encoded on the driver and broadcast with their piece counts.
+2. Texts are read in blocks. A block adds up the broadcast counts itself; its other pre-tokens go, with the documents that
+   hold them and how often, to the bucket of the pre-token (see :mod:`rowlens.llm.postings`).
+3. A task that holds all of a bucket encodes each of its pre-tokens once (again only where it forgets them, after ``KNOWN``)
+   and joins the counts to the frequencies; products are added up for each block and document, and the sums of a block
+   meet in one small group. No token ids are kept, no text is shuffled and nothing is written but shuffle files.
 
 The tokenizer drops white space before its pre-tokens are cut, so a text is first cut at ASCII white space and each
 distinct piece is pre-tokenised by the library once per block. Pieces that hold the text of an added token are kept
@@ -25,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import BLOCK_BYTES, BLOCK_ROWS, materialize, slices, small_batches, utf8
+from rowlens.llm.common import pack, partitions_of, small_batches, unpack
+from rowlens.llm.postings import HEAD, ROWS, Ids, blocks, commonest, counted, header, ids_of, met, numbered, opened, rows_of, sums_by_block, unpacked
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
-#: That tokenizer's pre-token pattern over lower-case ASCII (fixed by the tokenizer's file).
+#: Pre-tokens that a task remembers, and entries of a round of sums.
+KNOWN, ROUND = 2_000_000, 2_000_000
+#: A pre-token pattern over lower-case ASCII. It is used where it agrees with the library (see Pieces.agrees).
 ASCII_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -46,6 +48,7 @@ class Pieces:
     """The library's pre-tokens and piece counts."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -53,7 +56,14 @@ class Pieces:
         self.tok.no_padding()
         self.added = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.marks = {a[:2] for a in self.added}
-        self.ascii = ASCII_PATTERN if os.path.basename(path) == MODEL else None
+        self.ascii = None
+        self.ascii = ASCII_PATTERN if self.agrees() else None
+
+    def agrees(self) -> bool:
+        """Whether the pattern cuts all words of two ASCII characters, and words around their pairs, as the library does."""
+        some = [bytes([c]) for c in range(128) if not bytes([c]).isspace()]
+        words = [a + b for a in some for b in some] + [b"aB1" + a + c + b"9z" for a in (b"'", b"-", b"_", b"4") for c in (b"s", b"ll", b"S", b"RE", b"x", b"'")]
+        return self.pretokens(words) == [tuple(ASCII_PATTERN.findall(w.lower())) for w in words]
 
     def pretokens(self, words: list[bytes]) -> list[tuple[bytes, ...]]:
         """Words between white space as their pre-tokens; whole where an added token stands in one.
@@ -101,144 +111,106 @@ class Pieces:
         return [len(e.ids) for e in self.tok.encode_batch_fast(pretokens, add_special_tokens=False)]
 
 
-def frequencies(texts: list[bytes], keys_of) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a block; for each, sorted: first entry, and the entries' documents and frequencies.
-
-    keys_of turns a list of words into their keys; it gets each distinct word once."""
-    ids: dict[bytes, int] = {}
-    docs, words, counts = [], [], []
-    for d, t in enumerate(texts):
-        of = Counter(t.split())
-        words.append(np.array([ids.setdefault(w, len(ids)) for w in of], np.int64))
-        counts.append(np.fromiter(of.values(), np.int64, len(of)))
-        docs.append(np.full(len(of), d, np.int64))
-    word, count, doc = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (words, counts, docs))
-    made: dict = {}
-    made_of = [[made.setdefault(k, len(made)) for k in ks] for ks in keys_of(list(ids))]
-    size = np.array([len(x) for x in made_of], np.int64)
-    flat = np.fromiter((k for ks in made_of for k in ks), np.int64, int(size.sum()))
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    n = size[word]
-    at = np.repeat(first[word] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    pair = flat[at] << 16 | np.repeat(doc, n)  # a block has fewer than 65,536 documents
-    order = np.argsort(pair, kind="stable")
-    pair, count = pair[order], np.repeat(count, n)[order]
-    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
-    sums = np.add.reduceat(count, new) if len(new) else count
-    pair = pair[new]
-    return list(made), np.searchsorted(pair >> 16, np.arange(len(made) + 1)), (pair & 0xFFFF).astype(np.uint16), sums.astype(np.uint32)
-
-
-def stretches(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """values[at[i] : at[i + 1]] for each i as binaries, without copying one by one."""
-    values, at = values[at[0] : at[-1]], at - at[0]
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def joined(col: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of :func:`stretches`, and how many each row has."""
-    d = np.dtype(dtype)
-    at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
-    data = col.buffers()[2]
-    size = int(at[-1] - at[0])
-    return (np.frombuffer(data, d, size // d.itemsize, int(at[0])) if size else np.empty(0, d)), np.diff(at) // d.itemsize
-
-
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
-    """Batches and texts gathered into numbered blocks."""
-    part, held, texts, n = TaskContext.get().partitionId() << 20, [], [], 0
-    for b in slices(batches, text_col):
-        t = utf8(b, text_col)
-        if texts and (n + sum(map(len, t)) > size or len(texts) + len(t) > BLOCK_ROWS):
-            yield part, held, texts
-            part, held, texts, n = part + 1, [], [], 0
-        held.append(b)
-        texts += t
-        n += sum(map(len, t))
-    if texts:
-        yield part, held, texts
-
-
-POSTINGS = "block long, key string, docs binary, freqs binary, ids array<long>, sizes array<long>"
-
-
-def _postings(path: str, id_col: str, text_col: str):
-    names = [x.split()[0] for x in POSTINGS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def _block(pieces: Pieces, head: dict[bytes, int], buckets: int, block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A block's header, with the sums over the head, and its postings of other pre-tokens."""
+    of = Ids()
+    word, n = numbered([t.split() for t in texts], of)
+    word, doc, count = counted(word, np.repeat(np.arange(len(texts)), n))
+    made, common, rest, size = Ids(), np.zeros(len(of), np.int64), [], np.zeros(len(of), np.int64)
+    for i, parts in enumerate(pieces.pretokens(list(of))):
+        for k in parts:
+            p = head.get(k)
+            if p is None:
+                rest.append(made[k])
+                size[i] += 1
+            else:
+                common[i] += p
+    sums = np.bincount(doc, weights=count * common[word], minlength=len(texts)).astype(np.int64)
+    table = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "sum": pa.array(sums)}
+    yield header(block, buckets, table)
+    first, n, flat = np.cumsum(size) - size, size[word], np.array(rest, np.int64)
+    at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    yield from rows_of(block, list(made), flat[at], np.repeat(doc, n), np.repeat(count, n), buckets)
+
 
+def _postings(path: str, head, buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = None
         for block, held, texts in blocks(batches, text_col):
-            ids = [i for b in held for i in b.column(b.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist()]
-            keys, at, docs, freqs = frequencies(texts, pieces.pretokens)
-            head = [[block], [None], [None], [None], [ids], [[len(t) for t in texts]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(head, kinds, strict=True)], names)
-            for a in range(0, len(keys), 20_000):
-                some, n = keys[a : a + 20_000], len(keys[a : a + 20_000])
-                part = at[a : a + n + 1]
-                cols = [pa.array([block] * n, pa.int64()), pa.array(some, pa.binary()).cast(pa.string()), stretches(docs, part), stretches(freqs, part), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            pieces = pieces or Pieces(path)
+            yield from _block(pieces, head.value, buckets, block, ids_of(held, id_col), texts)
 
     return run
 
 
-def _counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces.count(keys) if keys else [], pa.int64())], ["key", "pieces"])
-
-    return run
+SUMS = "block long, docs binary, tokens binary, head binary"
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partial(path: str):
     """Products of frequency and piece count, summed for each block and document of this task, in bounded rounds."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        spot, total = (np.concatenate(x) for x in zip(*held, strict=True))
-        spots, where = np.unique(spot, return_inverse=True)
-        total = np.bincount(where.reshape(-1), weights=total)
-        blocks_, first = np.unique(spots >> 16, return_index=True)
-        at = np.append(first, len(spots))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), stretches((spots & 0xFFFF).astype(np.uint16), at), stretches(total.astype(np.int64), at)], ["block", "docs", "tokens"])
-
-    held, n = [], 0
-    for b in batches:
-        docs, size = joined(b.column(1), np.uint16)
-        freqs, _ = joined(b.column(2), np.uint32)
-        block, pieces = (b.column(i).to_numpy() for i in (0, 3))
-        held.append((np.repeat(block, size) << 16 | docs, freqs.astype(np.float64) * np.repeat(pieces, size)))
-        n += len(docs)
-        if n > 2_000_000:
-            yield from flush(held)
-            held, n = [], 0
-    yield from flush(held)
+        if held:
+            spots, products = (np.concatenate(x) for x in zip(*held, strict=True))
+            for block, docs, (tokens,) in sums_by_block(spots, [products]):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(docs)], pa.binary()), pa.array([pack(tokens.astype(np.int64))], pa.binary()), pa.array([None], pa.binary())], ["block", "docs", "tokens", "head"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, known, held, n = None, {}, [], 0
+        for b in batches:
+            for block, head, keys, sizes, docs, freqs in unpacked(b):
+                if head is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([None], pa.binary())] * 2, pa.array([head], pa.binary())], ["block", "docs", "tokens", "head"])
+                    continue
+                new = [k for k in keys if k not in known]
+                if new:
+                    pieces = pieces or Pieces(path)
+                    if len(known) > KNOWN:
+                        known, new = {}, keys
+                    known.update(zip(new, pieces.count([k.decode() for k in new]), strict=True))
+                held.append((block << 16 | docs, freqs * np.repeat(np.fromiter(map(known.__getitem__, keys), np.int64, len(keys)), sizes)))
+                n += len(docs)
+                if n > ROUND:
+                    yield from flush(held)
+                    held, n = [], 0
+        yield from flush(held)
+
+    return run
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    head, total = None, np.zeros(1 << 16, np.int64)
-    for r in table.to_pylist():
-        if r["ids"] is not None:
-            head = r
-        else:
-            total[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["tokens"], np.int64)
-    n = len(head["ids"])
-    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["sizes"], pa.int64()), "n_tokens": pa.array(total[:n], pa.int64())})
-
-
-def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``. path: the tokenizer's file, on each machine."""
+    rows = table.to_pylist()
+    head = opened(next(r["head"] for r in rows if r["head"] is not None))
+    total = head["sum"].to_numpy().copy()
+    for r in rows:
+        if r["head"] is None:
+            total[unpack(r["docs"], np.uint16)] += unpack(r["tokens"], np.int64)
+    return pa.table({"doc_id": head["doc_id"], "n_bytes": head["n_bytes"], "n_tokens": pa.array(total)})
+
+
+def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``. path: the tokenizer's file, on each machine;
+    head: pre-tokens whose counts are broadcast, whatever the input's size."""
     spark = docs.sparkSession
     small_batches(spark)
-    path = path or model_path()
-    postings = materialize(docs.select(id_col, text_col).mapInArrow(_postings(path, id_col, text_col), POSTINGS), "token-postings")
-    of = postings.where("key is not null").select("block", "key", "docs", "freqs")
-    counted = of.select("key").distinct().mapInArrow(_counted(path), "key string, pieces long")
-    sums = of.join(counted, "key").select("block", "docs", "freqs", "pieces").mapInArrow(_partial, "block long, docs binary, tokens binary")
-    heads = postings.where("ids is not null").select("block", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("tokens"), "ids", "sizes")
-    every = heads.unionByName(sums.withColumns({"ids": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<long>")}))
-    out = every.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    path, buckets = path or model_path(), partitions_of(docs)
+
+    def sampled():
+        pieces = Pieces(path)
+
+        def count(texts: list[bytes]) -> Counter:
+            words = Counter(w for t in texts for w in t.split())
+            out = Counter()
+            for n, parts in zip(words.values(), pieces.pretokens(list(words)), strict=True):
+                for k in parts:
+                    out[k] += n
+            return out
+
+        return count
+
+    common = [k for k, _ in commonest(docs, text_col, buckets, sampled, head)]
+    known = spark.sparkContext.broadcast(dict(zip(common, Pieces(path).count([k.decode() for k in common]), strict=True)) if common else {})
+    postings = docs.select(id_col, text_col).mapInArrow(_postings(path, known, buckets, id_col, text_col), ROWS)
+    sums = met(postings, buckets).mapInArrow(_partial(path), SUMS)
+    out = sums.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

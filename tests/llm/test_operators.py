@@ -7,7 +7,7 @@ import struct
 import brute
 import pytest
 
-from rowlens.llm import decontaminate, langmodel, licenses, mixing, quality, secretscan, simhash, substrings, tokencount, warc
+from rowlens.llm import decontaminate, langmodel, licenses, mixing, postings, quality, secretscan, simhash, substrings, tokencount, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, position double, fp binary, block long"
 
@@ -170,7 +170,7 @@ def test_substrings_with_few_words(spark, tmp_path, seed):
     assert out == {d: n for d, _, n, _ in brute.substrings(rows, 5)}
 
 
-def test_token_counts(stored, empty, rows):
+def test_token_counts(stored, empty, rows, monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokencount.model_path())
@@ -179,6 +179,14 @@ def test_token_counts(stored, empty, rows):
     want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in pairs(rows)]
     assert got(tokencount.count_tokens(stored)) == sorted(want, key=str)
     assert not tokencount.count_tokens(empty).collect()
+    for name, value in (("BLOCK_BYTES", 20_000), ("BLOCK_ROWS", 5), ("SAMPLE_ROWS", 2)):  # several blocks in a partition
+        monkeypatch.setattr(postings, name, value)
+    monkeypatch.setattr(tokencount, "ROUND", 300)
+    monkeypatch.setattr(tokencount, "KNOWN", 50)
+    assert got(tokencount.count_tokens(stored.coalesce(1), head=20)) == sorted(want, key=str)
+    assert got(tokencount.count_tokens(stored, head=0)) == sorted(want, key=str)
+
+
 
 
 def test_quality(spark, stored, empty, rows):
@@ -250,11 +258,20 @@ def test_decontamination(spark, stored, empty, rows, monkeypatch):
     assert not decontaminate.find_leaks(empty, bench).collect() and not decontaminate.find_leaks(stored, bench.limit(0)).collect()
 
 
-def test_language_model(stored, empty, rows):
+def scored_as(out, want):
+    return [x[:5] for x in out] == [x[:5] for x in want] and all(abs(x[5] - y[5]) < 1e-6 * abs(y[5]) + 1e-9 for x, y in zip(out, want, strict=True))
+
+
+def test_language_model(stored, empty, rows, monkeypatch):
     out = got(langmodel.score(stored))
     want = sorted(brute.language_model(pairs(rows)), key=str)
-    assert [x[:5] for x in out] == [x[:5] for x in want] and all(abs(x[5] - y[5]) < 1e-6 * abs(y[5]) + 1e-9 for x, y in zip(out, want, strict=True))
-    assert all(x[6] < 0 for x in out) and not langmodel.score(empty).collect()
+    assert scored_as(out, want) and all(x[6] < 0 for x in out) and not langmodel.score(empty).collect()
+    assert out == got(langmodel.score(stored))
+    for name, value in (("BLOCK_BYTES", 20_000), ("BLOCK_ROWS", 5), ("SAMPLE_ROWS", 2)):
+        monkeypatch.setattr(postings, name, value)
+    assert scored_as(got(langmodel.score(stored.coalesce(1), head=30)), want) and scored_as(got(langmodel.score(stored, head=0)), want)
+    none = stored.where("doc_id is null")
+    assert scored_as(got(langmodel.score(none)), sorted(brute.language_model([(None, rows[11][1])]), key=str))
 
 
 def test_language_model_beats_single_words_on_held_out_texts(spark, tmp_path):
@@ -271,6 +288,11 @@ def test_language_model_beats_single_words_on_held_out_texts(spark, tmp_path):
     assert held.s > held.b + 0.2
 
 
+def test_language_model_gains_on_held_out_documents(spark):
+    held = langmodel.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+    assert held.s > held.b + 0.1
+
+
 def test_secrets(stored, empty, rows, spark):
     assert got(secretscan.scan(stored), 5) == sorted(((i, *brute.secrets(t)) for i, t in pairs(rows)), key=str)
     df = spark.createDataFrame([(1, "é token = 'abcdefabcdefabcdef' end", 9), (2, None, None), (3, "clean", 77)], "doc_id long, text string, n_chars long")

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from rowlens.llm import common, decontaminate, langmodel, licenses, quality, secretscan, simhash, substrings, tokencount, warc
+from rowlens.llm import common, decontaminate, langmodel, licenses, postings, quality, secretscan, simhash, substrings, tokencount, warc
 
 RNG = random.Random(3)
 
@@ -273,26 +273,43 @@ def test_pretokens_of_words_are_those_of_texts():
         assert n == len(pieces.tok.encode(t, add_special_tokens=False).ids), t
 
 
+def test_the_ascii_pattern_is_used_only_where_the_library_agrees():
+    assert tokencount.Pieces(tokencount.model_path()).ascii and not tokencount.Pieces(tokencount.model_path("byte_bpe_50k.json")).ascii
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(2)
-    w = langmodel.Weights()
+    w = langmodel.Weights(1024)
     w.a[:] = rng.normal(size=w.a.shape)
     w.b[:] = rng.normal(size=w.b.shape)
-    h = np.array([7, 9, 11], np.uint32)
-    _, f = langmodel.features(h, np.array([3]))
-    total = 0
-    for c in range(256):
-        a, b = langmodel._rows(np.full(3, c), f)
-        total += langmodel._softmax(w.a, a, 3)[:, c // 16] * langmodel._softmax(w.b, b, 3)[:, c % 16]
+    h = np.array([7, 9, 11])
+    n = langmodel.CLASSES * langmodel.MEMBERS
+    total = sum(10 ** langmodel.log10_probability(w, np.full(3, s), h, np.array([3])) for s in range(n))
     assert np.allclose(total, 1)
+    layout = langmodel.Layout([b"", b"one", b"two"], 3)
     text = [b"one two three four five six seven " * 40] * 20
-    trainer = langmodel.Trainer(langmodel.Weights())
+    at, n = postings.numbered([langmodel.tokens(t) for t in text], ids := postings.Ids())
+    places = layout.places(list(ids))
+    trainer = langmodel.Trainer(langmodel.Weights(1024))
     for _ in range(3):
-        trainer.learn(*langmodel.token_hashes(text, {}))
-    before, after = (langmodel.log10_probability(x, *langmodel.token_hashes(text[:1], {}))[0] for x in (langmodel.Weights(), trainer.w))
+        trainer.learn(layout.slots(places)[at], places[at, 0], n)
+    before, after = (langmodel.log10_probability(x, layout.slots(places)[at], places[at, 0], n).sum() for x in (langmodel.Weights(1024), trainer.w))
     assert after > 0.4 * before
 
 
+def test_shares_within_slots_sum_to_one():
+    for heads, buckets in ((0, 1), (5, 3), (langmodel.OWN, 4), (3000, 200)):
+        layout = langmodel.Layout([b"t%d" % i for i in range(heads)], buckets)
+        flat = np.random.default_rng(3).integers(0, 50, heads + layout.pages)
+        counts = langmodel.Counts(layout, flat)
+        slots = np.zeros(langmodel.CLASSES * langmodel.MEMBERS)
+        np.add.at(slots, layout.head_slot, 10**counts.head_share)
+        np.add.at(slots, layout.page_slot, 10**counts.page_share)
+        assert np.allclose(slots[slots > 0], 1) and len(set(layout.head_slot) & set(layout.page_slot)) == 0
+        assert len(set(layout.page_slot)) == langmodel.TAIL and counts.total == flat.sum()
+        assert all(layout.page(b"x%d" % i) % buckets == __import__("zlib").crc32(b"x%d" % i) % buckets and layout.page(b"x%d" % i) < layout.pages for i in range(500))
+
+
 def test_secret_spans():
     novelty = secretscan.Novelty()
     key = "Zk3vQ9xT1mB7pL5cR8wY"
