@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,7 +81,7 @@ def values(batch: pa.RecordBatch, name: str) -> list:
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most 8 MB of text or one row."""
     for batch in batches:
-        sizes = np.asarray([len(x) for x in utf8(batch, text)], np.int64)
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if sizes.sum() <= 8 << 20:
             if len(sizes):
                 yield batch

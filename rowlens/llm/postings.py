@@ -19,14 +19,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import pack, slices, small_batches, unpack, utf8
+from rowlens.llm.common import pack, slices, small_batches, unpack
 
 #: Keys of the head; rows of a partition, and of all partitions together (but for one of each), that the sample holds.
-HEAD, SAMPLE_ROWS, SAMPLE_ALL = 16_384, 512, 65_536
+HEAD, SAMPLE_ROWS, SAMPLE_ALL = 16_384, 256, 65_536
 #: Text bytes and rows after which a block is closed.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 60_000
 ROWS = "bucket long, block long, keys binary, sizes binary, docs binary, freqs binary, head binary"
@@ -36,18 +37,31 @@ _GAP = b"\xff"  # never in UTF-8
 
 
 class Ids(dict):
-    """Numbers of words in the order they are met."""
+    """Numbers of keys in the order they are met."""
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
         return n
 
 
-def numbered(texts: list[list[bytes]], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts as numbers, and how many each text has."""
-    n = np.array([len(t) for t in texts], np.int64)
-    parts = [np.fromiter(map(ids.__getitem__, t), np.int64, len(t)) for t in texts]
-    return (np.concatenate(parts) if parts else np.empty(0, np.int64)), n
+def numbered(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of string texts, all words as numbers of these, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    offsets = np.asarray(parts.offsets)
+    found = parts.flatten().dictionary_encode()
+    at, words = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary())
+    n = np.diff(offsets)
+    empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)
+    if len(empty):  # before, after and instead of words
+        there = at != empty[0]
+        n = np.diff(np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]])
+        at = at[there]
+    return words, at, n.astype(np.int64)
+
+
+def column(held: list[pa.RecordBatch], name: str) -> pa.Array:
+    """A string column of batches; null becomes empty."""
+    return pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in held]).cast(pa.string()).combine_chunks().fill_null("")
 
 
 def counted(key: np.ndarray, doc: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,20 +77,19 @@ def counted(key: np.ndarray, doc: np.ndarray, count: np.ndarray | None = None) -
     return pair >> 16, pair & 0xFFFF, count
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int | None = None, rows: int | None = None) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int | None = None, rows: int | None = None) -> Iterator[tuple[int, list[pa.RecordBatch], pa.Array]]:
     """Batches and texts gathered into blocks, numbered by partition and order."""
     size, rows = size or BLOCK_BYTES, rows or BLOCK_ROWS
-    part, held, texts, n = TaskContext.get().partitionId() << 20, [], [], 0
+    part, held, n, many = TaskContext.get().partitionId() << 20, [], 0, 0
     for b in slices(batches, text_col):
-        t = utf8(b, text_col)
-        if texts and (n + sum(map(len, t)) > size or len(texts) + len(t) > rows):
-            yield part, held, texts
-            part, held, texts, n = part + 1, [], [], 0
+        more = pc.sum(pc.binary_length(b.column(b.schema.get_field_index(text_col)))).as_py() or 0
+        if held and (n + more > size or many + b.num_rows > rows):
+            yield part, held, column(held, text_col)
+            part, held, n, many = part + 1, [], 0, 0
         held.append(b)
-        texts += t
-        n += sum(map(len, t))
-    if texts:
-        yield part, held, texts
+        n, many = n + more, many + b.num_rows
+    if held:
+        yield part, held, column(held, text_col)
 
 
 def ids_of(held: list[pa.RecordBatch], id_col: str) -> list:
@@ -153,7 +166,7 @@ def commonest(docs: DataFrame, text_col: str, splits: int, keys_of, n: int = HEA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, count, left = keys_of(), Counter(), rows
         for b in slices(batches, text_col):
-            count.update(some(utf8(b.slice(0, left), text_col)))
+            count.update(some(column([b.slice(0, left)], text_col)))
             left -= b.num_rows
             if left <= 0:
                 break

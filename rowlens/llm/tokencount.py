@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,13 +112,12 @@ class Pieces:
         return [len(e.ids) for e in self.tok.encode_batch_fast(pretokens, add_special_tokens=False)]
 
 
-def _block(pieces: Pieces, head: dict[bytes, int], buckets: int, block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _block(pieces: Pieces, head: dict[bytes, int], buckets: int, block: int, ids: list, texts: pa.Array) -> Iterator[pa.RecordBatch]:
     """A block's header, with the sums over the head, and its postings of other pre-tokens."""
-    of = Ids()
-    word, n = numbered([t.split() for t in texts], of)
+    words, word, n = numbered(texts)
     word, doc, count = counted(word, np.repeat(np.arange(len(texts)), n))
-    made, common, rest, size = Ids(), np.zeros(len(of), np.int64), [], np.zeros(len(of), np.int64)
-    for i, parts in enumerate(pieces.pretokens(list(of))):
+    made, common, rest, size = Ids(), np.zeros(len(words), np.int64), [], np.zeros(len(words), np.int64)
+    for i, parts in enumerate(pieces.pretokens(words.to_pylist())):
         for k in parts:
             p = head.get(k)
             if p is None:
@@ -126,7 +126,7 @@ def _block(pieces: Pieces, head: dict[bytes, int], buckets: int, block: int, ids
             else:
                 common[i] += p
     sums = np.bincount(doc, weights=count * common[word], minlength=len(texts)).astype(np.int64)
-    table = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "sum": pa.array(sums)}
+    table = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "sum": pa.array(sums)}
     yield header(block, buckets, table)
     first, n, flat = np.cumsum(size) - size, size[word], np.array(rest, np.int64)
     at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -198,10 +198,10 @@ def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", path: str |
     def sampled():
         pieces = Pieces(path)
 
-        def count(texts: list[bytes]) -> Counter:
-            words = Counter(w for t in texts for w in t.split())
+        def count(texts: pa.Array) -> Counter:
+            words, at, _ = numbered(texts)
             out = Counter()
-            for n, parts in zip(words.values(), pieces.pretokens(list(words)), strict=True):
+            for n, parts in zip(np.bincount(at, minlength=len(words)).tolist(), pieces.pretokens(words.to_pylist()), strict=True):
                 for k in parts:
                     out[k] += n
             return out

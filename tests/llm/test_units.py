@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowlens.llm import common, decontaminate, langmodel, licenses, postings, quality, secretscan, simhash, substrings, tokencount, warc
@@ -287,9 +288,8 @@ def test_probabilities_sum_to_one_and_training_helps():
     total = sum(10 ** langmodel.log10_probability(w, np.full(3, s), h, np.array([3])) for s in range(n))
     assert np.allclose(total, 1)
     layout = langmodel.Layout([b"", b"one", b"two"], 3)
-    text = [b"one two three four five six seven " * 40] * 20
-    at, n = postings.numbered([langmodel.tokens(t) for t in text], ids := postings.Ids())
-    places = layout.places(list(ids))
+    words, at, n = langmodel.tokens(pa.array(["one two three four five six seven " * 40] * 20))
+    places = layout.places(words)
     trainer = langmodel.Trainer(langmodel.Weights(1024))
     for _ in range(3):
         trainer.learn(layout.slots(places)[at], places[at, 0], n)
@@ -307,7 +307,25 @@ def test_shares_within_slots_sum_to_one():
         np.add.at(slots, layout.page_slot, 10**counts.page_share)
         assert np.allclose(slots[slots > 0], 1) and len(set(layout.head_slot) & set(layout.page_slot)) == 0
         assert len(set(layout.page_slot)) == langmodel.TAIL and counts.total == flat.sum()
-        assert all(layout.page(b"x%d" % i) % buckets == __import__("zlib").crc32(b"x%d" % i) % buckets and layout.page(b"x%d" % i) < layout.pages for i in range(500))
+        h = np.random.default_rng(4).integers(0, 1 << 32, 500)
+        assert (layout.page(h) % buckets == h % buckets).all() and layout.page(h).max() < layout.pages
+
+
+def test_gradient_rows_are_summed_whole():
+    rng = np.random.default_rng(5)
+    for rows in (rng.integers(0, 5, 1000), rng.integers(0, 3000, 1000), rng.zipf(1.3, 1000) % 500, np.zeros(9, int), np.array([3]), np.arange(20)):
+        grad = rng.normal(size=(len(rows), 4)).astype(np.float32)
+        at, sums = langmodel._sums(grad, rows)
+        want = np.zeros((3001, 4))
+        np.add.at(want, rows, grad)
+        assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(sums, want[at], atol=1e-4)
+
+
+def test_words_by_number():
+    texts = [" a b\t\x0b", "", "b", "  ", "A\x1c\x85 é\u00a0x a", "\n"]
+    words, at, n = postings.numbered(pa.array(texts))
+    words = words.to_pylist()
+    assert [[words[i] for i in part] for part in np.split(at, np.cumsum(n)[:-1])] == [t.encode().split() for t in texts] and len(set(words)) == len(words)
 
 
 def test_secret_spans():
