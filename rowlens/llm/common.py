@@ -93,6 +93,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
                 yield batch.slice(a, b - a)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pack(a: np.ndarray) -> bytes:
     """Little-endian values with their bytes transposed, so that the shuffle's codec finds the zero bytes."""
     a = np.ascontiguousarray(a)

@@ -6,13 +6,15 @@ a long part of an item counts as well. A pattern of m characters may differ by k
 lemma a region within k edits shares at least m + 1 - q (1 + k) of the pattern's q-grams, and these lie on at
 most k + 1 neighbouring diagonals. Shared q-grams are counted in diagonal bands that overlap by k; regions that reach
 the bound are aligned, in a band, and kept if at most k edits remain. (Where m is too short for the bound to reach 1,
-k is lowered until it does.) Whole texts are searched; a text's work is linear in its length and its shared q-grams.
+k is lowered until it does.) Items shorter than a q-gram have no bound; they are looked for as whole words, without
+edits. Whole texts are searched; a text's work is linear in its length and its shared q-grams.
 
 The benchmark is read in blocks of bounded size (one for all usual benchmarks), each of which is broadcast and searched
-in a pass over the documents, so no side has to be small.
+in a pass over the documents, so no side has to be small. An index takes about 40 bytes for each character of a block.
 
 Defined results: null and empty texts hold nothing; null, empty or wordless items are not looked for; rows that share
-a doc_id are reported as one; without a finding, a document has no row; empty tables give an empty result.
+a doc_id are reported as one (null ids too), in the pipeline each row is judged by itself; without a finding, a document
+has no row; empty tables give an empty result; columns of either table beside id and text play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from rowlens.llm.common import slices, small_batches, utf8
 
 Q, RATE, SPAN, STEP = 8, 0.1, 160, 80
 #: Characters of a benchmark block, which is broadcast, and of text that is searched at once.
-ITEMS_BYTES, CHUNK = 8 << 20, 2 << 20
+ITEMS_BYTES, CHUNK = 4 << 20, 2 << 20
 _TABLE = bytes(ord(" ") if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
@@ -83,8 +85,14 @@ class Items:
     def __init__(self, items: list[tuple[int, bytes]], rate=RATE, q=Q, span=SPAN, step=STEP):
         self.q, self.rate = q, rate
         pats: dict[tuple[int, bytes], None] = {}
+        self.short: dict[bytes, dict[tuple[bytes, ...], list[int]]] = {}  # by first word
         for i, text in items:
             t = normal(text)
+            if 0 < len(t) < q:
+                words = tuple(t.split())
+                owners = self.short.setdefault(words[0], {}).setdefault(words, [])
+                owners += [i] if i not in owners else []
+                continue
             stretches = [t] if len(t) <= span else [t[a : a + span] for a in [*range(0, len(t) - span, step), len(t) - span]]
             for p in stretches:
                 if budget(len(p), rate, q) >= 0:
@@ -97,13 +105,13 @@ class Items:
         grams, owner, offset = [], [], []
         for j, p in enumerate(self.text):
             g = codes(p)
-            grams.append(g), owner.append(np.full(len(g), j)), offset.append(np.arange(len(g)))
-        g, o, f = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((grams, np.uint64), (owner, np.int64), (offset, np.int64)))
+            grams.append(g), owner.append(np.full(len(g), j, np.int32)), offset.append(np.arange(len(g), dtype=np.int32))
+        g, o, f = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((grams, np.uint64), (owner, np.int32), (offset, np.int32)))
         order = np.argsort(g, kind="stable")
         self.owner, self.offset = o[order], f[order]
         self.grams, self.at = np.unique(g[order], return_index=True)
         self.at = np.append(self.at, len(g))
-        self.bits = min(26, max(16, len(self.grams).bit_length() + 5))
+        self.bits = min(24, max(16, len(self.grams).bit_length() + 5))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.grams)] = True
 
@@ -124,7 +132,7 @@ class Items:
         if not n.sum():
             return []
         each = np.repeat(self.at[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        p = self.owner[each]
+        p = self.owner[each].astype(np.int64)
         d = np.repeat(pos, n) - self.offset[each] + self.m[p]  # not negative
         shift = self.k[p] + 1
         b = d // shift
@@ -136,6 +144,19 @@ class Items:
         p, b = p[reach], b[reach]
         return list(zip(p.tolist(), (b * (self.k[p] + 1) - self.m[p]).tolist(), strict=True))
 
+    def whole(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(item, 0, first character, end) of the short items that stand in a normalised text as whole words."""
+        words = text.split(b" ")
+        if self.short.keys().isdisjoint(words):
+            return []
+        out, at = [], 0
+        for i, w in enumerate(words):
+            for short, owners in self.short.get(w, {}).items():
+                if tuple(words[i : i + len(short)]) == short:
+                    out += [(o, 0, at, at + sum(map(len, short)) + len(short) - 1) for o in owners]
+            at += len(w) + 1
+        return out
+
     def verify(self, text: bytes, pattern: int, diagonal: int) -> tuple[int, int, int] | None:
         """(edits, about the first character, end) of a region in the band, if it is within budget."""
         k, m = int(self.k[pattern]), int(self.m[pattern])
@@ -161,11 +182,16 @@ def codes(text: bytes) -> np.ndarray:
 def search(texts: list[bytes], items: Items) -> list[list[tuple]]:
     """For each text (item, edits, first character, end) of its regions, in the normalised text."""
     out: list[list[tuple]] = [[] for _ in texts]
-    if not items.text:
+    if not items.text and not items.short:
         return out
     chunk, first, size = [], 0, 0
 
     def flush():
+        if items.short:
+            for j, t in enumerate(chunk):
+                out[first + j] += items.whole(t)
+        if not items.text:
+            return
         starts = np.cumsum([0, *(len(t) + Q for t in chunk)])
         line = (b"\0" * Q).join(chunk)
         for p, d in items.bands(line):

@@ -2,7 +2,7 @@
 
 Each source has a weight schedule over training time t in [0, 1]: its share of the mix times
 ``1 + tilt * (2 t - 1)``, whose integral over the run is the source's target. A source's documents stand in a
-seeded order; the words before a document are cumulative demand, and inverting the integrated schedule
+seeded order (by a hash of id and text); the words before a document are cumulative demand, and inverting the integrated schedule
 ``D(t) = target * ((1 - tilt) t + tilt t^2)`` at that demand gives the document's training position. A source
 whose target exceeds its size is passed through a second time. The last document of a source is cut at the
 target, so a source's taken words equal its rounded target.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import WORD, materialize
+from rowlens.llm.common import WORD, free, materialize
 
 #: The row key that the training order gives its input.
 ROW = "__row"
@@ -60,7 +60,7 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
     row = [] if row_col is None else [row_col]
     if cap > 2:
         raise ValueError("a document is passed at most twice")
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("0"), source_col), F.lit("1")).alias("skey"), h.alias("h"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row,
@@ -93,11 +93,11 @@ def training_order(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """The columns of ``docs`` and ``mix_pass`` (0, 1), ``mix_words`` (of the text that this pass takes) and
     ``mix_position``, one row per pass of a document, range-sorted by position. Documents not taken do not come.
 
-    Passes are joined to documents by a row key that is written with them, so ids may be null or shared."""
-    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
-    a = assign(keyed, id_col, row_col=ROW, **options).select(F.col(ROW).alias("__mix_row"), F.explode(F.array(*(
-        F.struct(F.lit(i).alias("p"), F.col(w).alias("w"), F.col(t).alias("t")) for i, (w, t) in enumerate((("first_taken", "position"), ("second_taken", "second_position")))
-    ))).alias("__mix"))
-    a = a.where(F.col("__mix.w") > 0)
-    out = keyed.join(a, F.col(ROW) == F.col("__mix_row")).select(*(keyed[c] for c in docs.columns), F.col("__mix.p").alias("mix_pass"), F.col("__mix.w").alias("mix_words"), F.col("__mix.t").alias("mix_position"))
-    return out.orderBy("mix_position", id_col, "mix_pass")
+    Passes are joined to documents by a row key that is written with them, so ids may be null or shared. Columns of
+    ``docs`` by the three names are replaced."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("mix_pass", "mix_words", "mix_position")))
+    row = free(docs, ROW)
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    passes = F.array(*(F.struct(F.lit(i).alias("p"), F.col(w).alias("w"), F.col(t).alias("t")) for i, (w, t) in enumerate((("first_taken", "position"), ("second_taken", "second_position")))))
+    a = assign(keyed, id_col, row_col=row, **options).select(F.col(row), F.explode(passes).alias("mix")).select(row, F.col("mix.p").alias("mix_pass"), F.col("mix.w").alias("mix_words"), F.col("mix.t").alias("mix_position"))
+    return keyed.join(a.where("mix_words > 0"), row).drop(row).orderBy("mix_position", id_col, "mix_pass")

@@ -43,7 +43,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.assign(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position").orderBy("position", "doc_id")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ t AS (SELECT r, count(*) AS kept, string_agg(word, ' ' ORDER BY i) AS line FROM
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
 
 _SQL_MIX = f"""
-WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h,
     len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 r AS (SELECT *, row_number() OVER (ORDER BY skey) - 1 AS k FROM s),
@@ -120,7 +120,8 @@ a AS (SELECT doc_id, size, source_size, target, tilt, floor(target + 0.5)::BIGIN
     coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN t USING (skey)),
 b AS (SELECT *, least(size, greatest(0, wanted - start)) AS one, least(size, greatest(0, wanted - start - source_size)) AS two FROM a)
 SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
-  CASE WHEN one > 0 THEN 2.0::DOUBLE * (start::DOUBLE / wanted) / ((1.0::DOUBLE - tilt) + sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * (start::DOUBLE / wanted))) END AS position
+  CASE WHEN one > 0 THEN 2.0::DOUBLE * (start::DOUBLE / wanted) / ((1.0::DOUBLE - tilt) + sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * (start::DOUBLE / wanted))) END AS position,
+  CASE WHEN two > 0 THEN 2.0::DOUBLE * ((start + source_size)::DOUBLE / wanted) / ((1.0::DOUBLE - tilt) + sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * ((start + source_size)::DOUBLE / wanted))) END AS second_position
 FROM b"""
 
 

@@ -38,11 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import materialize, mix64, remove, slices, small_batches, utf8
+from rowlens.llm.common import free, materialize, mix64, remove, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
 #: Least chance that a pair at the distance of a link meets, where the search is not complete to it.
 RECALL = 0.96
+#: Groups that a component is dealt into where its smallest id goes back to its members.
+SALTS = 16
 #: The row key that near-dedup gives its input.
 ROW = "__row"
 #: Assumed seconds for a probed row and for a compared pair and word of 64 bits.
@@ -421,9 +423,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=3, widt
     if edges is None:
         return prints.join(distinct, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
     tree = components(edges)
-    rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    linked = tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
+    rooted = linked.join(distinct, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = distinct.join(rooted.join(smallest, ["root", "salt"]).select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -433,37 +436,35 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
-def _shingle_sets(keyed: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
+def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
     """Of every row its key, id, hashes of text and other columns, and node: fingerprint, size of its shingle set and 128-bit hash of that set."""
     small_batches(keyed.sparkSession)
-    kind = keyed.schema[id_col].dataType.simpleString()
+    kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            texts = utf8(b, text_col)
+        for b in slices(batches, "text"):
+            texts = utf8(b, "text")
             sets = [np.unique(shingle_hashes(t, k)) for t in texts]
             named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
             size = np.array([len(x) for x in sets], np.uint64)
             nodes = _to_binary(np.concatenate([fingerprints(texts, k, width), size[:, None], named], 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, id_col, "__hash", "__rest")), nodes], [ROW, "doc_id", "hash", "rest", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, "doc_id", "hash", "rest")), nodes], [ROW, "doc_id", "hash", "rest", "fp"])
 
-    rest = F.xxhash64(F.lit(0), *(c for c in keyed.columns if c not in (ROW, id_col, text_col)))
-    hashed = keyed.select(ROW, id_col, F.xxhash64(text_col).alias("__hash"), rest.alias("__rest"), text_col)
-    return hashed.mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, rest long, fp binary")
+    return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, rest long, fp binary")
 
 
-def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, text_col: str, k: int) -> DataFrame:
+def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
     """node and its packed sorted shingle hashes, of one row for each node of ``edges``."""
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
     some = materialize(distinct.join(ends, "fp", "left_semi").select(F.col("least").alias(ROW), F.col("fp").alias("node")), "simhash-ends")
     small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in utf8(b, text_col)]
+        for b in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in utf8(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return materialize(keyed.select(ROW, text_col).join(some, ROW).select("node", text_col).mapInArrow(run, "node binary, shingles binary"), "simhash-sets")
+    return materialize(keyed.select(ROW, "text").join(some, ROW).select("node", "text").mapInArrow(run, "node binary, shingles binary"), "simhash-sets")
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -486,7 +487,7 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return out
 
 
-def similar_sets(keyed: DataFrame, distinct: DataFrame, text_col: str, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
+def similar_sets(keyed: DataFrame, distinct: DataFrame, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
     """(node, root) over nodes that shingle sets of at least ``similarity`` link; None if there are under two nodes.
 
     What meets within ``within`` bits is only a candidate. First the edges that span the candidates are verified; then,
@@ -497,7 +498,7 @@ def similar_sets(keyed: DataFrame, distinct: DataFrame, text_col: str, k: int, s
     groups, thresholds, _ = allocate(n, both, complete, width, within=within)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(ordered(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity))), "simhash-edges")
-    sets = _sets_of(edges, keyed, distinct, text_col, k)
+    sets = _sets_of(edges, keyed, distinct, k)
     checked = _verified(edges, sets, similarity)
     name = F.substring("fp", 8 * width + 9, 16)  # equal sets with other repeats have other bits
     twins = distinct.groupBy(name.alias("name")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -520,11 +521,15 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similari
     the first by id (nulls first), text hash and the hash of the other columns. Rows are told apart by a key of their own, so
     those that share an id or have none are judged like any other."""
     within = max(complete, bits_for(similarity, 64 * width))
-    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
-    prints = materialize(_shingle_sets(keyed, id_col, text_col, k, width), "simhash-fp")
+    row = free(docs, ROW)
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    rest = F.xxhash64(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)))
+    keyed = stored.select(F.col(row).alias(ROW), F.col(id_col).alias("doc_id"), rest.alias("rest"), F.col(text_col).alias("text"))
+    prints = materialize(_shingle_sets(keyed, k, width), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
-    tree = similar_sets(keyed, distinct, text_col, k, similarity, width, complete, within)
+    tree = similar_sets(keyed, distinct, k, similarity, width, complete, within)
     rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    losers = rooted.join(first.select("root", F.col(f"first.{ROW}").alias("__first")), "root").where(F.col(ROW) != F.col("__first")).select(ROW)
-    return keyed.join(materialize(losers, "simhash-losers"), ROW, "left_anti").drop(ROW)
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"))
+    kept = materialize(first.select(F.col(f"first.{ROW}").alias(ROW)), "simhash-kept")  # rows are told by their own key, never dealt by root
+    losers = materialize(prints.select(ROW).join(kept, ROW, "left_anti").select(F.col(ROW).alias(row)), "simhash-losers")
+    return stored.join(losers, row, "left_anti").drop(row)

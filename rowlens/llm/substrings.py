@@ -8,8 +8,9 @@ wherever the same words stand, the same boundary does. A symbol together with th
 windows hold equal anchors at equal offsets inside. Windows that hold no anchor (inside long runs) are their own.
 
 Search. 1. The anchors of all texts meet by hash in Spark; those that stand at two places are shared. 2. A window can
-be repeated only if all anchors inside are shared; such windows meet by a 128-bit hash of their 35 words, which
-settles the matter. 3. Covered words are removed. Texts are shuffled once: both joins use the same exchange.
+be repeated only if all anchors inside are shared; such windows meet by two hashes of 64 bits, each a
+polynomial of its own over word hashes of its own, which settles the matter. 3. Covered words are removed. Texts are
+shuffled once: both joins use the same exchange.
 
 Texts are handled in numbered blocks. What a block sends is packed arrays by hash bucket, each anchor or window at
 most once a block (with a mark if it is repeated there already), so the most common window of a corpus sends one
@@ -32,35 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import mix64, pack, partitions_of, slices, small_batches, unpack, utf8
-from rowlens.llm.tokencount import blocks
+from rowlens.llm.postings import blocks, numbered
 
 WINDOW, ROUNDS, LONGEST = 35, 2, 8
 #: One anchor in so many is sent.
 SPARSE = 4
-#: Text bytes of a block, and words whose hashes a task remembers.
-BLOCK, KNOWN = 8 << 20, 200_000
+#: Text bytes of a block.
+BLOCK = 8 << 20
 _FAR = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(texts: list[bytes], known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text begins (one more at the end)."""
-    h = xxhash.xxh64_intdigest
-    out, starts = [], [0]
-    for t in texts:
-        words = t.split()
-        try:
-            row = [known[w] for w in words]
-        except KeyError:
-            if len(known) > KNOWN:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = h(w)
-            row = [known[w] for w in words]
-        out.append(np.array(row, np.uint64))
-        starts.append(starts[-1] + len(row))
-    return np.concatenate(out) if out else np.empty(0, np.uint64), np.array(starts)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of all words (as rows), and where each text begins (one more at the end)."""
+    words, at, n = numbered(texts)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 2)
+    return h.T[:, at], np.concatenate([[0], np.cumsum(n)])
 
 
 def prefix_hash(words: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -242,9 +230,8 @@ def _column(held: list, name: str) -> list:
 
 def _sent_anchors(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for block, held, texts in blocks(batches, "text", BLOCK):
-            words, starts = word_hashes(texts, known)
+            (words, _), starts = word_hashes(texts)
             names, lo, _ = anchors(words, starts, window)
             yield from _send(block, buckets, names, None, lo, _column(held, "k1"), _column(held, "k2"), starts)
 
@@ -253,21 +240,20 @@ def _sent_anchors(buckets: int, window: int):
 
 def _sent_windows(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for block, held, texts in blocks(batches, "text", BLOCK):
-            words, starts = word_hashes(texts, known)
-            names, lo, hi = anchors(words, starts, window)
+            both, starts = word_hashes(texts)
+            names, lo, hi = anchors(both[0], starts, window)
             told = [unpack(s, np.uint32).astype(np.int64) + a for s, a in zip(_column(held, "spots"), starts, strict=False)]
-            shared = np.zeros(len(words) + 1, bool)
+            shared = np.zeros(both.shape[1] + 1, bool)
             shared[np.concatenate(told)] = True
             alone = ~shared[lo]
-            out = np.zeros(len(words) + 2, np.int64)  # windows around an anchor that stands nowhere else
+            out = np.zeros(both.shape[1] + 2, np.int64)  # windows around an anchor that stands nowhere else
             np.add.at(out, np.maximum(hi[alone] - window, 0), 1)
             np.add.at(out, lo[alone] + 1, -1)
             at = windows(starts, window)
             at = at[np.cumsum(out)[at] == 0]
             h = []
-            for base in (_B1, _B2):
+            for words, base in zip(both, (_B1, _B2), strict=True):
                 sums, inverse = prefix_hash(words, base)
                 h.append(mix64((sums[at + window] - sums[at]) * inverse[at]))
             yield from _send(block, buckets, *h, at, _column(held, "k1"), _column(held, "k2"), starts)

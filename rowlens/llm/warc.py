@@ -16,8 +16,8 @@ or has a bad checksum, the records before the break come, except one that ends w
 
 Defined results: a null payload is empty; null ids are written as such, and a group of equal payloads without any
 id is all responses; rows that share the largest id of their group are all responses; urls are percent-escaped;
-an empty table writes and reads nothing. An archive holds at most ``records`` rows, which bounds what a reader
-holds in memory.
+an empty table writes and reads nothing; other columns of ``pages`` play no part. An archive begins with a warcinfo record
+and holds at most ``RECORDS`` rows and ``ARCHIVE_BYTES`` (or one larger record); a reader holds one archive in memory.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.common import new_path, small_batches, utf8, values
 
-MIN_BYTES, RECORDS = 1000, 2000
+MIN_BYTES = 1000
+#: Rows and bytes (before the last record, compressed) of an archive; bytes in which a record's header has to end.
+RECORDS, ARCHIVE_BYTES, HEADER_BYTES = 2000, 32 << 20, 1 << 20
 _URN = "urn:x-row:"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
@@ -53,6 +55,17 @@ def record(row_id, url: str, payload: bytes, sha1: str, kind: str, refers, level
     ]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{refers}>"]
+    return _packed(head, block, level)
+
+
+def info(level: int = 4) -> bytes:
+    """The record that an archive begins with, in the form of :func:`record`."""
+    block = b"software: rowlens\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:x-info:0>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return _packed(head, block, level)
+
+
+def _packed(head: list[str], block: bytes, level: int) -> bytes:
     whole = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     out = packer.compress(whole) + packer.flush()
@@ -60,8 +73,8 @@ def record(row_id, url: str, payload: bytes, sha1: str, kind: str, refers, level
     return out[:-1]
 
 
-def write_archives(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", min_bytes=MIN_BYTES, records=RECORDS) -> None:
-    """Write ``pages`` as .warc.gz members below ``path``.
+def write_archives(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", min_bytes=MIN_BYTES, records=RECORDS, size=ARCHIVE_BYTES) -> None:
+    """Write ``pages`` as archives of gzip members below ``path``, in a folder for each of a task's archives in turn.
 
     Only digests are grouped; the table of repeated digests then meets the pages in a join whose hot digests
     adaptive execution splits (or which it broadcasts, when small)."""
@@ -74,13 +87,23 @@ def write_archives(pages: DataFrame, path: str, id_col="page_id", url_col="url",
     rows = rows.join(winners, large & (F.col("sha1") == F.col("key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, n, held = -1, records, 0
         for b in batches:
             ids, urls, payloads, sha1, tops = values(b, "id"), values(b, "url"), utf8(b, "payload"), values(b, "sha1"), values(b, "top")
-            out = [record(i, u, p, s, "response" if t is None or i == t else "revisit", t) for i, u, p, s, t in zip(ids, urls, payloads, sha1, tops, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    members = rows.select("id", "url", "payload", "sha1", "top").mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
+            out = []
+            for i, u, p, s, t in zip(ids, urls, payloads, sha1, tops, strict=True):
+                member = record(i, u, p, s, "response" if t is None or i == t else "revisit", t)
+                if n >= records or held + len(member) > size and n:
+                    archive, n, held = archive + 1, 0, 0
+                    out.append((info(), archive))
+                n, held = n + 1, held + len(member)
+                out.append((member, archive))
+            if out:
+                members, archives = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(archives, pa.int32())], ["member", "archive"])
+
+    members = rows.select("id", "url", "payload", "sha1", "top").mapInArrow(run, "member binary, archive int")
+    members.select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive").option("compression", "none").option("lineSep", "\x00").text(path)
 
 
 class Bad(ValueError):
@@ -127,7 +150,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """The header, block and end of the record at an offset of unpacked bytes, checked."""
     if not data.startswith(_VERSION, at):
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", at)
+    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if stop < 0:
         raise Bad("header without end")
     head = {}
@@ -164,9 +187,22 @@ def _checked(head: dict, block: bytes) -> dict:
     return {"kind": kind, "id": ident("warc-record-id"), "refers_to": ident("warc-refers-to"), "uri": head.get("warc-target-uri", ""), "sha1": sha1, "n": size, "payload": payload if kind == "response" else None}
 
 
+class _Next:
+    """The next place where a member or record may begin; each byte is searched once, however many checks fail."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {_MAGIC: -1, _VERSION: -1}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        if self.found[what] < at:
+            p = self.data.find(what, at)
+            self.found[what] = p if p >= 0 else len(self.data)
+        return self.found[what]
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(start, end, record or None, reason) of an archive's records and quarantined gaps, in order and without holes."""
-    at, gap, why = 0, -1, ""
+    at, gap, why, onward = 0, -1, "", _Next(data)
     while at < len(data):
         out, end, broken, bad = [], at, "", ""
         try:
@@ -181,8 +217,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         except Bad as e:
             if gap < 0:
                 gap, why = at, str(e)
-            nexts = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if p >= 0]
-            at = min(nexts, default=len(data))
+            at = min(onward(_MAGIC, at + 1), onward(_VERSION, at + 1))
             continue
         if gap >= 0:
             yield gap, at, None, why
@@ -191,8 +226,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             yield at, end, r, ""
         if broken:
             gap, why = at, broken
-            nexts = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, max(end, at + 1))) if p >= 0]
-            at = min(nexts, default=len(data))
+            at = min(onward(_MAGIC, at + 1), onward(_VERSION, max(end, at + 1)))
             continue
         if bad:
             yield at, end, None, bad
@@ -206,7 +240,7 @@ SCHEMA = "archive string, start long, stop long, gap_reason string, record_type
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record, and for each quarantined gap (``gap_reason`` not null, record columns null)."""
-    small_batches(spark, 8)
+    small_batches(spark, 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -233,5 +267,5 @@ def round_trip(pages: DataFrame, id_col="page_id", url_col="url", payload_col="h
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, payload_col)
-    back = read_archives(spark, path, with_payload=False).where("gap_reason is null")
+    back = read_archives(spark, path, with_payload=False).where("gap_reason is null and record_type <> 'warcinfo'")
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

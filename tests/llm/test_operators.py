@@ -154,6 +154,15 @@ def test_warc(spark, tmp_path, monkeypatch):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top[t or ""] if revisit else None))
     assert got(warc.round_trip(pages)) == sorted(want, key=str)
     assert not warc.round_trip(pages.limit(0)).collect()
+    clashing = pages.selectExpr("*", "1 id", "'x' payload", "2 top", "3 key", "'y' sha1", "4 archive", "5 member", "6 n")
+    assert got(warc.round_trip(clashing)) == sorted(want, key=str)
+    warc.write_archives(pages.coalesce(1), f"{tmp_path}/a", records=7, size=2000)  # archives bounded by rows and bytes
+    back = warc.read_archives(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.id, r.payload_bytes, r.record_type) for r in back if r.record_type != "warcinfo" and r.id is not None) == sorted((w[0], w[1], w[3]) for w in want if w[0] is not None)
+    archives = {}
+    for r in sorted(back, key=lambda r: (r.archive, r.start)):
+        archives.setdefault(r.archive, []).append(r)
+    assert len(archives) > 6 and all(x[0].record_type == "warcinfo" and len(x) <= 8 and (x[-1].stop <= 2600 or len(x) == 2) and not any(y.gap_reason for y in x) for x in archives.values())
 
 
 def test_substrings(stored, empty, rows):
@@ -200,6 +209,18 @@ def test_quality(spark, stored, empty, rows):
     assert quality.judge(stored, none).where("kept = base_failed").count() == 0 and not quality.judge(empty, none).collect() and not quality.keep(empty, labels).collect()
 
 
+def test_clashing_names_in_the_pipeline(spark):
+    rng = random.Random(3)
+    names = ["__row", "__ROW_", "__n", "__keep", "__hash", "__rest", "hash", "rest", "fp", "root", "node", "mix", "mix_position", "mix_pass", "taken", "size", "h", "skey", "bucket", "a.b"]
+    rows = [(i, prose(rng, 60) if i < 8 else "same text of a few words", f"s{i % 2}", *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(9)) and {tuple(r)[3:] for r in kept.collect()} == {tuple(range(len(names)))}
+    mixed = mixing.training_order(docs)
+    assert mixed.columns == [*(c for c in docs.columns if c not in ("mix_position", "mix_pass")), "mix_pass", "mix_words", "mix_position"]
+    assert sum(r.mix_words for r in mixed.collect()) == sum(r.taken for r in mixing.assign(docs).collect())
+
+
 def test_mixing(stored, empty, rows):
     a = mixing.assign(stored).collect()
     assert len(a) == len(rows)
@@ -258,6 +279,40 @@ def test_decontamination(spark, stored, empty, rows, monkeypatch):
     assert not decontaminate.find_leaks(empty, bench).collect() and not decontaminate.find_leaks(stored, bench.limit(0)).collect()
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(17)
+    items = [(i, prose(rng, n, "etaoin")) for i, n in enumerate((1, 1, 2, 6, 12, 20, 25, 60))]
+    texts = []
+    for _ in range(60):
+        t = prose(rng, 30, "etaoin")
+        if rng.random() < 0.6:
+            piece = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(8)):
+                at = rng.randrange(len(piece))
+                piece[at : at + 1] = rng.choice(["", "q", "xy", piece[at]])
+            t = f"{t} {''.join(piece)} {prose(rng, 20, 'etaoin')}"
+        texts.append(t)
+    want = []
+    for d, t in enumerate(texts):
+        line = decontaminate.normal(t.encode()).decode()
+        found = []
+        for i, x in items:
+            p = decontaminate.normal(x.encode()).decode()
+            if len(p) < decontaminate.Q:
+                ok = f" {p} " in f" {line} "
+            else:
+                span, step = decontaminate.SPAN, decontaminate.STEP
+                stretches = [p] if len(p) <= span else [p[a : a + span] for a in [*range(0, len(p) - span, step), len(p) - span]]
+                ok = any(brute.edits(s, line) <= decontaminate.budget(len(s)) for s in stretches)
+            found += [i] if ok else []
+        if found:
+            want.append((d, found))
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(*x, 7) for x in items], "item_id long, text string, doc_id long")
+    assert [(r.doc_id, r.item_ids) for r in decontaminate.find_leaks(docs, bench).orderBy("doc_id").collect()] == want and len(want) > 20
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == sorted(set(range(60)) - {d for d, _ in want})
+
+
 def scored_as(out, want):
     return [x[:5] for x in out] == [x[:5] for x in want] and all(abs(x[5] - y[5]) < 1e-6 * abs(y[5]) + 1e-9 for x, y in zip(out, want, strict=True))
 

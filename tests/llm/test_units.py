@@ -162,6 +162,23 @@ def test_salvage_inside_members_of_several_records():
     assert found(whole[: len(whole) * 3 // 4])[0][:1] == [0] and found(whole[: len(whole) * 3 // 4])[1] == ["gzip: member is cut off"]
 
 
+def test_salvage_takes_linear_time():
+    import time
+
+    body = b"x" * 40
+    bad = warc.record(1, "u", body, "0" * 40, "response", None) + b"\0"
+    took = []
+    for n in (1000, 8000):
+        began = time.perf_counter()
+        (s, e, r, why), = warc.salvage(bad * n)
+        took.append(time.perf_counter() - began)
+        assert (s, e, r) == (0, len(bad) * n, None) and why == "payload digest does not match"
+    assert took[1] < 24 * took[0]
+    tail = b"z" * (2 << 20)
+    versions = (warc._VERSION + b"1 no header\n") * 3000 + tail
+    assert [r for _, _, r, _ in warc.salvage(versions)] == [None]
+
+
 def test_salvage_of_plain_archives():
     import gzip
 
@@ -185,7 +202,7 @@ def test_every_repeated_window_keeps_only_shared_anchors(monkeypatch, rounds, sp
         letters = [b"%d" % i for i in range(alphabet)]
         shared = words_of(30, letters)
         texts = [words_of(RNG.randrange(60), letters) + b" " + shared[RNG.randrange(10) * 2 :] + b" " + words_of(RNG.randrange(20), letters) for _ in range(5)] + [b"", b"0 " * 40]
-        words, starts = substrings.word_hashes(texts, {})
+        (words, _), starts = substrings.word_hashes(pa.array([t.decode() for t in texts]))
         at = substrings.windows(starts, window)
         seen = Counter(tuple(words[p : p + window]) for p in at)
         names, lo, hi = substrings.anchors(words, starts, window)
@@ -263,6 +280,13 @@ def test_search_finds_what_the_budget_allows():
     assert decontaminate.search([b"abc"], decontaminate.Items([(1, b""), (2, b"...")])) == [[]] and decontaminate.budget(5) == -1
 
 
+def test_short_items_are_found_as_whole_words():
+    index = decontaminate.Items([(1, b"abc def"), (2, b"x"), (3, b"Abc-"), (4, b"abc"), (5, b"q" * 8), (4, b"abc")])
+    got = decontaminate.search([b"zz abc def zz", b"zabc defz", b"x, X! xx", b"(ABC) d", b"", b"a " + b"q" * 8], index)
+    assert got == [[(1, 0, 3, 10), (3, 0, 3, 6), (4, 0, 3, 6)], [], [(2, 0, 0, 1), (2, 0, 2, 3)], [(3, 0, 0, 3), (4, 0, 0, 3)], [], [(5, 0, 2, 10)]]
+    assert decontaminate.search([b"zz abc def zz"], decontaminate.Items([(1, b"abc def")])) == [[(1, 0, 3, 10)]]
+
+
 # ---- tokens, language model, secrets
 
 
@@ -321,6 +345,11 @@ def test_gradient_rows_are_summed_whole():
         assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(sums, want[at], atol=1e-4)
 
 
+def test_word_hashes_are_independent():
+    both, starts = substrings.word_hashes(pa.array([" a b a", "", "b"]))
+    assert starts.tolist() == [0, 3, 3, 4] and both[0, 0] == both[0, 2] != both[0, 1] == both[0, 3] and (both[0] != both[1]).all()
+
+
 def test_words_by_number():
     texts = [" a b\t\x0b", "", "b", "  ", "A\x1c\x85 é\u00a0x a", "\n"]
     words, at, n = postings.numbered(pa.array(texts))
