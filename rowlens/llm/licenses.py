@@ -1,7 +1,9 @@
 """License scans by template-markup matching.
 
 A template is wording with markup: ``<<opt: ...>>`` may be absent (and may nest), ``<<var: n>>`` stands for up to
-n words of any kind; all other words are mandatory and have to match exactly. Templates are compiled into one
+n words of any kind; all other words are mandatory and have to match exactly. The markup of public licence templates is read
+as well: ``<<beginOptional>> .. <<endOptional>>``, and ``<<var;name=..;original=..;match=..>>``, whose pattern may be a
+wildcard (``.+``, ``.*``, ``.{0,n}``: up to n words, ``VAR_WORDS`` at most) or wordings separated by ``|``. Templates are compiled into one
 token automaton (Thompson construction, determinised lazily while texts are read), run from every place where a
 template can begin; a text is accepted where mandatory wording matches word for word, whatever its optional and
 replaceable regions hold. The phrases of the base labels are templates without markup.
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 
 from rowlens.llm.common import slices, small_batches, utf8
 
+#: Words that an unbounded wildcard may stand for, and bytes of a table of templates.
+VAR_WORDS, TABLE_BYTES = 60, 16 << 20
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -34,6 +38,17 @@ TEMPLATES = (
     ("licensed under cc by nc <<var: 2>>", "cc-by-nc"),
     ("licensed under <<opt: a creative commons attribution>> cc by sa <<var: 2>>", "cc-by-sa"),
     ("copyright <<var: 12>> all rights reserved", "copyright-reserved"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license <<opt: you may obtain a copy of the license at http www apache org licenses license 2 0>>",
+        "apache-2.0-notice",
+    ),
+    (
+        "is free software you can redistribute it and or modify it under the terms of the gnu <<opt: lesser>> <<opt: affero>> general public license as published by the free software foundation either version <<var: 2>> of the license or "
+        "<<opt: at your option>> any later version",
+        "gnu-gpl-notice",
+    ),
+    ("this source code form is subject to the terms of the mozilla public license <<opt: v>> <<opt: version>> 2 0", "mpl-2.0-notice"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
@@ -55,26 +70,52 @@ TEMPLATES = (
 )
 
 
+_MARK = re.compile(r"<<\s*opt:|<<\s*beginOptional[^>]*>>|<<\s*endOptional[^>]*>>|<<\s*var[:;](?:[^>\"]|\"[^\"]*\")*>>|>>|[^\s<>]+", re.I)
+
+
+def _replaceable(mark: str):
+    """('var', n), or ('any', wordings) where a pattern lists them."""
+    if n := re.fullmatch(r"<<\s*var:\s*(\d+)\s*>>", mark):
+        return ("var", int(n[1]))
+    said = re.search(r'match\s*=\s*"?([^;">]*)"?', mark)
+    pattern = said[1].strip() if said else ".+"
+    if wild := re.fullmatch(r"\.(?:[+*]\??|\{\d*,?(\d*)\})", pattern):
+        return ("var", min(int(wild[1] or VAR_WORDS), VAR_WORDS))
+    if re.search(r"[\[\](){}*+?^$\\.]", pattern):
+        raise ValueError(f"unsupported pattern: {pattern[:60]}")
+    return ("any", [w for x in pattern.split("|") if (w := [t.decode() for t in TOKEN.findall(x.lower().encode())])])
+
+
 def parse(markup: str) -> list:
-    """Words, ('opt', items) and ('var', n), in order."""
+    """Words, ('opt', items), ('var', n) and ('any', wordings), in order."""
     stack: list[list] = [[]]
-    for t in re.findall(r"<<opt:|<<var:\s*\d+\s*>>|>>|[^\s<>]+", markup):
-        if t == "<<opt:":
+    for t in _MARK.findall(markup):
+        low = t.lower().replace(" ", "")
+        if low == "<<opt:" or low.startswith("<<beginoptional"):
             stack.append([])
-        elif t == ">>":
+        elif t == ">>" or low.startswith("<<endoptional"):
             if len(stack) < 2:
                 raise ValueError(f"unbalanced markup: {markup[:60]}")
             done = stack.pop()
             stack[-1].append(("opt", done))
-        elif t.startswith("<<var:"):
-            stack[-1].append(("var", int(re.search(r"\d+", t)[0])))
+        elif low.startswith("<<var"):
+            stack[-1].append(_replaceable(t))
         else:
-            stack[-1].append(t)
+            stack[-1] += [w.decode() for w in TOKEN.findall(t.lower().encode())]
     if len(stack) != 1:
         raise ValueError(f"unbalanced markup: {markup[:60]}")
     return stack[0]
 
 
+def templates_of(table: DataFrame, markup_col="markup", label_col="label") -> tuple:
+    """Templates from a table, such as the files of public licence templates. The table is broadcast with the automaton,
+    so its size is checked; rows without markup or label, or that begin with a region, are refused."""
+    size = table.selectExpr(f"coalesce(sum(octet_length({markup_col})), 0)").first()[0]
+    if size > TABLE_BYTES:
+        raise ValueError(f"{size} bytes of templates; at most {TABLE_BYTES} are allowed")
+    return tuple(sorted((r[0], r[1]) for r in table.select(markup_col, label_col).distinct().collect()))
+
+
 def mandatory(items: list) -> int:
     return sum(isinstance(x, str) for x in items)
 
@@ -118,6 +159,11 @@ class Automaton:
                 inner = self._state()
                 self.eps[at].append(inner)
                 self.eps[self._build(x[1], inner)].append(after)
+            elif x[0] == "any":
+                for wording in x[1]:
+                    inner = self._state()
+                    self.eps[at].append(inner)
+                    self.eps[self._build(wording, inner)].append(after)
             else:
                 self.eps[at].append(after)
                 for _ in range(x[1]):
@@ -204,6 +250,6 @@ def template_regex(markup: str) -> str:
     """The same template over words that one blank follows, as SQL engines match it (for the oracle)."""
 
     def of(items: list) -> str:
-        return "".join(f"{x} " if isinstance(x, str) else f"(?:{of(x[1])})?" if x[0] == "opt" else f"(?:[^ ]+ ){{0,{x[1]}}}" for x in items)
+        return "".join(f"{x} " if isinstance(x, str) else f"(?:{of(x[1])})?" if x[0] == "opt" else f"(?:{'|'.join(map(of, x[1]))})" if x[0] == "any" else f"(?:[^ ]+ ){{0,{x[1]}}}" for x in items)
 
     return " " + of(parse(markup))

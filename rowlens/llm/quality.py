@@ -31,7 +31,8 @@ SAMPLE, TREES, ROWS_OF_TREE, SEED = 20_000, 128, 256, 7
 SPARE, BINS = 0.001, 2000
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _UPPER = bytes(range(65, 91))
-FEATURES = ("symbol_share", "repeat_share", "upper_share", "punct_share")
+#: Rule statistics as shares, and the mean length of a word.
+FEATURES = ("symbol_share", "repeat_share", "upper_share", "punct_share", "dup_line_share", "word_length")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -70,7 +71,7 @@ def measure(text: bytes) -> tuple:
     dup = len(lines) - len(set(lines))
     rep = repeated_words(words)
     share = lambda of: (len(inked) - len(inked.translate(None, of))) / len(inked)
-    return (n, chars, symbols, dup, rep, *(log1p(20 * x) for x in (symbols / n, rep / n, share(_UPPER), share(_PUNCT))))
+    return (n, chars, symbols, dup, rep, *(log1p(20 * x) for x in (symbols / n, rep / n, share(_UPPER), share(_PUNCT), dup / len(lines))), log1p(chars / n))
 
 
 def _measured(id_col: str, text_col: str):

@@ -3,8 +3,9 @@
 A candidate is a run of 16 or more characters of ``A-Z a-z 0-9 + / _ = -`` holding both a letter and a digit,
 whose line, or one next to it, names something sensitive; lines of nothing but a candidate, such as the body of a PEM
 block, go on from the line before. Its novelty is its marginal size: the bytes
-that a zstandard frame grows by when the candidate is appended to its surroundings, the compressor being primed
-with a dictionary of code and identifier words. Names, paths and repeated strings cost little; a key, drawn at
+that a zstandard frame grows by when the candidate is appended to its surroundings (``AROUND`` bytes on each side), the
+compressor being primed with a dictionary of code and identifier words and of the identifiers that the text itself
+holds outside of candidates. Names, paths and repeated strings cost little; a key, drawn at
 random, costs nearly its entropy. Candidates of at least ``NOVEL`` marginal bytes per character are reported.
 
 Offsets are code points of the whole text. Base spans always stay; a novel span inside one is not
@@ -34,7 +35,9 @@ SENSITIVE = re.compile(rb"password|passwd|passphrase|secret|token|api_?key|priva
 WORDS_OF_SENSE = (b"pass", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization", b"signature")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 RUN_LINE = re.compile(rb"[\x20\t\"']*[A-Za-z0-9+/_=-]{16,}[\x20\t\r\\\"',]*")
+#: Surrounding bytes on each side, and least marginal bytes for each character of a candidate.
 AROUND, NOVEL = 64, 0.6
+IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{3,}")
 #: Words of code and identifiers that prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key credential bearer authorization signature session client_id client_secret "
@@ -52,6 +55,17 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+        self.words, self.level = words, level
+
+    def with_words_of(self, text: bytes, candidates: list[tuple[int, int]]) -> Novelty:
+        """The compressor primed with the identifiers of a text as well, those inside candidates left out."""
+        rest, done = [], 0
+        for s, e in candidates:
+            rest.append(text[done:s])
+            done = e
+        mined = sorted(set(IDENTIFIER.findall(b"\n".join([*rest, text[done:]]))))
+        return Novelty(f"{b' '.join(mined).decode()} {self.words}", self.level) if mined else self
+
     def marginal(self, before: bytes, candidate: bytes, after: bytes) -> int:
         return len(self.packer.compress(before + b"\n" + after + b"\n" + candidate)) - len(self.packer.compress(before + b"\n" + after + b"\n"))
 
@@ -79,7 +93,7 @@ def novel_spans(text: bytes, low: bytes, known: list, novelty: Novelty) -> list[
     named = [SENSITIVE.search(low, a, b) is not None for a, b in lines]
     if not any(named):
         return []
-    out, body = [], False
+    some, body = [], False
     for i, (a, b) in enumerate(lines):
         alone = RUN_LINE.fullmatch(text, a, b) is not None
         near = named[i] or i > 0 and named[i - 1] or i + 1 < len(lines) and named[i + 1] or body and alone
@@ -89,11 +103,12 @@ def novel_spans(text: bytes, low: bytes, known: list, novelty: Novelty) -> list[
         for c in CANDIDATE.finditer(text, a, b):
             s, e = c.span()
             found = c[0]
-            if not re.search(rb"[0-9]", found) or not re.search(rb"[A-Za-z]", found) or any(x <= s and e <= y for x, _, y in known):
-                continue
-            if novelty.marginal(text[max(0, s - AROUND) : s], found, text[e : e + AROUND]) >= NOVEL * (e - s):
-                out.append((s, 3, e))
-    return out
+            if re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found) and not any(x <= s and e <= y for x, _, y in known):
+                some.append((s, e))
+    if not some:
+        return []
+    novelty = novelty.with_words_of(text, [c.span() for c in CANDIDATE.finditer(text) if re.search(rb"[0-9]", c[0]) and re.search(rb"[A-Za-z]", c[0])])
+    return [(s, 3, e) for s, e in some if novelty.marginal(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= NOVEL * (e - s)]
 
 
 def spans(text: bytes, novelty: Novelty) -> list[tuple[int, int, int]]:

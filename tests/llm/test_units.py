@@ -335,6 +335,29 @@ def test_shares_within_slots_sum_to_one():
         assert (layout.page(h) % buckets == h % buckets).all() and layout.page(h).max() < layout.pages
 
 
+def test_public_template_markup_and_labels(spark):
+    public = "Permission <<beginOptional>> is hereby <<endOptional>> granted by <<var;name=\"who\";original=\"me\";match=\".{0,3}\">> to <<var;name=who;match=\"any person|all  People\">>, end."
+    assert licenses.parse(public) == ["permission", ("opt", ["is", "hereby"]), "granted", "by", ("var", 3), "to", ("any", [["any", "person"], ["all", "people"]]), "end"]
+    table = spark.createDataFrame([(public, "own")], "markup string, label string")
+    auto = licenses.Automaton(licenses.templates_of(table))
+    labels = lambda t: licenses.scan_text(t.encode(), auto)[5]
+    assert labels("Permission granted by A b C to any person. End") == "own" == labels("permission is hereby granted by to all people end")
+    assert not labels("permission granted by a b c d to any person end") and not labels("permission granted by a to people end") and not labels("permission is granted by a to any person end")
+    with pytest.raises(ValueError):
+        licenses.parse('a <<var;match="x[0-9]+">>')
+    auto = licenses.Automaton()
+    for text, label in (
+        ("This file is licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2.0,apache-2.0-notice"),
+        ("foo is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu-gpl-notice,gpl"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0-notice"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Released under the MIT License", "mit"),
+        ("Copyright 2020 Some One. All rights reserved.", "copyright-reserved,reserved"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc-text"),
+    ):
+        assert licenses.scan_text(text.encode(), auto)[5] == label
+
+
 def test_gradient_rows_are_summed_whole():
     rng = np.random.default_rng(5)
     for rows in (rng.integers(0, 5, 1000), rng.integers(0, 3000, 1000), rng.zipf(1.3, 1000) % 500, np.zeros(9, int), np.array([3]), np.arange(20)):
@@ -357,6 +380,15 @@ def test_words_by_number():
     assert [[words[i] for i in part] for part in np.split(at, np.cumsum(n)[:-1])] == [t.encode().split() for t in texts] and len(set(words)) == len(words)
 
 
+def test_identifiers_of_the_text_are_not_novel():
+    novelty = secretscan.Novelty()
+    name = "quuxblorptwizzle"
+    text = (f"{name} {name[:9]} zanyfrobnicate\n" * 2 + f"token {name}Zanyfrobnicate1 x").encode()
+    found = [(s, e) for s, k, e in secretscan.spans(text, novelty) if k == 3]
+    alone = [(s, e) for s, k, e in secretscan.spans(f"token {name}Zanyfrobnicate1 x".encode(), novelty) if k == 3]
+    assert alone and not found
+
+
 def test_secret_spans():
     novelty = secretscan.Novelty()
     key = "Zk3vQ9xT1mB7pL5cR8wY"
