@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch of whole texts (one row at least); bounds what a Python worker holds besides a block.
@@ -43,19 +44,71 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[scratch] = []
+
+
+class scratch:
+    """Tables that :func:`materialize` writes inside are deleted at the end, except those named by :meth:`keep`."""
+
+    def __init__(self):
+        self.made: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t._written for t in tables}
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+        for spark, path in self.made:
+            if path not in self.kept:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].made.append((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def row_keyed(df: DataFrame, name: str, label: str) -> DataFrame:
+    """``df`` with a column that tells its rows apart, the same in every job however its scans are split: file and position
+    of a row where ``df`` is a scan of Parquet files (with columns or rows left out), else numbers written with a copy."""
+    if _is_scan(df):
+        key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return df.select("*", key.alias(name))
+    key = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return materialize(df.select("*", key.alias(name)), label)
+
+
+ROW_KIND = "struct<file: long, at: long>"
+
+
+def _is_scan(df: DataFrame) -> bool:
+    if "_metadata" in (c.lower() for c in df.columns):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.toString().strip().endswith("] parquet")
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table from :func:`materialize` that no later plan reads."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._written)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import WORD, free, materialize
+from rowlens.llm.common import WORD, free, materialize, row_keyed
 
 #: The row key that the training order gives its input.
 ROW = "__row"
@@ -93,11 +93,11 @@ def training_order(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """The columns of ``docs`` and ``mix_pass`` (0, 1), ``mix_words`` (of the text that this pass takes) and
     ``mix_position``, one row per pass of a document, range-sorted by position. Documents not taken do not come.
 
-    Passes are joined to documents by a row key that is written with them, so ids may be null or shared. Columns of
+    Passes are joined to documents by a key of the row (see :func:`rowlens.llm.common.row_keyed`), so ids may be null or shared. Columns of
     ``docs`` by the three names are replaced."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("mix_pass", "mix_words", "mix_position")))
     row = free(docs, ROW)
-    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    keyed = row_keyed(docs, row, "mix-rows")
     passes = F.array(*(F.struct(F.lit(i).alias("p"), F.col(w).alias("w"), F.col(t).alias("t")) for i, (w, t) in enumerate((("first_taken", "position"), ("second_taken", "second_position")))))
     a = assign(keyed, id_col, row_col=row, **options).select(F.col(row), F.explode(passes).alias("mix")).select(row, F.col("mix.p").alias("mix_pass"), F.col("mix.w").alias("mix_words"), F.col("mix.t").alias("mix_position"))
     return keyed.join(a.where("mix_words > 0"), row).drop(row).orderBy("mix_position", id_col, "mix_pass")

@@ -18,9 +18,10 @@ bits link; beyond ``complete`` bits (where ``within`` is larger) the plan is the
 ``within`` bits meets with a chance of at least ``RECALL``, however many rows there are.
 Components are the smallest ids reachable, by alternating star contractions written to the shared folder.
 
-Dropping rows. :func:`deduplicate` takes links as candidates only: an edge counts if the shingle sets of its ends have the
-Jaccard similarity asked for. Edges that span the candidates are tried first; where one fails, all other candidate pairs
-between what the good ones have left apart.
+Dropping rows. :func:`deduplicate` fingerprints the set of a text's shingles and takes links as candidates only: an edge
+counts if the shingle sets of its ends have the Jaccard similarity asked for. In a group that meets, the candidates are a
+least spanning forest by bits and each row's nearest: a number that grows with the rows and not with their pairs. So a link is
+missed where the pair is too far apart in bits, or where nearer pairs on all ways between its ends fail.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a text shorter than a shingle is
 one shingle; null ids are ignored when a component takes its smallest id (null if all are); rows that share a doc_id
@@ -38,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import free, materialize, mix64, remove, slices, small_batches, utf8
+from rowlens.llm.common import ROW_KIND, free, materialize, mix64, remove, row_keyed, scratch, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
 #: Least chance that a pair at the distance of a link meets, where the search is not complete to it.
 RECALL = 0.96
+#: Nearest candidates of a row in a group that meets, besides the spanning ones.
+NEAREST = 3
 #: Groups that a component is dealt into where its smallest id goes back to its members.
 SALTS = 16
 #: The row key that near-dedup gives its input.
@@ -65,9 +68,12 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
 
 
 def fingerprints(texts: list[bytes], k: int, width: int = 1) -> np.ndarray:
-    """Rows of ``width`` 64-bit words; all texts' shingles are counted together, one byte of bits at a time."""
-    out = np.zeros((len(texts), width), np.uint64)
-    hashes = [shingle_hashes(t, k) for t in texts]
+    return prints_of([shingle_hashes(t, k) for t in texts], width)
+
+
+def prints_of(hashes: list[np.ndarray], width: int = 1) -> np.ndarray:
+    """Rows of ``width`` 64-bit words of lists of hashes, which are counted together, one byte of bits at a time."""
+    out = np.zeros((len(hashes), width), np.uint64)
     some = np.flatnonzero([len(h) for h in hashes])
     if not len(some):
         return out
@@ -276,25 +282,15 @@ def _probed(groups: list[list[int]], thresholds: list[int], words: int):
     return run
 
 
-def _near(fps: np.ndarray, at, others, words: int, within: int, similarity: float | None) -> np.ndarray:
-    """Whether rows may link: by their bits and, for sets (whose size follows the bits), by what their sizes allow."""
-    near = np.bitwise_count(fps[others, :words] ^ fps[at, :words]).sum(1) <= within
-    if similarity is not None:
-        a, b = fps[at, words], fps[others, words]
-        near &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-    return near
-
-
-def spanning(fps: np.ndarray, probe: np.ndarray, within: int, words: int | None = None, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def spanning(fps: np.ndarray, probe: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect what links within ``within`` bits, in a group that meets; two probes alone don't meet."""
-    words = fps.shape[1] if words is None else words
     left = np.argsort(probe, kind="stable")
     a, b = [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = _near(fps, at, left, words, within, similarity)
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1) <= within
             if probe[at]:
                 near &= ~probe[left]
             if near.any():
@@ -306,19 +302,40 @@ def spanning(fps: np.ndarray, probe: np.ndarray, within: int, words: int | None
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _across(fps: np.ndarray, probe: np.ndarray, within: int, words: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All row pairs that may link and differ in the label, which is the last two words."""
-    labels = fps[:, -2:]
-    if (labels == labels[0]).all():
-        return
-    for at in range(len(fps) - 1):
-        others = at + 1 + np.flatnonzero((labels[at + 1 :] != labels[at]).any(1) & ~(probe[at + 1 :] & probe[at]))
-        if len(others):
-            new = others[_near(fps, at, others, words, within, similarity)]
-            yield np.full(len(new), at), new
+_APART = 1 << 20
+
+
+def _bits_apart(fps: np.ndarray, probe: np.ndarray, at, others, words: int, similarity: float) -> np.ndarray:
+    """Differing bits of nodes; ``_APART`` for two probes and where the sizes of the sets rule the similarity out."""
+    bits = np.bitwise_count(fps[others, :words] ^ fps[at, :words]).sum(-1, dtype=np.int64)
+    one, two = fps[at, words], fps[others, words]
+    return np.where((np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9) & ~(probe[at] & probe[others]), bits, _APART)
 
 
-def _linked(within: int, words: int, similarity: float | None = None, across: bool = False):
+def nearest(fps: np.ndarray, probe: np.ndarray, within: int, words: int, similarity: float, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs within ``within`` bits of a group that meets: a least spanning forest and each row's ``k`` nearest, so at
+    most k + 1 for each row. Of all pairs across a cut of the group the nearest in bits is among them."""
+    n, k = len(fps), NEAREST if k is None else k
+    best, source, out = np.full(n, _APART), np.zeros(n, np.int64), np.ones(n, bool)
+    a, b = [], []
+    for _ in range(n):
+        at = int(np.argmin(np.where(out, best, 2 * _APART)))
+        if best[at] <= within:
+            a.append(source[at]), b.append(at)
+        out[at] = False
+        bits = _bits_apart(fps, probe, at, slice(None), words, similarity)
+        bits[at] = _APART
+        near = np.flatnonzero(bits <= within)
+        if len(near) > k:
+            near = near[np.argpartition(bits[near], k)[:k]]
+        a += [at] * len(near)
+        b += near.tolist()
+        closer = out & (bits < best)
+        best[closer], source[closer] = bits[closer], at
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _linked(within: int, words: int, similarity: float | None = None):
     names = ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,23 +364,16 @@ def _linked(within: int, words: int, similarity: float | None = None, across: bo
         starts = np.concatenate([[0], edges[:-1]])
         a, b = [], []
         sizes = edges - starts
-        if across:
-            col, held = _to_binary(fps[:, :-2]), 0
-            for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-                for x, y in _across(fps[s : s + n], probe[s : s + n], within, words, similarity):
-                    a.append(x + s), b.append(y + s)
-                    held += len(x)
-                    if held > 1 << 16:
-                        yield from named(col, a, b)
-                        a, b, held = [], [], 0
-            yield from named(col, a, b)
-            return
         two = starts[sizes == 2]
         if len(two):  # most groups that hold a pair at all
-            near = _near(fps, two, two + 1, words, within, similarity) & ~(probe[two] & probe[two + 1])
+            if similarity is None:
+                near = (np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1) <= within) & ~(probe[two] & probe[two + 1])
+            else:
+                near = _bits_apart(fps, probe, two, two + 1, words, similarity) <= within
             a.append(two[near]), b.append(two[near] + 1)
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            x, y = spanning(fps[s : s + n], probe[s : s + n], within, words, similarity)
+            part = fps[s : s + n], probe[s : s + n], within
+            x, y = spanning(*part) if similarity is None else nearest(*part, words, similarity)
             a.append(x + s), b.append(y + s)
         yield from named(col, a, b)
 
@@ -437,82 +447,69 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
 
 
 def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
-    """Of every row its key, id, hashes of text and other columns, and node: fingerprint, size of its shingle set and 128-bit hash of that set."""
+    """Of every row its key, id, hashes of text and other columns, and node: fingerprint, size and 128-bit hash of its shingle set."""
     small_batches(keyed.sparkSession)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = utf8(b, "text")
-            sets = [np.unique(shingle_hashes(t, k)) for t in texts]
+            sets = [np.unique(shingle_hashes(t, k)) for t in utf8(b, "text")]
             named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
             size = np.array([len(x) for x in sets], np.uint64)
-            nodes = _to_binary(np.concatenate([fingerprints(texts, k, width), size[:, None], named], 1))
+            nodes = _to_binary(np.concatenate([prints_of(sets, width), size[:, None], named], 1))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, "doc_id", "hash", "rest")), nodes], [ROW, "doc_id", "hash", "rest", "fp"])
 
-    return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} long, doc_id {kind}, hash long, rest long, fp binary")
+    return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} {ROW_KIND}, doc_id {kind}, hash long, rest long, fp binary")
 
 
 def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
-    """node and its packed sorted shingle hashes, of one row for each node of ``edges``."""
+    """node and its packed sorted shingle hashes (32 bits of each), of one row for each node of ``edges``."""
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    some = materialize(distinct.join(ends, "fp", "left_semi").select(F.col("least").alias(ROW), F.col("fp").alias("node")), "simhash-ends")
+    some = distinct.join(ends, "fp", "left_semi").select(F.col("least").alias(ROW), F.col("fp").alias("node"))
     small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in utf8(b, "text")]
+            sets = [np.unique((shingle_hashes(t, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in utf8(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return materialize(keyed.select(ROW, "text").join(some, ROW).select("node", "text").mapInArrow(run, "node binary, shingles binary"), "simhash-sets")
+    return keyed.select(ROW, "text").join(some, ROW).select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b and whether the Jaccard similarity of their shingle sets is at least ``similarity``."""
+    """Of a, b those whose shingle sets have at least the Jaccard similarity ``similarity``."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    small_batches(edges.sparkSession, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = materialize(edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean"), "simhash-verified")
-    small_batches(edges.sparkSession)
-    return out
+    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def similar_sets(keyed: DataFrame, distinct: DataFrame, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
     """(node, root) over nodes that shingle sets of at least ``similarity`` link; None if there are under two nodes.
 
-    What meets within ``within`` bits is only a candidate. First the edges that span the candidates are verified; then,
-    where one has failed, every candidate pair whose ends the verified edges have not connected."""
+    What meets within ``within`` bits is a candidate; of these a group gives what :func:`nearest` says, at most ``NEAREST`` + 1
+    for each row. A candidate is a link if the sets themselves have the similarity. Within ``sure`` bits, where sets below
+    the similarity would lie four deviations off, no sets are fetched."""
     n, both = bit_statistics(distinct, 64 * width)
     if n < 2:
         return None
     groups, thresholds, _ = allocate(n, both, complete, width, within=within)
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(ordered(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity))), "simhash-edges")
-    sets = _sets_of(edges, keyed, distinct, k)
-    checked = _verified(edges, sets, similarity)
-    name = F.substring("fp", 8 * width + 9, 16)  # equal sets with other repeats have other bits
-    twins = distinct.groupBy(name.alias("name")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    twins = distinct.select(F.col("fp").alias("a"), name.alias("name")).join(twins, "name").where("a != b").select("a", "b")
-    good = materialize(checked.where("ok").select("a", "b").union(twins), "simhash-good")
-    if checked.where("not ok").limit(1).count():
-        roots = components(good)
-        ends = checked.select(F.col("a").alias("end")).union(checked.select(F.col("b").alias("end"))).distinct()
-        root = F.coalesce("root", "end")
-        labelled = ends.join(roots, F.col("end") == F.col("node"), "left").select(F.concat("end", F.substring(root, 8 * width + 9, 16)).alias("fp"))
-        labelled = materialize(labelled, "simhash-labelled")
-        more = ordered(meetings(labelled, groups, thresholds, width, _linked(within, width, similarity, across=True)))
-        more = materialize(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "simhash-edges")
-        good = good.union(_verified(more, sets, similarity).where("ok").select("a", "b"))
+    sure = bits_for(similarity, 64 * width, -4.0)
+    apart = lambda x, y: sum(F.bit_count(F.conv(F.hex(F.substring(x, 8 * w + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(y, 8 * w + 1, 8)), 16, -10).cast("long"))) for w in range(width))
+    bits = apart("a", "b")
+    doubtful = edges.where(bits > sure)
+    good = materialize(edges.where(bits <= sure).union(_verified(doubtful, materialize(_sets_of(doubtful, keyed, distinct, k), "simhash-sets"), similarity)), "simhash-good")
     return components(good)
 
 
@@ -522,14 +519,16 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similari
     those that share an id or have none are judged like any other."""
     within = max(complete, bits_for(similarity, 64 * width))
     row = free(docs, ROW)
-    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    rows = row_keyed(docs, row, "simhash-rows")
     rest = F.xxhash64(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)))
-    keyed = stored.select(F.col(row).alias(ROW), F.col(id_col).alias("doc_id"), rest.alias("rest"), F.col(text_col).alias("text"))
-    prints = materialize(_shingle_sets(keyed, k, width), "simhash-fp")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
-    tree = similar_sets(keyed, distinct, k, similarity, width, complete, within)
-    rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"))
-    kept = materialize(first.select(F.col(f"first.{ROW}").alias(ROW)), "simhash-kept")  # rows are told by their own key, never dealt by root
-    losers = materialize(prints.select(ROW).join(kept, ROW, "left_anti").select(F.col(ROW).alias(row)), "simhash-losers")
-    return stored.join(losers, row, "left_anti").drop(row)
+    keyed = rows.select(F.col(row).alias(ROW), F.col(id_col).alias("doc_id"), rest.alias("rest"), F.col(text_col).alias("text"))
+    with scratch() as made:
+        prints = materialize(_shingle_sets(keyed, k, width), "simhash-fp")
+        distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
+        tree = similar_sets(keyed, distinct, k, similarity, width, complete, within)
+        rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+        first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"))
+        kept = materialize(first.select(F.col(f"first.{ROW}").alias(ROW)), "simhash-kept")  # rows are told by their own key, never dealt by root
+        losers = materialize(prints.select(ROW).join(kept, ROW, "left_anti").select(F.col(ROW).alias(row)), "simhash-losers")
+        made.keep(losers)
+    return rows.join(losers, row, "left_anti").drop(row)

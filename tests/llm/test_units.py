@@ -335,6 +335,27 @@ def test_shares_within_slots_sum_to_one():
         assert (layout.page(h) % buckets == h % buckets).all() and layout.page(h).max() < layout.pages
 
 
+def test_nearest_spans_what_links_with_few_pairs():
+    rng = np.random.default_rng(6)
+    for n in (3, 4, 40, 300):
+        centres = rng.integers(0, 1 << 63, (3, 2), dtype=np.uint64)
+        fps = np.stack([np.concatenate([centres[i % 3] ^ (np.uint64(1) << rng.integers(0, 64, 2, dtype=np.uint64)), [np.uint64(rng.choice([100, 110, 200])), 0, 0]]) for i in range(n)]).astype(np.uint64)
+        probe = rng.random(n) < 0.3
+        a, b = simhash.nearest(fps, probe, 9, 2, 0.8)
+        assert len(a) <= (simhash.NEAREST + 1) * n
+        allowed = lambda x, y: bool(np.bitwise_count(fps[x, :2] ^ fps[y, :2]).sum() <= 9 and not (probe[x] and probe[y]) and min(fps[x, 2], fps[y, 2]) >= 0.8 * max(fps[x, 2], fps[y, 2]))
+
+        def classes(pairs):
+            root = list(range(n))
+            for x, y in pairs:
+                x, y = root[x], root[y]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        assert all(allowed(x, y) for x, y in zip(a, b, strict=True))
+        assert classes(zip(a.tolist(), b.tolist(), strict=True)) == classes((x, y) for x in range(n) for y in range(x) if allowed(x, y))
+
+
 def test_public_template_markup_and_labels(spark):
     public = "Permission <<beginOptional>> is hereby <<endOptional>> granted by <<var;name=\"who\";original=\"me\";match=\".{0,3}\">> to <<var;name=who;match=\"any person|all  People\">>, end."
     assert licenses.parse(public) == ["permission", ("opt", ["is", "hereby"]), "granted", "by", ("var", 3), "to", ("any", [["any", "person"], ["all", "people"]]), "end"]
