@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.errors import DiffError
 from rowlens.functions import where
+from rowlens.functions.canon import canonical, quoted
 from rowlens.operators import classified, keyed, multiset, snapshot
 from rowlens.operators.infer import infer_key
 from rowlens.output.export import export
 from rowlens.plans.options import Options, Plan, allowed, build_plan, parse_budget
 from rowlens.plans.schema import SchemaDiff, check_renames, columns_of, compare, rename
 from rowlens.result import Result
+from rowlens.sources import scratch
 from rowlens.sources.dataset import Dataset, open_dataset, open_pair
 
+#: Slices of the keys, by hash; early abort compares the first.
+SLICES = 64
+
 
 def _dataset(spark: SparkSession, source, options: Options, text_columns: frozenset = frozenset()) -> Dataset:
     return Dataset(source) if isinstance(source, DataFrame) else open_dataset(spark, source, options.infer_rows, options.delimiter, text_columns)
@@ -101,39 +106,76 @@ def _run(spark: SparkSession, left: Dataset, right: Dataset, options: Options) -
     out.key = key
     plan = build_plan(schema, options, left_cols, right_cols, key)
     whole = options.keyless or options.on_dup == "match"
+    if options.max_diff is not None and not whole and not options.output and options.mode != "stream" and _blown(out, a, b, plan, options):
+        return out
     if not whole and options.on_dup == "error":
         keyed.refuse_duplicates(a, b, plan)
     if options.summary:
         counted = multiset.counts(a, b, plan) if whole else keyed.count_first(keyed.classify_first(a, b, plan)) if options.on_dup == "warn" else keyed.summarize(a, b, plan)
         _fill(out, counted.first().asDict())
         return out
-    rows = multiset.classify(a, b, plan) if whole else keyed.classify_first(a, b, plan) if options.on_dup == "warn" else keyed.classify(a, b, plan)
-    counted = keyed.count_first(rows) if options.on_dup == "warn" else classified.counts(rows)
-    _fill(out, counted.first().asDict())
-    if options.on_dup == "match":
-        per = multiset.counts(a, b, plan).first()
-        out.dup_keys, out.dup_rows = per["dup_keys"], per["dup_rows"]
-        out.dup_examples = [r["key"] for r in keyed.duplicates(a, plan).orderBy("key").limit(options.limit).collect()]
-    if options.max_diff is not None and not options.output and options.on_dup != "match":
-        most = allowed(parse_budget(options.max_diff), out.left_rows, out.right_rows)
-        if out.added + out.removed + out.changed > most:
-            out.aborted, out.abort_reason = True, f"{out.added + out.removed + out.changed} rows differ; {most} may"
-            return out
-    if not out.rows_same:
-        if plan.keys and out.changed:
-            stats = classified.column_stats(rows, plan).collect()
-            out.column_stats = {r["column_name"]: {k: v for k, v in r.asDict().items() if k != "column_name"} for r in sorted(stats, key=lambda r: (-r["changed"], r["column_name"]))}
-        for r in classified.examples(rows, plan, options.limit).collect():
-            if r["status"] == classified.CHANGED:
-                out.changed_examples.append({"key": r["key"], "columns": [c.asDict() for c in r["columns"]]})
-            else:
-                (out.added_examples if r["status"] == classified.ADDED else out.removed_examples).append(r["key"])
-    out.rows = rows
-    if options.output:
-        export(classified.named(rows, plan), options.output, plan)
+    rows = multiset.classify(a, b, plan) if whole else _classified(a, b, plan, options)
+    counts = [*classified.count_columns(), *(keyed.dup_columns() if options.on_dup == "warn" else [])]
+    names = len(counts)
+    row, differing, path = _written(spark, rows, [*counts, *classified.stat_columns(plan)])
+    try:
+        _fill(out, dict(list(row.items())[:names]))
+        if options.on_dup == "match":
+            per = multiset.counts(a, b, plan).first()
+            out.dup_keys, out.dup_rows = per["dup_keys"], per["dup_rows"]
+            out.dup_examples = [r["key"] for r in keyed.duplicates(a, plan).orderBy("key").limit(options.limit).collect()] if out.dup_keys else []
+        if options.max_diff is not None and not options.output and options.on_dup != "match":
+            most = allowed(parse_budget(options.max_diff), out.left_rows, out.right_rows)
+            if out.added + out.removed + out.changed > most:
+                out.aborted, out.abort_reason = True, f"budget of {most} exceeded: {out.added + out.removed + out.changed} rows differ"
+                return out
+        if not out.rows_same:
+            if plan.keys and out.changed:
+                out.column_stats = classified.stats_of(row, plan)
+            for r in classified.examples(differing, plan, options.limit).collect():
+                if r["status"] == classified.CHANGED:
+                    out.changed_examples.append({"key": r["key"], "columns": [c.asDict() for c in r["columns"]]})
+                else:
+                    (out.added_examples if r["status"] == classified.ADDED else out.removed_examples).append(r["key"])
+        out.rows = rows
+        if options.output:
+            export(classified.named(differing, plan), options.output, plan)
+    finally:
+        scratch.remove(spark, path)
     return out
 
 
+def _classified(a: DataFrame, b: DataFrame, plan: Plan, options: Options) -> DataFrame:
+    return (keyed.classify_first if options.on_dup == "warn" else keyed.classify)(a, b, plan)
+
+
+def _written(spark: SparkSession, rows: DataFrame, aggregates: list) -> tuple[dict, DataFrame, str]:
+    """One pass over classified rows: aggregates over all of them, and the differing ones, which are written on the way."""
+    path, seen = scratch.new_path(spark, "differing"), Observation()
+    differs = F.col("status").isin(classified.ADDED, classified.REMOVED, classified.CHANGED)
+    rows.observe(seen, *aggregates).where(differs).write.parquet(path)
+    return seen.get, spark.read.schema(rows.schema).parquet(path), path
+
+
+def _blown(out: Result, a: DataFrame, b: DataFrame, plan: Plan, options: Options) -> bool:
+    """Early abort: one slice of the keys in ``SLICES`` is compared first. If its differing rows alone exceed the budget, the
+    comparison ends with the slice's counts, which are lower bounds."""
+    how, x = budget = parse_budget(options.max_diff)
+    most = int(x) if how == "rows" else allowed(budget, *(df.count() for df in (a, b)))
+    side = lambda df, s: df.where(F.pmod(F.xxhash64(*(canonical(quoted(f.name), (f.left if s == "l" else f.right).kind, f.domain, options) for f in plan.keys)), F.lit(SLICES)) == 0)
+    a, b = side(a, "l"), side(b, "r")
+    if options.on_dup == "error":
+        keyed.refuse_duplicates(a, b, plan)
+    row = _classified(a, b, plan, options).agg(*classified.count_columns()).first().asDict()
+    found = row["added"] + row["removed"] + row["changed"]
+    if found <= most:
+        return False
+    _fill(out, row)
+    out.aborted = out.partial_counts = True
+    out.abort_reason = f"budget of {most} exceeded: {found} rows differ in the first of {SLICES} slices of the keys"
+    return True
+
+
 def _fill(out: Result, row: dict) -> None:
     for name, value in row.items():
         setattr(out, name, value)

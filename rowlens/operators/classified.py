@@ -75,11 +75,31 @@ def key_columns(plan: Plan) -> list[Column]:
     return [F.when(F.col("inl"), typed(F.col(f"lk{i}"), f.domain)).otherwise(typed(F.col(f"rk{i}"), f.domain)).alias(f"k{i}") for i, f in enumerate(plan.keys)]
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """One row of row counts."""
+def count_columns() -> list[Column]:
+    """Aggregates over classified rows: the counts."""
     n = lambda s: F.count_if(F.col("status") == s)
     both = n(CHANGED) + n(UNCHANGED) + n(WITHIN)
-    return rows.agg((n(REMOVED) + both).alias("left_rows"), (n(ADDED) + both).alias("right_rows"), n(ADDED).alias("added"), n(REMOVED).alias("removed"), n(CHANGED).alias("changed"), n(UNCHANGED).alias("unchanged"), n(WITHIN).alias("within_tolerance"))
+    return [(n(REMOVED) + both).alias("left_rows"), (n(ADDED) + both).alias("right_rows"), n(ADDED).alias("added"), n(REMOVED).alias("removed"), n(CHANGED).alias("changed"), n(UNCHANGED).alias("unchanged"), n(WITHIN).alias("within_tolerance")]
+
+
+def stat_columns(plan: Plan) -> list[Column]:
+    """Aggregates over classified rows: for each value column the changes, and the largest and mean difference."""
+    out = [F.count_if(F.col("status").isin(CHANGED, UNCHANGED, WITHIN)).alias("compared")]
+    for i in range(len(plan.values)):
+        out += [F.count_if(F.col(f"d{i}")).alias(f"n{i}"), F.max(f"a{i}").alias(f"max{i}"), F.avg(f"a{i}").alias(f"mean{i}")]
+    return out
+
+
+def stats_of(row: dict, plan: Plan) -> dict[str, dict]:
+    """Statistics of the changed columns from a row of :func:`stat_columns`, most changes first."""
+    n = row["compared"]
+    some = [(v.name, {"numeric": v.numeric, "changed": c, "match_rate": 1 - c / n if n else 1.0, "max_abs_diff": row[f"max{i}"], "mean_abs_diff": row[f"mean{i}"]}) for i, v in enumerate(plan.values) if (c := row[f"n{i}"])]
+    return dict(sorted(some, key=lambda x: (-x[1]["changed"], x[0])))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """One row of row counts."""
+    return rows.agg(*count_columns())
 
 
 def column_stats(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -88,10 +108,7 @@ def column_stats(rows: DataFrame, plan: Plan) -> DataFrame:
     schema = "column_name string, numeric boolean, changed long, match_rate double, max_abs_diff double, mean_abs_diff double"
     if not plan.values:
         return spark.createDataFrame([], schema)
-    aggs = [F.count_if(F.col("status").isin(CHANGED, UNCHANGED, WITHIN)).alias("compared")]
-    for i in range(len(plan.values)):
-        aggs += [F.count_if(F.col(f"d{i}")).alias(f"n{i}"), F.max(f"a{i}").alias(f"max{i}"), F.avg(f"a{i}").alias(f"mean{i}")]
-    one = rows.agg(*aggs)
+    one = rows.agg(*stat_columns(plan))
     per = F.array(*(F.struct(F.lit(v.name).alias("column_name"), F.lit(v.numeric).alias("numeric"), F.col(f"n{i}").alias("changed"), F.col(f"max{i}").alias("max_abs_diff"), F.col(f"mean{i}").alias("mean_abs_diff")) for i, v in enumerate(plan.values)))
     flat = one.select("compared", F.inline(per)).where("changed > 0")
     return flat.select("column_name", "numeric", "changed", F.when(F.col("compared") == 0, 1.0).otherwise(1 - F.col("changed") / F.col("compared")).alias("match_rate"), "max_abs_diff", "mean_abs_diff")

@@ -1,7 +1,8 @@
 """Rows matched by key: one full outer join on canonical keys, null-safe, so null keys meet null keys.
 
 Every row is classified in the joined row itself: no second scan, no attribution pass. The join is a sort-merge or
-shuffled-hash join that Spark spills and splits; only key and compared columns are shuffled."""
+shuffled-hash join that spills; its keys are unique on each side, so no task gets more than its share of keys. Only key
+and compared columns are shuffled."""
 
 from __future__ import annotations
 
@@ -52,9 +53,14 @@ def duplicates(df: DataFrame, plan: Plan, which: str = "l") -> DataFrame:
 
 
 def refuse_duplicates(left: DataFrame, right: DataFrame, plan: Plan) -> None:
-    for df, s, name in ((left, "l", "left"), (right, "r", "right")):
-        if hit := duplicates(df, plan, s).limit(1).collect():
-            raise DiffError(f"key {hit[0]['key']} stands {hit[0]['n']} times on the {name} side; see on-dup warn and match")
+    """One job over the keys of both sides."""
+    by = [f"c{i}" for i in range(len(plan.keys))]
+    keys = lambda df, s: classified.side(df, plan, s).select(F.lit(s).alias("side"), *by)
+    both = keys(left, "l").union(keys(right, "r")).groupBy("side", *by).agg(F.count("*").alias("n")).where("n > 1")
+    if found := both.select("side").limit(1).collect():
+        s = found[0]["side"]
+        hit = duplicates(left if s == "l" else right, plan, s).first()
+        raise DiffError(f"key {hit['key']} stands {hit['n']} times on the {'left' if s == 'l' else 'right'} side; see on-dup warn and match")
 
 
 def classify_first(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
@@ -85,5 +91,9 @@ def classify_first(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
     return rows.unionByName(more, allowMissingColumns=True)
 
 
+def dup_columns() -> list:
+    return [F.count_if("dup_left").alias("dups_left"), F.count_if("dup_right").alias("dups_right")]
+
+
 def count_first(rows: DataFrame) -> DataFrame:
-    return classified.counts(rows).crossJoin(rows.agg(F.count_if("dup_left").alias("dups_left"), F.count_if("dup_right").alias("dups_right")))
+    return rows.agg(*classified.count_columns(), *dup_columns())

@@ -16,8 +16,8 @@ from rowlens.operators import classified
 from rowlens.plans.options import Plan
 
 
-def _stacked(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
-    """Distinct canonical rows (c*, v*) with their numbers nl and nr and one raw row of each side."""
+def _stacked(left: DataFrame, right: DataFrame, plan: Plan, raws: bool = True) -> DataFrame:
+    """Distinct canonical rows (c*, v*) with their numbers nl and nr and, with ``raws``, one raw row of each side."""
     parts = []
     for df, s in ((left, "l"), (right, "r")):
         kind = lambda f, s=s: (f.left if s == "l" else f.right).kind
@@ -27,10 +27,12 @@ def _stacked(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
         none = F.lit(None).cast(other)
         parts.append(df.select(
             *(canon(f).alias(f"c{i}") for i, f in enumerate(plan.keys)), *(canon(f).alias(f"v{i}") for i, f in enumerate(plan.values)),
-            F.lit(int(s == "l")).cast("long").alias("nl"), F.lit(int(s == "r")).cast("long").alias("nr"), (raw if s == "l" else none).alias("left"), (raw if s == "r" else none).alias("right"),
+            F.lit(int(s == "l")).cast("long").alias("nl"), F.lit(int(s == "r")).cast("long").alias("nr"),
+            *([(raw if s == "l" else none).alias("left"), (raw if s == "r" else none).alias("right")] if raws else []),
         ))
     by = [f"c{i}" for i in range(len(plan.keys))] + [f"v{i}" for i in range(len(plan.values))]
-    return parts[0].union(parts[1]).groupBy(*by).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), F.max("left").alias("left"), F.max("right").alias("right"))
+    rows = [F.max("left").alias("left"), F.max("right").alias("right")] if raws else []
+    return parts[0].union(parts[1]).groupBy(*by).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), *rows)
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -74,11 +76,12 @@ def classify(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
 
 def counts(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
     """The counts without expanding rows (tolerance apart): left_rows, right_rows, added, removed, changed, unchanged, dup_keys, dup_rows."""
-    g = _counted(left, right, plan)
+    g = _stacked(left, right, plan, raws=False)
+    same, xl, xr = F.least("nl", "nr"), F.greatest(F.col("nl") - F.col("nr"), F.lit(0)), F.greatest(F.col("nr") - F.col("nl"), F.lit(0))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     if not plan.keys:
-        return g.agg(zero(F.sum("nl")).alias("left_rows"), zero(F.sum("nr")).alias("right_rows"), zero(F.sum("xr")).alias("added"), zero(F.sum("xl")).alias("removed"), F.lit(0).cast("long").alias("changed"), zero(F.sum(F.least("nl", "nr"))).alias("unchanged"))
-    per = g.groupBy(*(f"c{i}" for i in range(len(plan.keys)))).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), F.sum(F.least("nl", "nr")).alias("same"), F.max("ll").alias("ll"), F.max("lr").alias("lr"))
+        return g.agg(zero(F.sum("nl")).alias("left_rows"), zero(F.sum("nr")).alias("right_rows"), zero(F.sum(xr)).alias("added"), zero(F.sum(xl)).alias("removed"), F.lit(0).cast("long").alias("changed"), zero(F.sum(same)).alias("unchanged"))
+    per = g.groupBy(*(f"c{i}" for i in range(len(plan.keys)))).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), F.sum(same).alias("same"), F.sum(xl).alias("ll"), F.sum(xr).alias("lr"))
     paired = (F.col("ll") == 1) & (F.col("lr") == 1)
     return per.agg(
         zero(F.sum("nl")).alias("left_rows"), zero(F.sum("nr")).alias("right_rows"), zero(F.sum(F.when(~paired, F.col("lr")))).alias("added"), zero(F.sum(F.when(~paired, F.col("ll")))).alias("removed"),

@@ -24,3 +24,8 @@ def new_path(spark: SparkSession, label: str) -> str:
             atexit.register(shutil.rmtree, _LOCAL[app], True)
         base = "file://" + _LOCAL[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -166,6 +166,40 @@ def test_budget_stops_early_and_json_is_stable(spark):
     assert d["equal"] and list(d)[:3] == ["equal", "schema", "left_rows"] and d["schema"]["added_columns"] == []
 
 
+def test_early_abort(spark):
+    left = spark.range(20_000).selectExpr("id", "id % 7 v", "id * 0.5D f")
+    right = spark.range(20_000).where("id % 20 <> 3").selectExpr("id", "if(id % 5 = 1, 9, id % 7) v", "id * 0.5D + 0.001D f").union(spark.range(30_000, 31_000).selectExpr("id", "0", "0.0D"))
+    options = lambda **kw: Options(key=["id"], ignore_columns=kw.pop("ignore", ["f"]), **kw)
+    whole = api.diff(spark, left, right, options())
+    total = whole.added + whole.removed + whole.changed
+    for budget in ("10", "0.1%"):
+        r = api.diff(spark, left, right, options(max_diff=budget))
+        assert r.aborted and r.partial_counts and not r.same and not r.rows_same and "budget of" in r.abort_reason
+        assert r.added <= whole.added and r.removed <= whole.removed and r.changed <= whole.changed and 10 < r.added + r.removed + r.changed < total
+        assert not r.column_stats and not r.changed_examples and r.as_dict()["partial_counts"] and r.exit_code(budget) == 1
+    for budget in (str(total), "100%"):
+        r = api.diff(spark, left, right, options(max_diff=budget))
+        assert not r.aborted and four(r) == four(whole) and r.exit_code(budget) == 0
+    r = api.diff(spark, left, right, options(max_diff=str(total - 1)))
+    assert r.aborted and not r.partial_counts and four(r) == four(whole)  # beyond the slice the counts are whole
+    r = api.diff(spark, left, right, options(max_diff="10", mode="stream"))
+    assert r.aborted and not r.partial_counts and four(r) == four(whole)
+    r = api.diff(spark, left, left.withColumn("f", left.f + 0.001), options(max_diff="10", ignore=[], tolerance="f=0.01"))
+    assert not r.aborted and r.within_tolerance == 20_000  # judged after tolerance
+
+
+def test_jobs_of_a_comparison(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 7 v").write.parquet(f"{tmp_path}/a")
+    spark.range(10, 5010).selectExpr("id", "id % 9 v").write.parquet(f"{tmp_path}/b")
+    sc = spark.sparkContext
+    sc.setJobGroup("one comparison", "")
+    r = api.diff(spark, f"{tmp_path}/a", f"{tmp_path}/b", Options(key=["id"], output=f"{tmp_path}/o.parquet"))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("one comparison"))
+    sc.setJobGroup("", "")
+    assert (r.added, r.removed) == (10, 10) and spark.read.parquet(f"{tmp_path}/o.parquet").count() == r.added + r.removed + r.changed
+    assert len(r.added_examples) == 10 == len(r.changed_examples) and jobs <= 14, jobs
+
+
 def test_empty_sides(spark):
     assert four(run(spark, [], [(1, 1)], "id long, v long", key=["id"])) == (1, 0, 0, 0)
     assert run(spark, [], [], "id long, v long", key=["id"]).same
