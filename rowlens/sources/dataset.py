@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import glob as globbing
 import os
 import re
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,10 @@ from rowlens.errors import DiffError
 from rowlens.functions.canon import quoted
 from rowlens.functions.where import Predicate
 from rowlens.plans.types import Kind, domain_of, kind_of
-from rowlens.sources import formats, lake, remote
+from rowlens.sources import formats, fs, lake, remote
+
+#: Bytes of a text file in which its header has to end where files are grouped by header.
+HEADER_BYTES = 1 << 20
 
 
 @dataclass
@@ -27,6 +30,8 @@ class Dataset:
     raw: list[tuple[DataFrame, dict]] = field(default_factory=list)
     reopen: object = None
     files: list[tuple[str, dict]] = field(default_factory=list)
+    subset: object = None  # the table of some of the files
+    constant: frozenset = frozenset()  # columns whose value is a file's own
 
     def contradictions(self) -> set[str]:
         """Text columns that do not hold what their sample promised; one job for each text format."""
@@ -36,27 +41,36 @@ class Dataset:
         return self.reopen(frozenset(names)) if self.reopen else self
 
     def pruned(self, predicates: list[Predicate]) -> tuple[Dataset, int]:
-        """Files whose constant partition values fail a predicate are not listed for the scan; how many there are.
+        """The table without the files whose constant partition values fail a predicate, and how many these are.
 
-        The scan itself is pruned by Catalyst through the same values, so only the count is needed here."""
+        Files in hive folders are left to Catalyst, which prunes them by the same values."""
         tests = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-        gone = sum(any(p.op in tests and p.column in values and not tests[p.op](values[p.column].encode(), p.literal.encode()) or p.op == "null" and p.column in values for p in predicates) for _, values in self.files)
-        return self, gone
+
+        def fails(p: Predicate, values: dict) -> bool:
+            if p.column not in values or p.column not in self.constant:
+                return False
+            return p.op == "null" or p.op in tests and not tests[p.op](values[p.column].encode(), p.literal.encode())
+
+        gone = {path for path, values in self.files if any(fails(p, values) for p in predicates)}
+        if not gone or self.subset is None:
+            return self, len(gone)
+        left = [path for path, _ in self.files if path not in gone]
+        return replace(self, df=self.subset(set(left)) if left else self.df.limit(0)), len(gone)
 
 
 def hive_values(path: str, root: str) -> dict[str, str]:
     """k=v segments between a root and a file, verbatim."""
-    inside = os.path.relpath(os.path.dirname(path), root).split(os.sep)
+    inside = os.path.relpath(os.path.dirname(fs.plain(path)), fs.plain(root)).split(os.sep)
     return {k: v for k, eq, v in (s.partition("=") for s in inside) if eq and k}
 
 
 def list_files(path: str) -> tuple[list[str], str]:
     """Data files of a directory or glob, sorted, and the root that partition segments count from."""
-    if os.path.isdir(path):
-        found = [os.path.join(d, x) for d, dirs, names in os.walk(path) for x in names if not re.search(r"(^|/)[._]", os.path.relpath(os.path.join(d, x), path))]
+    if fs.is_dir(path):
+        found = [x for x in fs.walk(path) if not re.search(r"(^|/)[._]", os.path.relpath(fs.plain(x), fs.plain(path)))]
         root = path
     else:
-        found = [x for g in globbing.glob(path, recursive=True) for x in ([g] if os.path.isfile(g) else list_files(g)[0]) if os.path.basename(x)[0] not in "._"]
+        found = [x for g in fs.glob(path) for x in ([g] if fs.is_file(g) else list_files(g)[0]) if os.path.basename(x)[0] not in "._"]
         root = re.split(r"[*?\[]", path)[0].rpartition("/")[0] or "."
     files = sorted(f for f in found if formats.extension(f))
     if not files:
@@ -74,7 +88,7 @@ def _read(spark: SparkSession, files: list[str], ext: str, infer_rows: int, deli
     else:
         raw, warnings, empty_is_text = formats.read_text(spark, files, formats.delimiter_of(delimiter, formats.TEXT[ext]), tag), [], True
         names = [c for c in raw.columns if c != formats.PATH]
-        kinds = formats.infer_by_file(raw, names) if tag else formats.infer(raw, names, infer_rows)
+        kinds = formats.infer_by_file(raw, names, infer_rows) if tag else formats.infer(raw, names, infer_rows)
     kinds = {n: (("string", null) if n in text_columns else (kind, null)) for n, (kind, null) in kinds.items()}
     return formats.typed_columns(raw, kinds, empty_is_text), [(raw, kinds)], warnings
 
@@ -115,28 +129,26 @@ def open_dataset(spark: SparkSession, path: str, infer_rows: int = 1000, delimit
     base, version = lake.split_version(path)
     if lake.is_table(base):
         files = lake.files_of(base, version)
-        return Dataset(lake.read(spark, base, files), files=[(f.path, f.partition) for f in files])
+        df, keys = lake.read(spark, base, files)
+        subset = lambda some: lake.read(spark, base, [f for f in files if f.path in some])[0]
+        return Dataset(df, files=[(f.path, f.partition) for f in files], subset=subset, constant=frozenset(keys))
     if version is not None:
         raise DiffError(f"{base} is not a table with versions")
-    if "://" in path and not path.startswith("file://"):
-        ext = formats.extension(path) or ".parquet"
-        df, raw, warnings = _read(spark, [path], ext, infer_rows, delimiter, text_columns)
-        return Dataset(df, warnings, raw, again)
-    local = path.removeprefix("file://")
-    if os.path.isfile(local):
-        ext = formats.extension(local)
+    path = fs.local(path)
+    if fs.is_file(path):
+        ext = formats.extension(path)
         if not ext:
             raise DiffError(f"{path}: unsupported extension")
         try:
-            df, raw, warnings = _read(spark, [local], ext, infer_rows, delimiter, text_columns)
+            df, raw, warnings = _read(spark, [path], ext, infer_rows, delimiter, text_columns)
         except DiffError:
             raise
         except Exception as e:
             raise DiffError(f"{path}: {str(e).splitlines()[0][:200]}") from None
         return Dataset(df, warnings, raw, again)
-    if not os.path.isdir(local) and not re.search(r"[*?\[]", local):
+    if not fs.is_dir(path) and not re.search(r"[*?\[]", path):
         raise DiffError(f"{path}: no such file or directory")
-    files, root = list_files(local)
+    files, root = list_files(path)
     values = [(f, hive_values(f, root)) for f in files]
     groups: dict[str, list[str]] = {}
     for f in files:
@@ -149,41 +161,38 @@ def open_dataset(spark: SparkSession, path: str, infer_rows: int = 1000, delimit
             raws += raw
             warnings += [f"{batch[0]}: {w}" for w in warn]
     df = with_partitions(union_by_name(parts), sorted({k for _, v in values for k in v}))
-    return Dataset(df, warnings, raws, again, values)
+    return Dataset(df, warnings, raws, again, values, constant=frozenset(k for _, v in values for k in v))
 
 
 def _same_schema(files: list[str], ext: str) -> list[list[str]]:
-    """Files that can be read together: Parquet by footer schema, text by header."""
-    groups: dict = {}
-    for f in files:
+    """Files that can be read together: Parquet by footer schema, text by header. Footers and headers are read side by side."""
+
+    def key(f: str) -> str:
         if ext == ".parquet":
-            import pyarrow.parquet as pq
-
-            try:
-                key = str(pq.read_schema(f).remove_metadata())
-            except Exception as e:
-                raise DiffError(f"{f}: {str(e)[:120]}") from None
-        elif ext in formats.TEXT and not f.endswith(formats.PACKED):
-            with open(f, encoding="utf-8", errors="replace") as x:
-                key = x.readline()
-        else:
-            key = f
-        groups.setdefault(key, []).append(f)
+            return formats.schema_text(f)
+        if ext in formats.TEXT and not f.endswith(formats.PACKED):
+            return fs.read(f, 0, HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8", "replace")
+        return f
+
+    groups: dict = {}
+    with ThreadPoolExecutor(32) as pool:
+        for f, k in zip(files, pool.map(key, files), strict=True):
+            groups.setdefault(k, []).append(f)
     return list(groups.values())
 
 
 def open_pair(spark: SparkSession, left: str, right: str, infer_rows: int = 1000, delimiter: str = "") -> tuple[Dataset, Dataset, int]:
     """Two versions of one lake table without the files that both share; the rows left out are returned to be counted.
 
-    Only files with known, equal row counts and the same deletes are left out, and no equality deletes may apply."""
+    Only files with known, equal row counts and the same deletion vector are left out, and no delete files may apply."""
     (a, va), (b, vb) = lake.split_version(left), lake.split_version(right)
     if a != b or not lake.is_table(a):
         return open_dataset(spark, left, infer_rows, delimiter), open_dataset(spark, right, infer_rows, delimiter), 0
     ours, theirs = lake.files_of(a, va), lake.files_of(a, vb)
     known = {f.path: f for f in theirs}
-    shared = [f for f in ours if f.path in known and f.rows is not None and f.state() == known[f.path].state() and not f.equality]
+    shared = [f for f in ours if f.path in known and f.rows is not None and f.state() == known[f.path].state() and not f.equality and not f.positions]
     if shared and (len(shared) == len(ours) or len(shared) == len(theirs)):
         shared.remove(min(shared, key=lambda f: (f.rows, f.path)))  # neither side may be empty
     gone = {f.path for f in shared}
-    one, two = (lake.read(spark, a, [f for f in fs if f.path not in gone]) for fs in (ours, theirs))
+    one, two = (lake.read(spark, a, [f for f in some if f.path not in gone])[0] for some in (ours, theirs))
     return Dataset(one), Dataset(two), sum(f.live_rows() for f in shared)

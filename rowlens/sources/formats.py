@@ -8,12 +8,14 @@ from __future__ import annotations
 import os
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.errors import DiffError
 from rowlens.functions.canon import quoted
+from rowlens.sources import fs
 
 TEXT = {".csv": ",", ".tsv": "\t"}
 JSON = (".ndjson", ".jsonl")
@@ -77,34 +79,43 @@ def _hex_float(c: Column) -> Column:
     return mantissa * F.pow(F.lit(2.0), power) * F.when(c.startswith("-"), -1.0).otherwise(1.0)
 
 
-def infer(df: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bool]]:
-    """(kind, nullable) of text columns: the narrowest that all non-empty sampled values fit, in one aggregate."""
-    some = df if rows < 0 else df.limit(rows or 1000)
+def _ladder(names: list[str]) -> list[Column]:
+    """Of each column: full values, empty ones, and those that don't fit each kind."""
     aggs = []
     for i, n in enumerate(names):
-        c = quoted(n)
-        full = c.isNotNull() & (c != "")
-        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(~full | c.isNull()).alias(f"e{i}")]
-        aggs += [F.count_if(full & value_as(c, k).isNull()).alias(f"b{i}_{k}") for k in LADDER]
-    row = some.agg(*aggs).first()
-    out = {}
-    for i, n in enumerate(names):
-        kind = next((k for k in LADDER if row[f"b{i}_{k}"] == 0), "string") if row[f"n{i}"] else "string"
-        out[n] = (kind, bool(row[f"e{i}"]))
-    return out
+        full = quoted(n).isNotNull() & (quoted(n) != "")
+        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(~full | quoted(n).isNull()).alias(f"e{i}")]
+        aggs += [F.count_if(full & value_as(quoted(n), k).isNull()).alias(f"b{i}_{k}") for k in LADDER]
+    return aggs
 
 
-def infer_by_file(raw: DataFrame, names: list[str]) -> dict[str, tuple[str, bool]]:
-    """As :func:`infer`, file by file over all rows of a tagged table in one job, the files' kinds united."""
-    aggs = []
-    for i, n in enumerate(names):
-        full = quoted(n).isNotNull() & (quoted(n) != "")
-        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(~full | quoted(n).isNull()).alias(f"e{i}")] + [F.count_if(full & value_as(quoted(n), k).isNull()).alias(f"b{i}_{k}") for k in LADDER]
+def _kind(row, i: int) -> str:
+    return next((k for k in LADDER if row[f"b{i}_{k}"] == 0), "string") if row[f"n{i}"] else "string"
+
+
+def infer(df: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bool]]:
+    """(kind, nullable) of text columns: the narrowest that all non-empty sampled values fit, in one aggregate."""
+    row = (df if rows < 0 else df.limit(rows or 1000)).agg(*_ladder(names)).first()
+    return {n: (_kind(row, i), bool(row[f"e{i}"])) for i, n in enumerate(names)}
+
+
+def infer_by_file(raw: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bool]]:
+    """As :func:`infer`, file by file over the first rows of each split of a tagged table, the files' kinds united.
+
+    For the sample, splits are cut so that none holds two files, and rows are numbered within them."""
+    spark, option = raw.sparkSession, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(option)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    try:
+        spark.conf.set(option, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        some = raw if rows < 0 else raw.withColumn("__at", at).where(F.col("__at") < (rows or 1000)).drop("__at")
+        found = some.groupBy(PATH).agg(*_ladder(names)).orderBy(PATH).collect()
+    finally:
+        spark.conf.set(option, before)
     out: dict[str, tuple[str, bool]] = {}
-    for row in raw.groupBy(PATH).agg(*aggs).orderBy(PATH).collect():
+    for row in found:
         for i, n in enumerate(names):
-            kind = next((k for k in LADDER if row[f"b{i}_{k}"] == 0), "string") if row[f"n{i}"] else "string"
-            was, null = out.get(n, (kind, False))
+            kind, (was, null) = _kind(row, i), out.get(n, (_kind(row, i), False))
             if was != kind and {was, kind} != {"long", "double"}:
                 raise DiffError(f"column {n!r} is {was} in one file and {kind} in another ({row[PATH]})")
             out[n] = (kind if was == kind else "double", null or bool(row[f"e{i}"]))
@@ -130,7 +141,10 @@ def contradictions(raw: DataFrame, kinds: dict[str, tuple[str, bool]]) -> set[st
 
 
 def read_text(spark: SparkSession, paths: list[str], delimiter: str, tag: bool = False) -> DataFrame:
-    """CSV as strings. A record of the wrong length fails the scan; quoted fields may span lines."""
+    """CSV as strings. A record of the wrong length fails the scan; quoted fields may span lines.
+
+    Files without any quote are split, so one file is read by many tasks; with one, a file is read whole, since a line
+    break may stand inside quotes. One pass over the bytes tells them apart (packed files can't be split anyway)."""
     first = spark.read.text(paths[0]).limit(1).collect()
     if not first or not first[0][0].lstrip("\ufeff"):
         raise DiffError(f"{paths[0]}: no header")
@@ -142,7 +156,8 @@ def read_text(spark: SparkSession, paths: list[str], delimiter: str, tag: bool =
     if header is not None and len(set(header)) != len(header):
         raise DiffError(f"{paths[0]}: a column name stands twice in the header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in stripped])
-    df = read.schema(schema).csv(paths)
+    splits = not any(p.endswith(PACKED) for p in paths) and not spark.read.text(paths).where(F.col("value").contains('"') | F.col("value").contains("\r")).limit(1).count()
+    df = read.schema(schema).option("multiLine", not splits).csv(paths)
     return df.select("*", F.col("_metadata.file_path").alias(PATH)) if tag else df
 
 
@@ -211,17 +226,16 @@ def read_parquet(spark: SparkSession, paths: list[str], tag: bool = False) -> Da
 
 
 def footer(path: str) -> dict[str, dict]:
-    """Name to physical type, nullability and flags of a local file's flat columns."""
-    local = path.removeprefix("file://")
-    if "://" in local or not os.path.exists(local):
-        return {}
-    if os.path.isdir(local):
-        parts = sorted(os.path.join(d, x) for d, _, names in os.walk(local) for x in names if x.endswith(".parquet") and x[0] not in "._")
+    """Name to physical type, nullability and flags of a file's flat columns."""
+    if fs.is_dir(path):
+        parts = [x for x in fs.walk(path) if x.endswith(".parquet") and os.path.basename(x)[0] not in "._"]
         return footer(parts[0]) if parts else {}
+    if not fs.is_file(path):
+        return {}
     import pyarrow.parquet as pq
 
     try:
-        schema = pq.ParquetFile(local).schema
+        schema = pq.ParquetFile(fs.local(path) if fs.is_local(path) else pa.BufferReader(fs.tail(path))).schema
     except Exception as e:
         raise DiffError(f"{path}: {str(e)[:120]}") from None
     out = {}
@@ -236,6 +250,18 @@ def footer(path: str) -> dict[str, dict]:
     return out
 
 
+def schema_text(path: str) -> str:
+    """A Parquet file's schema, to be compared; of a remote file all that is read is its end."""
+    import pyarrow.parquet as pq
+
+    try:
+        if fs.is_local(path):
+            return str(pq.read_schema(fs.local(path)).remove_metadata())
+        return str(pq.read_schema(pa.BufferReader(fs.tail(path))).remove_metadata())
+    except Exception as e:
+        raise DiffError(f"{path}: {str(e)[:120]}") from None
+
+
 def row_count(path: str) -> int | None:
     import pyarrow.parquet as pq
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rowlens.errors import DiffError
 from rowlens.functions.canon import quoted
-from rowlens.sources import avro, formats
+from rowlens.sources import avro, formats, fs
 
 _Z85 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&<>()[]{}@%$#"  # fixed alphabet of the encoding
 _DV_MAGIC = 1681511377  # fixed by the format
@@ -36,40 +36,31 @@ class TableFile:
     vector: dict | None = None  # Delta deletion vector
     positions: tuple[str, ...] = ()  # Iceberg position delete files that may apply
     equality: tuple[tuple[str, int, tuple[str, ...]], ...] = ()  # (file, sequence, columns)
+    location: str = ""  # the Iceberg table's recorded root
 
     def state(self) -> tuple:
         return self.rows, json.dumps(self.vector, sort_keys=True), self.positions, self.equality
 
     def live_rows(self) -> int:
-        if self.vector:
-            return self.rows - self.vector["cardinality"]
-        gone = 0
-        if self.positions:
-            import pyarrow.parquet as pq
-
-            at = set()
-            for p in self.positions:
-                t = pq.read_table(p, columns=["file_path", "pos"]).to_pydict()
-                at |= {x for f, x in zip(t["file_path"], t["pos"], strict=True) if f.endswith(os.path.basename(self.path))}
-            gone = len(at)
-        return self.rows - gone
+        """Rows without those that a deletion vector takes; only of files that no position or equality deletes apply to."""
+        return self.rows - self.vector["cardinality"] if self.vector else self.rows
 
 
 def split_version(path: str) -> tuple[str, str | None]:
     """``table#version``; only of an existing directory."""
     base, mark, version = path.rpartition("#")
-    return (base, version) if mark and os.path.isdir(base.removeprefix("file://")) else (path, None)
+    return (base, version) if mark and not path.startswith(("http://", "https://")) and fs.is_dir(base) else (path, None)
 
 
 def is_table(path: str) -> bool:
-    local = path.removeprefix("file://")
-    meta = os.path.join(local, "metadata")
-    return os.path.isdir(os.path.join(local, "_delta_log")) or os.path.isdir(meta) and any(x.endswith(".metadata.json") for x in os.listdir(meta))
+    if path.startswith(("http://", "https://")):
+        return False
+    return fs.is_dir(os.path.join(path, "_delta_log")) or any(x.endswith(".metadata.json") for x in fs.names(os.path.join(path, "metadata")))
 
 
 def files_of(path: str, version: str | None) -> list[TableFile]:
-    local = path.removeprefix("file://").rstrip("/")
-    return delta_files(local, version) if os.path.isdir(os.path.join(local, "_delta_log")) else iceberg_files(local, version)
+    root = fs.local(path).rstrip("/")
+    return delta_files(root, version) if fs.is_dir(os.path.join(root, "_delta_log")) else iceberg_files(root, version)
 
 
 # ---- Delta
@@ -78,9 +69,10 @@ def files_of(path: str, version: str | None) -> list[TableFile]:
 def delta_files(root: str, version: str | None = None) -> list[TableFile]:
     """Replay the newest checkpoint at or below the version, then the commits after it."""
     log = os.path.join(root, "_delta_log")
-    commits = {int(m[1]): x for x in os.listdir(log) if (m := re.fullmatch(r"(\d{20})\.json", x))}
+    listed = fs.names(log)
+    commits = {int(m[1]): x for x in listed if (m := re.fullmatch(r"(\d{20})\.json", x))}
     points: dict[int, list[str]] = {}
-    for x in sorted(os.listdir(log)):
+    for x in listed:
         if m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet", x):
             points.setdefault(int(m[1]), []).append(x)
     whole = {v: xs for v, xs in points.items() if not (m := re.search(r"\.(\d{10})\.parquet$", xs[0])) or len(xs) == int(m[1])}
@@ -99,7 +91,7 @@ def delta_files(root: str, version: str | None = None) -> list[TableFile]:
 
         for x in whole[start]:
             try:
-                rows = pq.read_table(os.path.join(log, x), columns=["add"]).to_pylist()
+                rows = pq.read_table(pa.BufferReader(fs.read(os.path.join(log, x))), columns=["add"]).to_pylist()
             except Exception as e:
                 raise DiffError(f"{x}: {str(e)[:120]}") from None
             for r in rows:
@@ -108,18 +100,17 @@ def delta_files(root: str, version: str | None = None) -> list[TableFile]:
     for v in range(start + 1, want + 1):
         if v not in commits:
             raise DiffError(f"{root}: commit {v} is missing from the log")
-        with open(os.path.join(log, commits[v]), encoding="utf-8") as f:
-            for line in f:
-                if not line.strip():
-                    continue
-                try:
-                    action = json.loads(line)
-                except ValueError:
-                    raise DiffError(f"{commits[v]}: a line is not JSON") from None
-                if "remove" in action:
-                    live.pop(urllib.parse.unquote(action["remove"]["path"]), None)
-                elif "add" in action:
-                    _delta_add(root, action["add"], live)
+        for line in fs.read(os.path.join(log, commits[v])).decode("utf-8", "replace").split("\n"):
+            if not line.strip():
+                continue
+            try:
+                action = json.loads(line)
+            except ValueError:
+                raise DiffError(f"{commits[v]}: a line is not JSON") from None
+            if "remove" in action:
+                live.pop(urllib.parse.unquote(action["remove"]["path"]), None)
+            elif "add" in action:
+                _delta_add(root, action["add"], live)
     return [live[k] for k in sorted(live)]
 
 
@@ -132,7 +123,7 @@ def _delta_add(root: str, add: dict, live: dict[str, TableFile]) -> None:
     stats = json.loads(add["stats"]) if add.get("stats") else {}
     vector = add.get("deletionVector")
     vector = {k: vector.get(k) for k in ("storageType", "pathOrInlineDv", "offset", "sizeInBytes", "cardinality")} if vector and vector.get("storageType") else None
-    path = name if os.path.isabs(name) else os.path.join(root, name)
+    path = name if os.path.isabs(name) or "://" in name else os.path.join(root, name)
     rows = stats.get("numRecords")
     live[name] = TableFile(path, values, formats.row_count(path) if rows is None else rows, vector=vector)
 
@@ -169,10 +160,9 @@ def vector_bytes(root: str, v: dict) -> bytes:
     else:
         raise DiffError(f"deletion vector: unknown storage {kind!r}")
     try:
-        with open(path, "rb") as f:
-            f.seek(v["offset"] or 0)
-            size = struct.unpack(">i", f.read(4))[0]
-            data, crc = f.read(size), f.read(4)
+        whole = fs.read(path, v["offset"] or 0, v["sizeInBytes"] + 8)
+        size = struct.unpack(">i", whole[:4])[0]
+        data, crc = whole[4 : 4 + max(0, size)], whole[4 + max(0, size) : 8 + max(0, size)]
     except (OSError, struct.error) as e:
         raise DiffError(f"deletion vector: {e}") from None
     if size != v["sizeInBytes"] or len(data) != size:
@@ -240,15 +230,13 @@ def _roaring(data: bytes, at: int) -> tuple[np.ndarray, int]:
 def _metadata(root: str) -> dict:
     folder = os.path.join(root, "metadata")
     hint = os.path.join(folder, "version-hint.text")
-    names = [x for x in os.listdir(folder) if x.endswith(".metadata.json")]
+    names = [x for x in fs.names(folder) if x.endswith(".metadata.json")]
     pick = None
-    if os.path.exists(hint):
-        with open(hint) as f:
-            v = f.read().strip()
+    if fs.is_file(hint):
+        v = fs.read(hint).decode().strip()
         pick = next((x for x in (f"v{v}.metadata.json", f"{v}.metadata.json") if x in names), None)
     pick = pick or max(names, key=lambda x: (int(m[1]) if (m := re.match(r"v?(\d+)", x)) else -1, x))
-    with open(os.path.join(folder, pick), encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(fs.read(os.path.join(folder, pick)))
 
 
 def rebase(path: str, location: str, root: str) -> str:
@@ -278,8 +266,7 @@ def iceberg_files(root: str, snapshot: str | None = None) -> list[TableFile]:
 
     def load(path: str) -> Iterator[dict]:
         try:
-            with open(here(path), "rb") as f:
-                return avro.records(f.read())
+            return avro.records(fs.read(here(path)))
         except OSError as e:
             raise DiffError(str(e)) from None
 
@@ -296,7 +283,7 @@ def iceberg_files(root: str, snapshot: str | None = None) -> list[TableFile]:
             path = here(d["file_path"])
             if (content := d.get("content") or 0) == 0:
                 values = {k: "" if v is None else str(v) for k, v in (d.get("partition") or {}).items()}
-                data.append(TableFile(path, values, d.get("record_count"), seq))
+                data.append(TableFile(path, values, d.get("record_count"), seq, location=meta.get("location", "")))
             elif content == 1:
                 pos.append((path, seq))
             else:
@@ -314,7 +301,18 @@ def iceberg_files(root: str, snapshot: str | None = None) -> list[TableFile]:
 
 
 def _relative(c, root: str):
-    return F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/"), "^" + re.escape(os.path.abspath(root)) + "/+", "")
+    """The path of a scanned file below the table's root."""
+    return F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/"), "^" + re.escape(fs.plain(root)) + "/+", "")
+
+
+def _rebased(c, location: str, root: str):
+    """As :func:`rebase`, in Spark: the path below the root that a recorded path stands for."""
+    p = F.regexp_replace(c, r"^\w+:/*", "/")
+    location = re.sub(r"^\w+:/*", "/", location).rstrip("/")
+    out = F.when(F.lit(bool(location)) & p.startswith(location + "/"), F.substring(p, len(location) + 2, 1 << 30))
+    for part in ("/metadata/", "/data/"):
+        out = out.when(p.contains(part), F.concat(F.lit(part[1:]), F.substring_index(p, part, -1)))
+    return out.otherwise(F.regexp_replace(p, "^" + re.escape(fs.plain(root)) + "/+", ""))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,12 +322,12 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([rel] * len(at), pa.string()), pa.array(at, pa.int64())], ["d_file", "d_pos"])
 
 
-def read(spark: SparkSession, root: str, files: list[TableFile]) -> DataFrame:
-    """The live rows of some files of a table."""
-    root = os.path.abspath(root.removeprefix("file://"))
+def read(spark: SparkSession, root: str, files: list[TableFile]) -> tuple[DataFrame, list[str]]:
+    """The live rows of some files of a table, and the names of those partition columns that only metadata holds."""
+    root = os.path.abspath(fs.local(root)) if fs.is_local(root) else root.rstrip("/")
     if not files:
         raise DiffError(f"{root}: no data files")
-    rel = lambda p: os.path.relpath(p, root)
+    rel = lambda p: os.path.relpath(fs.plain(p), fs.plain(root))
     base = formats.read_parquet(spark, [f.path for f in files])
     cols = base.columns
     df = spark.read.option("mergeSchema", True).parquet(*(f.path for f in files))
@@ -343,8 +341,7 @@ def read(spark: SparkSession, root: str, files: list[TableFile]) -> DataFrame:
     if where:
         applies = spark.createDataFrame([(rel(p), rel(f.path)) for f in files for p in f.positions], "d_source string, d_file string")
         deletes = spark.read.parquet(*sorted(where)).select(F.col("file_path"), F.col("pos").alias("d_pos"), _relative(F.col("_metadata.file_path"), root).alias("d_source"))
-        name = F.regexp_extract("file_path", "([^/]+)$", 1)
-        deletes = deletes.join(applies, "d_source").where(name == F.regexp_extract("d_file", "([^/]+)$", 1)).select("d_file", "d_pos")
+        deletes = deletes.withColumn("d_file", _rebased(F.col("file_path"), files[0].location, root)).join(applies, ["d_source", "d_file"]).select("d_file", "d_pos")
         df = df.join(deletes, (F.col("__file") == F.col("d_file")) & (F.col("__row") == F.col("d_pos")), "left_anti")
     equality = {e for f in files for e in f.equality}
     if equality:
@@ -364,4 +361,4 @@ def read(spark: SparkSession, root: str, files: list[TableFile]) -> DataFrame:
         values = spark.createDataFrame([(rel(f.path), *(f.partition.get(k) for k in keys)) for f in files], "p_file string, " + ", ".join(f"p{i} string" for i in range(len(keys))))
         df = df.join(values, F.col("__file") == F.col("p_file"), "left").withColumnsRenamed({f"p{i}": k for i, k in enumerate(keys)})
     meta = {f.name: f.metadata for f in base.schema.fields}
-    return df.select(*(quoted(c).alias(c, metadata=meta.get(c, {})) for c in cols), *(quoted(k) for k in keys))
+    return df.select(*(quoted(c).alias(c, metadata=meta.get(c, {})) for c in cols), *(quoted(k) for k in keys)), keys

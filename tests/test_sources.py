@@ -14,6 +14,7 @@ import pytest
 
 from rowlens import api
 from rowlens.errors import DiffError
+from rowlens.functions import where
 from rowlens.plans.options import Options
 from rowlens.plans.schema import columns_of
 from rowlens.sources import avro, lake
@@ -287,6 +288,98 @@ def test_iceberg(spark, tmp_path):
 # ---- baselines, exports, command line
 
 
+def avro_table(root, location, entries, spark, deletes=()):
+    """An Iceberg table of Parquet files that exist below root; entries and deletes: (recorded path, rows)."""
+    status = {"type": "record", "name": "r", "fields": [{"name": "status", "type": "int"}, {"name": "sequence_number", "type": "long"}, {"name": "data_file", "type": {"type": "record", "name": "d", "fields": [
+        {"name": "content", "type": "int"}, {"name": "file_path", "type": "string"}, {"name": "file_format", "type": "string"}, {"name": "record_count", "type": "long"}]}}]}
+    listed = {"type": "record", "name": "m", "fields": [{"name": "manifest_path", "type": "string"}, {"name": "sequence_number", "type": "long"}]}
+    rows = [{"status": 1, "sequence_number": 1, "data_file": {"content": 0, "file_path": f"{location}/{p}", "file_format": "PARQUET", "record_count": n}} for p, n in entries]
+    rows += [{"status": 1, "sequence_number": 2, "data_file": {"content": 1, "file_path": f"{location}/{p}", "file_format": "PARQUET", "record_count": n}} for p, n in deletes]
+    os.makedirs(f"{root}/metadata", exist_ok=True)
+    avro_file(f"{root}/metadata/m.avro", status, rows)
+    avro_file(f"{root}/metadata/l.avro", listed, [{"manifest_path": f"{location}/metadata/m.avro", "sequence_number": 2}])
+    meta = {"location": location, "current-snapshot-id": 1, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "id"}]}], "snapshots": [{"snapshot-id": 1, "manifest-list": f"{location}/metadata/l.avro"}]}
+    put(f"{root}/metadata/v1.metadata.json", json.dumps(meta))
+
+
+@pytest.fixture(scope="module")
+def mounted(spark, tmp_path_factory):
+    """A folder, and the same under an address that only Hadoop's file systems can open."""
+    root = tmp_path_factory.mktemp("mounted")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./x", f"file://{root}")
+    return str(root), "viewfs://t/x"
+
+
+def test_position_deletes_by_whole_path(spark, mounted):
+    for name, location in (("one", "s3://bucket/warehouse/one"), ("two", "hdfs://h:8020/w/two")):
+        root = f"{mounted[0]}/{name}"
+        for part, first in (("p=a", 0), ("p=b", 10)):
+            os.makedirs(f"{root}/data/{part}")
+            pq.write_table(pa.table({"id": list(range(first, first + 5))}), f"{root}/data/{part}/part-0.parquet")
+        pq.write_table(pa.table({"file_path": [f"{location}/data/p=a/part-0.parquet"] * 2, "pos": pa.array([1, 2], pa.int64())}), f"{root}/data/deletes.parquet")
+        avro_table(root, location, [("data/p=a/part-0.parquet", 5), ("data/p=b/part-0.parquet", 5)], spark, [("data/deletes.parquet", 2)])
+        for path in (root, f"{mounted[1]}/{name}", f"{root}#1", f"{mounted[1]}/{name}#1"):
+            assert sorted(r.id for r in open_dataset(spark, path).df.collect()) == [0, 3, 4, 10, 11, 12, 13, 14], path
+
+
+def test_addresses_of_other_file_systems(spark, mounted):
+    root, address = mounted
+    delta(f"{root}/delta")
+    for version in ("", "#0", "#1"):
+        here, there = (open_dataset(spark, f"{x}/delta{version}") for x in mounted)
+        assert sorted(map(tuple, here.df.collect()), key=str) == sorted(map(tuple, there.df.collect()), key=str)
+    for i, region in enumerate(("north", "south")):
+        os.makedirs(f"{root}/hive/region={region}")
+        pq.write_table(pa.table({"id": [2 * i, 2 * i + 1]}), f"{root}/hive/region={region}/x.parquet")
+        put(f"{root}/text/f{i}.csv", f"id,v\n{i},1\n{i + 10},2\n")
+    put(f"{root}/lines.ndjson", '{"id": 1}\n{"id": 2}\n')
+    assert sorted(map(tuple, open_dataset(spark, f"{address}/hive").df.collect())) == [(0, "north"), (1, "north"), (2, "south"), (3, "south")]
+    assert kinds(open_dataset(spark, f"{address}/text")) == kinds(open_dataset(spark, f"{root}/text")) and open_dataset(spark, f"{address}/text/*.csv").df.count() == 4
+    assert open_dataset(spark, f"{address}/lines.ndjson").df.count() == 2
+    assert api.diff(spark, f"{root}/hive", f"{address}/hive", Options(key=["id"])).same
+    for bad in (f"{address}/none", f"{address}/none/*.csv", "nosuch://t/x.parquet"):
+        with pytest.raises(DiffError):
+            open_dataset(spark, bad)
+
+
+def test_lake_files_are_pruned_before_the_scan(spark, tmp_path):
+    for r in "abcd":
+        os.makedirs(f"{tmp_path}/t/region={r}")
+        pq.write_table(pa.table({"id": [ord(r)]}), f"{tmp_path}/t/region={r}/x.parquet")
+    add = lambda r: json.dumps({"add": {"path": f"region={r}/x.parquet", "partitionValues": {"region": r}, "size": 1, "modificationTime": 0, "dataChange": True}})
+    put(f"{tmp_path}/t/_delta_log/{0:020}.json", "\n".join(map(add, "abcd")))
+    for spec, want in (("region = a", "a"), ("region > b", "cd"), ("region = z", "")):
+        data, gone = open_dataset(spark, f"{tmp_path}/t").pruned(where.parse([spec]))
+        scanned = {x.rsplit("region=", 1)[1][0] for x in data.df.inputFiles()}
+        assert gone == 4 - len(want) and (scanned == set(want) or not want)
+        r = api.diff(spark, f"{tmp_path}/t", f"{tmp_path}/t", Options(key=["id"], where=[spec]))
+        assert r.same and r.left_rows == len(want) and r.files_pruned == 2 * gone
+
+
+def test_csv_without_quotes_is_split(spark, tmp_path):
+    lines = "".join(f"{i},some text {i}\n" for i in range(40_000))
+    put(f"{tmp_path}/plain.csv", "id,v\n" + lines)
+    put(f"{tmp_path}/quoted.csv", "id,v\n" + lines + '40000,"two\nlines"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        plain, whole = (open_dataset(spark, f"{tmp_path}/{n}.csv").df for n in ("plain", "quoted"))
+        assert plain.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+        assert (plain.count(), whole.count()) == (40_000, 40_001) and whole.where("v = 'two\nlines'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_directories_sample_each_file(spark, tmp_path):
+    put(f"{tmp_path}/d/a.csv", "id,v\n" + "".join(f"{i},{i}\n" for i in range(50)) + "x,1\n")
+    put(f"{tmp_path}/d/b.csv", "id,v\n1,2.5\n")
+    data = open_dataset(spark, f"{tmp_path}/d", infer_rows=20)
+    assert dict(data.df.dtypes) == {"id": "bigint", "v": "double"} and data.contradictions() == {"id"}
+    assert sorted(r.id for r in data.retyped({"id"}).df.collect())[-1] == "x"
+    with pytest.raises(DiffError):  # with all rows sampled, the files' kinds are at odds
+        open_dataset(spark, f"{tmp_path}/d", infer_rows=-1)
+
+
 def test_baseline(spark, tmp_path):
     left = spark.createDataFrame([(i, i % 5, f"s{i}") for i in range(50)], "id long, v long, s string")
     right = left.where("id <> 7").selectExpr("id", "case when id = 9 then 99 else v end v", "s").union(spark.createDataFrame([(100, 1, "x")], "id long, v long, s string"))
