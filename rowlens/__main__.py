@@ -6,6 +6,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +14,7 @@ import rowlens
 from rowlens import api
 from rowlens.errors import DiffError
 from rowlens.output import reports
+from rowlens.output.progress import Progress, on_terminal
 from rowlens.plans.options import Options
 
 
@@ -49,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     add("--tmpdir", help="accepted; Spark's local folders are set by the session")
     add("--max-diff")
     add("--against", help="a baseline to compare one input with")
+    add("--progress", action="store_true", help="tasks done on standard error, also where it is no terminal")
     add("--version", action="store_true")
     for name in ("--cpuprofile", "--memprofile"):
         add(name, help="accepted; see the session's event log")
@@ -114,7 +117,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             raise DiffError("a baseline holds hashes: summary and output do not apply")
         result = api.diff_baseline(spark, a.against, a.inputs[0], options)
     else:
-        result = api.diff(spark, *a.inputs, options)
+        with Progress(spark, on_terminal) if a.progress or sys.stderr.isatty() else nullcontext():
+            result = api.diff(spark, *a.inputs, options)
+        if sys.stderr.isatty():
+            sys.stderr.write("\r\x1b[K")
     for note in result.notes:
         print(note, file=sys.stderr)
     show(result.to_json() if a.format == "json" else reports.markdown(result, a.limit) if a.format == "markdown" else reports.human(result, a.limit, a.verbose))

@@ -153,6 +153,8 @@ def _catalogue() -> dict[str, tuple[Callable, str | None]]:
     out["diff_tolerance_abs"] = _rows(_tolerant(["0.01"], {v: "{d} <= 0.01" for v in _NUM}))
     out["diff_tolerance_counts"] = _counts(_tolerant(["0.01"], {v: "{d} <= 0.01" for v in _NUM}))
     out["diff_tolerance_relative"] = _stats(_tolerant(["o_totalprice=rel=1e-5"], {"o_totalprice": "{d} <= 1e-5 * greatest(abs({a}), abs({b}))"}))
+    raw = "SELECT o_orderkey, CAST(o_orderpriority AS BINARY) AS o_orderpriority, o_custkey FROM {orders}"
+    out["diff_bytes"] = _counts(Case(raw, raw.replace("CAST(o_orderpriority AS BINARY)", "CASE WHEN o_orderkey % 30 = 3 THEN CAST(concat(o_orderpriority, 'x') AS BINARY) ELSE CAST(o_orderpriority AS BINARY) END"), Options(key=["o_orderkey"]), values=("o_orderpriority", "o_custkey"), numeric=_NUM))
     out |= _multisets() | _selection() | _verdicts() | _infos() | _stored()
     return out
 
@@ -303,7 +305,10 @@ def _stored() -> dict:
     half = _orders(right=f"{part.format(ORDERS, '>=')} UNION ALL {part.format(ORDERS_2, '<')}")
     versions = lambda s, d: stored.delta_versions(s, *(_spark_sql(s, d, x) for x in (part.format(ORDERS, ">="), part.format(ORDERS, "<"), part.format(ORDERS_2, "<"))))
     out["delta_version_diff"] = versions, _counts(half)[1]
-    for name in ("csv", "ndjson", "parquet_partitioned"):
+    three = [f"SELECT * FROM ({ORDERS}) WHERE o_orderkey % 3 = {i}" for i in range(3)]
+    deleted = lambda s, d: stored.merge_on_read(s, [_spark_sql(s, d, x) for x in three], "o_orderkey % 50 = 3 OR o_custkey % 97 = 5")
+    out["iceberg_mor"] = deleted, _counts(_orders(right=f"SELECT * FROM ({ORDERS}) WHERE NOT (o_orderkey % 50 = 3 OR o_custkey % 97 = 5)"))[1]
+    for name in ("csv", "csv_gz", "ndjson", "parquet_partitioned"):
         out[f"diff_{name}_roundtrip"] = (lambda s, d, name=name: stored.round_trip(s, *_sides(s, d, _orders()), name), counts_sql)
     return out
 

@@ -102,3 +102,29 @@ def records(data: bytes) -> Iterator[dict]:
             yield _read(schema, part, names)
         if r.take(16) != mark:
             raise DiffError("avro: block marker does not match")
+
+
+def written(schema: dict, rows: list[dict]) -> bytes:
+    """An uncompressed container file of records with int, long, string, nullable and record fields."""
+
+    def long(n: int) -> bytes:
+        n, out = (n << 1) ^ (n >> 63), bytearray()
+        while n > 0x7F:
+            out.append(n & 0x7F | 0x80)
+            n >>= 7
+        return bytes([*out, n])
+
+    def blob(b: bytes) -> bytes:
+        return long(len(b)) + b
+
+    def value(t, v) -> bytes:
+        if isinstance(t, list):
+            i = t.index("null") if v is None else next(i for i, x in enumerate(t) if x != "null")
+            return long(i) + value(t[i], v)
+        if isinstance(t, dict):
+            return b"".join(value(f["type"], v.get(f["name"])) for f in t["fields"])
+        return b"" if t == "null" else long(v) if t in ("int", "long") else blob(v.encode())
+
+    head = {"avro.schema": json.dumps(schema).encode(), "avro.codec": b"null"}
+    body, mark = b"".join(value(schema, r) for r in rows), b"rowlens-avro-end"
+    return b"Obj\x01" + long(len(head)) + b"".join(blob(k.encode()) + blob(v) for k, v in head.items()) + long(0) + mark + long(len(rows)) + blob(body) + mark

@@ -203,7 +203,14 @@ def read_json(spark: SparkSession, paths: list[str], rows: int, tag: bool = Fals
         kinds[r["key"]] = (kind, r["n"] < total or "VOID" in r["kinds"])
     if not kinds:
         raise DiffError(f"{paths[0]}: no column can be compared")
-    get = lambda k: F.try_variant_get("v", "$['" + k.replace("'", "\\'") + "']", "string")
+    at = lambda k: "$['" + k.replace("'", "\\'") + "']"
+
+    def get(k: str) -> Column:
+        """The value as text; a nested one, which the sample did not show, fails the scan."""
+        text = F.try_variant_get("v", at(k), "string")
+        nested = (text.startswith("{") | text.startswith("[")) & F.schema_of_variant(F.try_variant_get("v", at(k), "variant")).rlike("^(OBJECT|ARRAY)")
+        return F.when(nested, F.raise_error(F.lit(f"column {k!r} holds a nested value")).cast("string")).otherwise(text)
+
     broken = F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("malformed JSON: "), F.substring("line", 1, 80))))
     return parsed.select(*(F.coalesce(broken.cast("string"), get(k)).alias(k) for k in kinds), *([PATH] if tag else [])), kinds, warnings
 

@@ -1,11 +1,8 @@
-"""Remote addresses: s3 paths become s3a for Spark's connector; http files are downloaded for the session."""
+"""Remote addresses: s3 paths become s3a for Spark's connector; http files are fetched to the shared folder."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -14,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from rowlens.errors import DiffError
 from rowlens.sources import formats
+from rowlens.sources.scratch import new_path
 
 
 def s3a(path: str) -> str:
@@ -28,18 +26,25 @@ def configure_s3(spark: SparkSession, endpoint: str) -> None:
 
 
 def localize(spark: SparkSession, path: str) -> str:
-    """A path that Spark can read. An http address has to name one file; it is fetched in pieces to a local folder."""
+    """A path that Spark can read. An http address has to name one file; it is fetched in pieces to the shared folder.
+    ``AWS_ENDPOINT_URL`` names a custom endpoint of s3 addresses."""
     if not path.startswith(("http://", "https://")):
+        if path != s3a(path) and (endpoint := os.environ.get("AWS_ENDPOINT_URL")):
+            configure_s3(spark, endpoint)
         return s3a(path)
     name = os.path.basename(urllib.parse.urlparse(path).path)
     if not formats.extension(name):
         raise DiffError(f"{path}: an http address has to name a data file; directories can't be listed")
-    folder = tempfile.mkdtemp(prefix="rowlens-http-")
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, name)
+    target = f"{new_path(spark, 'http')}/{name}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
     try:
-        with urllib.request.urlopen(path, timeout=60) as got, open(target, "wb") as out:
-            shutil.copyfileobj(got, out, 1 << 20)
+        with urllib.request.urlopen(path, timeout=60) as got:
+            out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+            try:
+                while part := got.read(1 << 20):
+                    out.write(bytearray(part))
+            finally:
+                out.close()
     except (urllib.error.URLError, OSError) as e:
         raise DiffError(f"{path}: {e}") from None
     return target

@@ -380,6 +380,38 @@ def test_directories_sample_each_file(spark, tmp_path):
         open_dataset(spark, f"{tmp_path}/d", infer_rows=-1)
 
 
+def test_nested_values_after_the_sample_are_refused(spark, tmp_path):
+    p = put(f"{tmp_path}/a.ndjson", '{"id": 1, "s": "{x"}\n{"id": 2, "s": "[1]"}\n{"id": 3, "s": {"n": 1}}\n')
+    df = open_dataset(spark, p, infer_rows=2).df
+    assert [r.s for r in df.where("id < 3").orderBy("id").collect()] == ["{x", "[1]"]
+    with pytest.raises(Exception, match="nested value"):
+        df.collect()
+
+
+def test_queries_that_sql_cannot_say(spark):
+    import xxhash
+
+    from rowlens import queries
+
+    def shown(x):
+        return None if x is None else "xxh:" + xxhash.xxh64_hexdigest(f"{x:.6f}".rstrip("0").rstrip(".").encode(), 0)[:8]
+
+    masked = {r.o_orderkey: r for r in queries.queries()["diff_mask"](spark, "/root/testdata/sf0.001").collect()}
+    plain = {r.o_orderkey: r for r in queries.queries()["diff_rows"](spark, "/root/testdata/sf0.001").collect()}
+    assert masked.keys() == plain.keys() and len(plain) > 20
+    for k, r in plain.items():
+        assert (masked[k].o_totalprice__left, masked[k].o_totalprice__right) == (shown(r.o_totalprice__left), shown(r.o_totalprice__right))
+
+
+def test_progress(spark, capsys):
+    from rowlens.output.progress import Progress
+
+    told = []
+    with Progress(spark, lambda *x: told.append(x), every=0.01):
+        spark.range(4_000_000, numPartitions=40).selectExpr("max(sha2(string(id), 256))").collect()
+    assert told and all(a <= b for a, b in told)
+
+
 def test_baseline(spark, tmp_path):
     left = spark.createDataFrame([(i, i % 5, f"s{i}") for i in range(50)], "id long, v long, s string")
     right = left.where("id <> 7").selectExpr("id", "case when id = 9 then 99 else v end v", "s").union(spark.createDataFrame([(100, 1, "x")], "id long, v long, s string"))
