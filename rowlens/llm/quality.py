@@ -175,10 +175,15 @@ def fit(stats: DataFrame, labels: DataFrame):
     spark = stats.sparkSession
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = materialize(stats.where(~F.col("base_failed")).join(labels, "doc_id"), "quality-labelled")
-    sample = labelled.where(F.col("quality") == 1).select(F.xxhash64("doc_id").alias("h"), "doc_id", *FEATURES).orderBy("h", "doc_id", *FEATURES).limit(SAMPLE).collect()
+    ends = labelled.agg(F.count_if(F.col("quality") == 1).alias("good"), *(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in FEATURES)).first()
+    hashed = labelled.where(F.col("quality") == 1).select(F.xxhash64("doc_id").alias("h"), "doc_id", *FEATURES)
+    least = lambda some: some.coalesce(8).orderBy("h", "doc_id", *FEATURES).limit(SAMPLE).collect()
+    top = -(1 << 63) + int((1 << 64) * min(1.0, 2 * SAMPLE / max(1, ends["good"])))  # twice as many as wanted lie below
+    sample = least(hashed if top >= 1 << 63 else hashed.where(F.col("h") < top))
+    if len(sample) < min(SAMPLE, ends["good"]):
+        sample = least(hashed)  # ids that many rows share
     if len(sample) < 2:
         return None, None
-    ends = labelled.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in FEATURES)).first()
     low, high = (np.array([ends[f"{n}_{c}"] for c in FEATURES]) for n in ("low", "high"))
     forest = spark.sparkContext.broadcast(Forest(np.array([[r[c] for c in FEATURES] for r in sample]), low, high))
     scored = labelled.select(F.col("quality").cast("int").alias("quality"), *FEATURES).mapInArrow(_scored(forest), ", ".join(["quality int", *(f"{c} double" for c in FEATURES), "anomaly double"]))

@@ -209,6 +209,18 @@ def test_quality(spark, stored, empty, rows):
     assert quality.judge(stored, none).where("kept = base_failed").count() == 0 and not quality.judge(empty, none).collect() and not quality.keep(empty, labels).collect()
 
 
+def test_quality_sample_is_the_least_by_hash(spark, stored, monkeypatch):
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(5, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    make = quality.Forest
+    monkeypatch.setattr(quality, "Forest", lambda rows, *a: seen.append(rows) or make(rows, *a))
+    for n in (5, 20_000):
+        monkeypatch.setattr(quality, "SAMPLE", n)
+        quality.judge(stored, labels)
+    few, whole = seen
+    assert len(few) == 5 < len(whole) and (few == whole[:5]).all()
+
+
 def test_clashing_names_in_the_pipeline(spark):
     rng = random.Random(3)
     names = ["__row", "__ROW_", "__n", "__keep", "__hash", "__rest", "hash", "rest", "fp", "root", "node", "mix", "mix_position", "mix_pass", "taken", "size", "h", "skey", "bucket", "a.b"]
