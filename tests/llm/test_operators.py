@@ -212,8 +212,8 @@ def test_quality(spark, stored, empty, rows):
 def test_quality_sample_is_the_least_by_hash(spark, stored, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(5, 40)], "doc_id long, quality int, toxic int")
     seen = []
-    make = quality.Forest
-    monkeypatch.setattr(quality, "Forest", lambda rows, *a: seen.append(rows) or make(rows, *a))
+    make = quality.Forest.__init__
+    monkeypatch.setattr(quality.Forest, "__init__", lambda self, rows, *a: seen.append(rows) or make(self, rows, *a))
     for n in (5, 20_000):
         monkeypatch.setattr(quality, "SAMPLE", n)
         quality.judge(stored, labels)
