@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.functions.canon import canonical, quoted
@@ -56,21 +56,20 @@ def classify(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
     g = _counted(left, right, plan)
     nk, nv = range(len(plan.keys)), range(len(plan.values))
 
-    def rows(df: DataFrame, times, inl: bool, inr: bool) -> DataFrame:
-        df = df.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    def rows(df: DataFrame, inl: Column, inr: Column) -> DataFrame:
         cols = [F.col(f"left.lk{i}").alias(f"lk{i}") for i in nk] + [F.col(f"right.rk{i}").alias(f"rk{i}") for i in nk]
-        cols += [(F.col(f"left.l{i}") if inl else F.lit(None).cast(_type(left, f.name))).alias(f"l{i}") for i, f in enumerate(plan.values)]
-        cols += [(F.col(f"right.r{i}") if inr else F.lit(None).cast(_type(right, f.name))).alias(f"r{i}") for i, f in enumerate(plan.values)]
-        return df.select(*cols, F.lit(inl).alias("inl"), F.lit(inr).alias("inr"))
-
-    same = rows(g.where((F.col("nl") > 0) & (F.col("nr") > 0)), F.least("nl", "nr"), True, True)
-    removed = rows(g.where((F.col("xl") > 0) & ~F.col("paired")), F.col("xl"), True, False)
-    added = rows(g.where((F.col("xr") > 0) & ~F.col("paired")), F.col("xr"), False, True)
-    out = same.unionByName(removed).unionByName(added)
+        cols += [F.when(inl, F.col(f"left.l{i}")).alias(f"l{i}") for i in nv] + [F.when(inr, F.col(f"right.r{i}")).alias(f"r{i}") for i in nv]
+        return df.select(*cols, inl.alias("inl"), inr.alias("inr"))
+
+    # a distinct row gives what cancels, as often as it does, and what is left on one side, unless that is one half of a pair
+    none, left_over = F.lit(0).cast("long"), F.when(F.col("paired"), F.lit(0).cast("long")).otherwise(F.col("xl") + F.col("xr"))
+    part = lambda n, inl, inr: F.struct(n.cast("long").alias("n"), inl.alias("inl"), inr.alias("inr"))
+    out = g.withColumn("__p", F.explode(F.array(part(F.least("nl", "nr"), F.lit(True), F.lit(True)), part(left_over, F.col("xl") > 0, F.col("xr") > 0)))).where(F.col("__p.n") > none)
+    out = rows(out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__p.n")))), F.col("__p.inl"), F.col("__p.inr"))
     if plan.keys:
         pair = g.where(F.col("paired") & ((F.col("xl") > 0) | (F.col("xr") > 0)))
         one = pair.groupBy(*(f"c{i}" for i in nk)).agg(F.max(F.when(F.col("xl") > 0, F.col("left"))).alias("left"), F.max(F.when(F.col("xr") > 0, F.col("right"))).alias("right"))
-        out = out.unionByName(rows(one, F.lit(1).cast("long"), True, True))
+        out = out.unionByName(rows(one, F.lit(True), F.lit(True)))
     return classified.judge(out.select(*classified.key_columns(plan), *(f"l{i}" for i in nv), *(f"r{i}" for i in nv), "inl", "inr"), plan)
 
 
