@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.errors import DiffError
@@ -108,18 +108,24 @@ def _run(spark: SparkSession, left: Dataset, right: Dataset, options: Options) -
     whole = options.keyless or options.on_dup == "match"
     if options.max_diff is not None and not whole and not options.output and options.mode != "stream" and _blown(out, a, b, plan, options):
         return out
-    if not whole and options.on_dup == "error":
-        keyed.refuse_duplicates(a, b, plan)
+    unique = not whole and options.on_dup == "error"
+    sizes = keyed.refuse_duplicates(a, b, plan) if unique else None
     if options.summary:
         counted = multiset.counts(a, b, plan) if whole else keyed.count_first(keyed.classify_first(a, b, plan)) if options.on_dup == "warn" else keyed.summarize(a, b, plan)
         _fill(out, counted.first().asDict())
         return out
     rows = multiset.classify(a, b, plan) if whole else _classified(a, b, plan, options)
     counts = [*classified.count_columns(), *(keyed.dup_columns() if options.on_dup == "warn" else [])]
-    names = len(counts)
-    row, differing, path = _written(spark, rows, [*counts, *classified.stat_columns(plan)])
+    aggregates, path = [*counts, *classified.stat_columns(plan)], scratch.new_path(spark, "differing")
     try:
-        _fill(out, dict(list(row.items())[:names]))
+        if unique and not plan.tolerant:  # one join: unchanged rows are what is left of a side
+            differing = classified.detailed(_written(spark, keyed.classify(a, b, plan, details=False), path), plan)
+            row = differing.agg(*aggregates).first().asDict()
+            row["left_rows"], row["right_rows"] = sizes
+            row["unchanged"] = sizes[0] - row["removed"] - row["changed"]
+        else:
+            differing, row = None, rows.agg(*aggregates).first().asDict()
+        _fill(out, dict(list(row.items())[: len(counts)]))
         if options.on_dup == "match":
             per = multiset.counts(a, b, plan).first()
             out.dup_keys, out.dup_rows = per["dup_keys"], per["dup_rows"]
@@ -129,10 +135,12 @@ def _run(spark: SparkSession, left: Dataset, right: Dataset, options: Options) -
             if out.added + out.removed + out.changed > most:
                 out.aborted, out.abort_reason = True, f"budget of {most} exceeded: {out.added + out.removed + out.changed} rows differ"
                 return out
+        if differing is None and (not out.rows_same and options.limit or options.output):
+            differing = _written(spark, rows, path)
         if not out.rows_same:
             if plan.keys and out.changed:
-                out.column_stats = classified.stats_of(row, plan)
-            for r in classified.examples(differing, plan, options.limit).collect():
+                out.column_stats = classified.stats_of(row, plan, out.changed + out.unchanged + out.within_tolerance)
+            for r in classified.examples(differing, plan, options.limit).collect() if options.limit else []:
                 if r["status"] == classified.CHANGED:
                     out.changed_examples.append({"key": r["key"], "columns": [c.asDict() for c in r["columns"]]})
                 else:
@@ -149,12 +157,10 @@ def _classified(a: DataFrame, b: DataFrame, plan: Plan, options: Options) -> Dat
     return (keyed.classify_first if options.on_dup == "warn" else keyed.classify)(a, b, plan)
 
 
-def _written(spark: SparkSession, rows: DataFrame, aggregates: list) -> tuple[dict, DataFrame, str]:
-    """One pass over classified rows: aggregates over all of them, and the differing ones, which are written on the way."""
-    path, seen = scratch.new_path(spark, "differing"), Observation()
-    differs = F.col("status").isin(classified.ADDED, classified.REMOVED, classified.CHANGED)
-    rows.observe(seen, *aggregates).where(differs).write.parquet(path)
-    return seen.get, spark.read.schema(rows.schema).parquet(path), path
+def _written(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """The differing ones of classified rows, written to the shared folder, so that what follows joins nothing."""
+    rows.where(F.col("status").isin(classified.ADDED, classified.REMOVED, classified.CHANGED)).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _blown(out: Result, a: DataFrame, b: DataFrame, plan: Plan, options: Options) -> bool:

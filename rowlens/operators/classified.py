@@ -38,7 +38,7 @@ def differences(plan: Plan) -> list[tuple[Column, Column, Column]]:
     return out
 
 
-def judge(pairs: DataFrame, plan: Plan) -> DataFrame:
+def judge(pairs: DataFrame, plan: Plan, details: bool = True) -> DataFrame:
     """Classify rows with columns k*, l*, r*, inl, inr (presence)."""
     diffs = differences(plan)
     any_of = lambda cols: F.array_contains(F.array(*cols), True) if len(cols) > 40 else _or(cols)
@@ -48,10 +48,16 @@ def judge(pairs: DataFrame, plan: Plan) -> DataFrame:
             status = status.when(any_of([b for _, b, _ in diffs]), CHANGED).when(any_of([d for d, _, _ in diffs]), WITHIN)
         else:
             status = status.when(any_of([d for d, _, _ in diffs]), CHANGED)
-    pairs = pairs.withColumn("status", status.otherwise(UNCHANGED))
-    changed = F.col("status") == CHANGED
+    pairs = pairs.withColumn("status", status.otherwise(UNCHANGED)).drop("inl", "inr")
+    return detailed(pairs, plan) if details else pairs
+
+
+def detailed(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Rows with a status, and of each value whether and how far it differs. Best computed on differing rows read back: beside
+    the join, the many expressions make one method that the JVM does not compile."""
+    changed, diffs = F.col("status") == CHANGED, differences(plan)
     extra = {f"d{i}": changed & b for i, (_, b, _) in enumerate(diffs)} | {f"a{i}": F.when(changed & b, dist) for i, (_, b, dist) in enumerate(diffs)}
-    return pairs.withColumns(extra).drop("inl", "inr") if extra else pairs.drop("inl", "inr")
+    return rows.withColumns(extra) if extra else rows
 
 
 def _or(cols: list[Column]) -> Column:
@@ -90,9 +96,8 @@ def stat_columns(plan: Plan) -> list[Column]:
     return out
 
 
-def stats_of(row: dict, plan: Plan) -> dict[str, dict]:
-    """Statistics of the changed columns from a row of :func:`stat_columns`, most changes first."""
-    n = row["compared"]
+def stats_of(row: dict, plan: Plan, n: int) -> dict[str, dict]:
+    """Statistics of the changed columns from a row of :func:`stat_columns`, most changes first; n: rows on both sides."""
     some = [(v.name, {"numeric": v.numeric, "changed": c, "match_rate": 1 - c / n if n else 1.0, "max_abs_diff": row[f"max{i}"], "mean_abs_diff": row[f"mean{i}"]}) for i, v in enumerate(plan.values) if (c := row[f"n{i}"])]
     return dict(sorted(some, key=lambda x: (-x[1]["changed"], x[0])))
 

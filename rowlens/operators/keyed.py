@@ -24,11 +24,11 @@ def _joined(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
     return left.withColumn("inl", F.lit(True)).join(right.withColumn("inr", F.lit(True)), on, "full_outer").withColumns({"inl": F.coalesce("inl", F.lit(False)), "inr": F.coalesce("inr", F.lit(False))})
 
 
-def classify(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
+def classify(left: DataFrame, right: DataFrame, plan: Plan, details: bool = True) -> DataFrame:
     """Keys are taken to be unique on each side (see :func:`duplicates`)."""
     j = _joined(classified.side(left, plan, "l"), classified.side(right, plan, "r"), plan)
     cols = [f"{s}{i}" for s in "lr" for i in range(len(plan.values))]
-    return classified.judge(j.select(*classified.key_columns(plan), *cols, "inl", "inr"), plan)
+    return classified.judge(j.select(*classified.key_columns(plan), *cols, "inl", "inr"), plan, details)
 
 
 def summarize(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
@@ -52,15 +52,18 @@ def duplicates(df: DataFrame, plan: Plan, which: str = "l") -> DataFrame:
     return found.select(key.alias("key"), "n")
 
 
-def refuse_duplicates(left: DataFrame, right: DataFrame, plan: Plan) -> None:
-    """One job over the keys of both sides."""
+def refuse_duplicates(left: DataFrame, right: DataFrame, plan: Plan) -> tuple[int, int]:
+    """One job over the keys of both sides; the rows of each, if no key stands twice on a side. It runs before the join,
+    which a key that many rows share on both sides would blow up."""
     by = [f"c{i}" for i in range(len(plan.keys))]
-    keys = lambda df, s: classified.side(df, plan, s).select(F.lit(s).alias("side"), *by)
-    both = keys(left, "l").union(keys(right, "r")).groupBy("side", *by).agg(F.count("*").alias("n")).where("n > 1")
-    if found := both.select("side").limit(1).collect():
-        s = found[0]["side"]
-        hit = duplicates(left if s == "l" else right, plan, s).first()
-        raise DiffError(f"key {hit['key']} stands {hit['n']} times on the {'left' if s == 'l' else 'right'} side; see on-dup warn and match")
+    keys = lambda df, s: classified.side(df, plan, s).select(F.lit(s == "l").alias("side"), *by)
+    both = keys(left, "l").union(keys(right, "r")).groupBy("side", *by).agg(F.count("*").alias("n"))
+    found = {r["side"]: r for r in both.groupBy("side").agg(F.sum("n").alias("rows"), F.max("n").alias("most")).collect()}
+    for side, df, s, name in ((True, left, "l", "left"), (False, right, "r", "right")):
+        if side in found and found[side]["most"] > 1:
+            hit = duplicates(df, plan, s).first()
+            raise DiffError(f"key {hit['key']} stands {hit['n']} times on the {name} side; see on-dup warn and match")
+    return tuple(found[s]["rows"] if s in found else 0 for s in (True, False))
 
 
 def classify_first(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
