@@ -131,15 +131,15 @@ def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds at most 8 MB of text or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most about ``most`` bytes of text or one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if sizes.sum() <= 8 << 20:
+        if sizes.sum() <= most:
             if len(sizes):
                 yield batch
             continue
-        part = np.cumsum(sizes) // (8 << 20)
+        part = np.cumsum(sizes) // most
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:

@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from rowlens.llm.common import ROW_KIND, free, materialize, mix64, remove, row_keyed, scratch, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
+#: Words of a text, and bytes of texts, that are hashed at once.
+STRETCH, TEXT_BYTES = 20_000, 1 << 20
 #: Least chance that a pair at the distance of a link meets, where the search is not complete to it.
 RECALL = 0.96
 #: Nearest candidates of a row in a group that meets, besides the spanning ones.
@@ -58,13 +60,16 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     words = text.lower().split()
     if len(words) <= k:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[: len(words) - k])]
-    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], np.uint64)
+    out, h = np.empty(len(words) - k + 1, np.uint64), xxhash.xxh64_intdigest
+    for i in range(0, len(out), STRETCH):  # a long text's words are joined a stretch at a time
+        some = words[i : i + STRETCH + k - 1]
+        joined, ends, at = b" ".join(some), [], -1
+        for w in some:
+            at += len(w) + 1
+            ends.append(at)
+        starts = [0, *(e + 1 for e in ends[: len(some) - k])]
+        out[i : i + STRETCH] = [h(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)]
+    return out
 
 
 def fingerprints(texts: list[bytes], k: int, width: int = 1) -> np.ndarray:
@@ -84,7 +89,7 @@ def prints_of(hashes: list[np.ndarray], width: int = 1) -> np.ndarray:
         lanes = (mix64(every + np.uint64(0x9E3779B97F4A7C15 * w & (1 << 64) - 1)) if w else every).astype(">u8").view(np.uint8).reshape(-1, 8)
         got = np.empty((len(some), 8), np.uint8)
         for j in range(8):
-            ones = np.add.reduceat(np.unpackbits(np.ascontiguousarray(lanes[:, j])[:, None], axis=1), starts, axis=0, dtype=np.int64)
+            ones = np.add.reduceat(np.unpackbits(np.ascontiguousarray(lanes[:, j])[:, None], axis=1), starts, axis=0, dtype=np.int32)
             got[:, j] = np.packbits(2 * ones > n[:, None], axis=1)[:, 0]
         out[some, w] = got.view(">u8")[:, 0].astype(np.uint64)
     return out
@@ -105,7 +110,7 @@ def fingerprint(docs: DataFrame, id_col="doc_id", text_col="text", k=3, width=1)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, TEXT_BYTES):
             ids = b.column(b.schema.get_field_index(id_col)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, _to_binary(fingerprints(utf8(b, text_col), k, width))], ["doc_id", "fp"])
 
@@ -452,7 +457,7 @@ def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_BYTES):
             sets = [np.unique(shingle_hashes(t, k)) for t in utf8(b, "text")]
             named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
             size = np.array([len(x) for x in sets], np.uint64)

@@ -335,6 +335,18 @@ def test_shares_within_slots_sum_to_one():
         assert (layout.page(h) % buckets == h % buckets).all() and layout.page(h).max() < layout.pages
 
 
+def test_shingles_of_long_texts_are_hashed_in_stretches(monkeypatch):
+    import xxhash
+
+    texts = [b" ".join(b"w%d" % (i * i % 17) for i in range(n)) for n in (0, 1, 2, 3, 9, 10, 11, 12, 13, 25, 60)]
+    for stretch in (1, 2, 10, 20_000):
+        monkeypatch.setattr(simhash, "STRETCH", stretch)
+        for t in texts:
+            w = t.split()
+            want = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+            assert simhash.shingle_hashes(t, 3).tolist() == want
+
+
 def test_nearest_spans_what_links_with_few_pairs():
     rng = np.random.default_rng(6)
     for n in (3, 4, 40, 300):
