@@ -6,7 +6,7 @@ the class (32; together a *slot*) and the token among those of its slot,
     P(token | history) = P(class | history) P(member | class, history) P(token | slot).
 
 The first two are softmaxes over sums of hashed features: a bias, the word before, the word before that (skip) and both
-(n-gram). Slots come from counts: each of the ``OWN`` commonest tokens has one of its own, so the history predicts the
+(n-gram). Slots come from counts over all training texts: each of the ``OWN`` commonest tokens has one of its own, so the history predicts the
 token itself; the rest of the head (see :mod:`rowlens.llm.postings`) shares ``MIDDLE`` slots by rank; all other tokens share
 ``TAIL`` slots by hash, each dealt into pages. Within a shared slot a token has its smoothed share: of the slot's
 training tokens in the middle, of the page's in the tail (and the page of the slot's), with one place on each page for
@@ -30,7 +30,6 @@ result. The input has to be a deterministic plan, such as a scan.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import materialize, mix64, pack, partitions_of, slices, small_batches, unpack
-from rowlens.llm.postings import HEAD, ROWS, Ids, blocks, column, commonest, counted, header, ids_of, met, numbered, opened, rows_of, sums_by_block, unpacked
+from rowlens.llm.postings import HEAD, ROWS, Ids, blocks, column, commonest_of_all, counted, header, ids_of, met, numbered, opened, rows_of, sums_by_block, unpacked
 
 CLASSES, MEMBERS = 32, 32
 #: Slots of each kind; they fill all members of all classes.
@@ -294,15 +293,17 @@ def _crc(id_col: str):
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
 
 
-def _sampled(texts: pa.Array) -> Counter:
+def _keys(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Distinct tokens that may be in the head, and how often each occurs."""
     words, at, _ = tokens(texts)
-    return Counter({w: n for w, n in zip(words.to_pylist(), np.bincount(at, minlength=len(words)).tolist(), strict=True) if len(w) <= KEY_BYTES})
+    some = np.flatnonzero(pc.binary_length(words).to_numpy() <= KEY_BYTES)
+    return words.take(pa.array(some)).to_pylist(), np.bincount(at, minlength=len(words))[some]
 
 
 def layout_of(docs: DataFrame, id_col="doc_id", text_col="text", head: int = HEAD) -> Layout:
-    """Slots from a bounded sample of the training texts."""
+    """Slots from the tokens' counts over all training texts."""
     buckets = partitions_of(docs)
-    found = commonest(docs.where(_crc(id_col) % HELD_OUT != 0), text_col, buckets, lambda: _sampled, head)
+    found = commonest_of_all(docs.where(_crc(id_col) % HELD_OUT != 0), text_col, buckets, _keys, head)
     return Layout([w for w, _ in found], buckets)
 
 

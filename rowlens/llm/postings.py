@@ -1,11 +1,12 @@
 """Frequencies of keys in documents, packed by block of documents and bucket of keys.
 
 What token counts and LM scoring share: each wants, for every document, a sum over its keys of frequency times a value that
-only all documents together give. The commonest keys (``HEAD``, found in a bounded sample) are broadcast with
+only all documents together give. The commonest keys (``HEAD``) are broadcast with
 what is known of them and summed where the text is read, so no key that many documents hold is sent. Of the others, a block
 sends one row to each bucket: the bucket's keys in the block, and for each key its documents and frequencies as arrays. Rows of a
-bucket meet in one exchange; sums go back to their block in a second one. Which keys are in the head changes
-no result.
+bucket meet in one exchange; sums go back to their block in a second one. Which keys are in the head changes no sum, so
+token counts find them in a bounded sample (:func:`commonest`); where a model is made of them, they come from exact counts
+over all texts (:func:`commonest_of_all`).
 
 There are as many buckets as input splits, so what a task holds stays the same while the input grows. Rows number at most blocks
 times buckets and never more than postings.
@@ -178,3 +179,59 @@ def commonest(docs: DataFrame, text_col: str, splits: int, keys_of, n: int = HEA
     found = docs.select(text_col).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = found.coalesce(8)  # each partition sends its first n rows to the driver; the sample is small
     return [(bytes(r["key"]), r["n"]) for r in found.orderBy(F.desc("n"), "key").limit(n).collect()]
+
+
+_COUNTED = "part long, keys binary, counts binary"
+
+
+def _counted_row(part: int, keys: list[bytes], counts) -> pa.RecordBatch:
+    row = [part], [_GAP.join(keys)], [pack(np.asarray(counts, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(row)], [x.split()[0] for x in _COUNTED.split(", ")])
+
+
+def _summed_counts(rows) -> dict[bytes, int]:
+    total: dict[bytes, int] = {}
+    for keys, counts in rows:
+        for k, c in zip(keys.split(_GAP), unpack(counts, np.int64).tolist(), strict=True):
+            total[k] = total.get(k, 0) + c
+    return total
+
+
+def _first(total: dict[bytes, int], n: int) -> list[tuple[bytes, int]]:
+    some = total.items()
+    if len(total) > n:  # keys under the n-th count cannot be among the first
+        counts = np.fromiter(total.values(), np.int64, len(total))
+        least = np.partition(counts, len(counts) - n)[len(counts) - n]
+        some = [x for x in some if x[1] >= least]
+    return sorted(some, key=lambda x: (-x[1], x[0]))[:n]
+
+
+def commonest_of_all(docs: DataFrame, text_col: str, buckets: int, keys_of, n: int = HEAD) -> list[tuple[bytes, int]]:
+    """The commonest keys of all texts with their frequencies; commonest first, then by key.
+
+    keys_of: turns the texts of a block into distinct keys and their frequencies. Every key is summed whole in the task of
+    its bucket, which sends its ``n`` first on; those of tasks are merged in groups, as many as the root of ``buckets``,
+    and on the driver."""
+    if not n:
+        return []
+    small_batches(docs.sparkSession)
+    fan = int(buckets**0.5) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in blocks(batches, text_col):
+            keys, freqs = keys_of(texts)
+            bucket = np.fromiter((crc32(k) for k in keys), np.int64, len(keys)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+            for a, z in zip(starts, [*starts[1:], len(keys)], strict=False):
+                yield _counted_row(int(bucket[order[a]]), [keys[i] for i in order[a:z]], freqs[order[a:z]])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _first(_summed_counts(r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)), n)
+        if top:
+            yield _counted_row(TaskContext.get().partitionId() % fan, *map(list, zip(*top, strict=True)))
+
+    found = docs.select(text_col).mapInArrow(count, _COUNTED)
+    for groups in (buckets, fan):
+        found = found.repartition(groups, "part").mapInArrow(merge, _COUNTED)
+    return _first(_summed_counts((bytes(r["keys"]), bytes(r["counts"])) for r in found.collect()), n)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import zlib
+from collections import Counter
 
 import brute
 import pytest
@@ -341,6 +343,22 @@ def test_language_model(stored, empty, rows, monkeypatch):
     assert scored_as(got(langmodel.score(none)), sorted(brute.language_model([(None, rows[11][1])]), key=str))
 
 
+def test_language_model_takes_its_slots_from_all_training_texts(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 6) if i < 700 else f"late{i % 40} " * (3 + i % 7) + "x" * 50) for i in range(1000)]  # the common tokens stand last
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    count = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % langmodel.HELD_OUT:
+            count.update([*(w for w in t.encode().split() if len(w) <= langmodel.KEY_BYTES), b""])
+    want = sorted(count, key=lambda w: (-count[w], w))
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for n in (1, 25, 60, 10**6):
+        assert langmodel.layout_of(docs, head=n).array.to_pylist() == want[:n]
+        assert langmodel.layout_of(docs.repartition(7, "doc_id"), head=n).array.to_pylist() == want[:n]
+    assert sum(w.startswith(b"late") for w in want[:60]) > 30
+
+
 def test_language_model_beats_single_words_on_held_out_texts(spark, tmp_path):
     rng = random.Random(2)
     chain = {w: [f"w{(i * 7 + j) % 60}" for j in (1, 2)] for i, w in enumerate(f"w{i}" for i in range(60))}
