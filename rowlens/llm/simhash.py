@@ -18,10 +18,11 @@ bits link; beyond ``complete`` bits (where ``within`` is larger) the plan is the
 ``within`` bits meets with a chance of at least ``RECALL``, however many rows there are.
 Components are the smallest ids reachable, by alternating star contractions written to the shared folder.
 
-Dropping rows. :func:`deduplicate` fingerprints the set of a text's shingles and takes links as candidates only: an edge
-counts if the shingle sets of its ends have the Jaccard similarity asked for. In a group that meets, the candidates are a
-least spanning forest by bits and each row's nearest: a number that grows with the rows and not with their pairs. So a link is
-missed where the pair is too far apart in bits, or where nearer pairs on all ways between its ends fail.
+Dropping rows. :func:`deduplicate` fingerprints the set of a text's shingles and takes links as candidates only. A group that
+meets gives a spanning forest of its candidates, so rows that candidates connect are a class. Of a class all pairs are held to the
+Jaccard similarity asked for, set against set: every candidate, and pairs that did not meet themselves. Only pairs that are
+connected already are left out. Classes that are too large for a task are dealt by the sets' sizes, then into blocks, each pair
+of which is a group of its own. So a link is missed only where no candidates connect its ends.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a text shorter than a shingle is
 one shingle; null ids are ignored when a component takes its smallest id (null if all are); rows that share a doc_id
@@ -46,8 +47,10 @@ SEED, BLOCK = 42, 4096
 STRETCH, TEXT_BYTES = 20_000, 1 << 20
 #: Least chance that a pair at the distance of a link meets, where the search is not complete to it.
 RECALL = 0.96
-#: Nearest candidates of a row in a group that meets, besides the spanning ones.
+#: Nearest candidates of a row that :func:`nearest` gives besides the spanning ones, if not told otherwise.
 NEAREST = 3
+#: Sets, and shingles in all, beyond which a class is dealt into blocks; a group holds two blocks.
+CLASS_SETS, CLASS_SHINGLES = 4096, 1 << 20
 #: Groups that a component is dealt into where its smallest id goes back to its members.
 SALTS = 16
 #: The row key that near-dedup gives its input.
@@ -378,7 +381,7 @@ def _linked(within: int, words: int, similarity: float | None = None):
             a.append(two[near]), b.append(two[near] + 1)
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             part = fps[s : s + n], probe[s : s + n], within
-            x, y = spanning(*part) if similarity is None else nearest(*part, words, similarity)
+            x, y = spanning(*part) if similarity is None else nearest(*part, words, similarity, 0)
             a.append(x + s), b.append(y + s)
         yield from named(col, a, b)
 
@@ -467,54 +470,122 @@ def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
     return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} {ROW_KIND}, doc_id {kind}, hash long, rest long, fp binary")
 
 
-def _sets_of(edges: DataFrame, keyed: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
-    """node and its packed sorted shingle hashes (32 bits of each), of one row for each node of ``edges``."""
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    some = distinct.join(ends, "fp", "left_semi").select(F.col("least").alias(ROW), F.col("fp").alias("node"))
+def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that connect all those with at least the Jaccard similarity. Where sides differ, only pairs across
+    them are looked at. Every such pair is compared unless its ends are connected already."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]  # the empty set is like no other
+    a, b = [], []
+    if len(order) < 2:
+        return np.array(a, np.int64), np.array(b, np.int64)
+    size, side = size[order], side[order]
+    flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].reshape(-1)
+    starts = np.cumsum(size) - size
+    own = np.zeros(int(flat.max()) + 1, np.int32)
+    both = bool(side.any() and not side.all())
+    out, todo = np.ones(len(order), bool), []
+    left, words, at_word, n = np.arange(len(order)), flat, starts, size  # sets not reached, some reached ones among them
+    while True:
+        there = out[left]
+        if there.sum() * 2 < len(left):
+            words = words[np.repeat(there, n)]
+            left, n = left[there], n[there]
+            at_word, there = np.cumsum(n) - n, there[there]
+        if not there.any():
+            break
+        if not todo:
+            todo = [left[int(np.argmax(there))]]
+            out[todo[0]] = there[int(np.argmax(there))] = False
+        at = todo.pop()
+        i, j = np.searchsorted(n, similarity * size[at] - 1e-6), np.searchsorted(n, size[at] / similarity + 1e-6, "right")
+        if not there[i:j].any():
+            continue
+        mine = flat[starts[at] : starts[at] + size[at]]
+        own[mine] = 1
+        end = at_word[j] if j < len(left) else len(words)
+        same = np.add.reduceat(own[words[at_word[i] : end]], at_word[i:j] - at_word[i])
+        own[mine] = 0
+        near = there[i:j] & (same >= similarity * (size[at] + n[i:j] - same) - 1e-9)
+        if both:
+            near &= side[left[i:j]] != side[at]
+        new = left[i:j][near]
+        out[new] = False
+        a += [order[at]] * len(new)
+        b += order[new].tolist()
+        todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _places(tree: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of each node in a class its row's key, the class and the groups it belongs to. Sizes of sets that are alike lie at most one
+    level apart; a group of a large class holds a level and the next."""
+    roots = tree.select(F.col("root").alias("node")).distinct()
+    nodes = tree.select("node", "root").union(roots.select("node", F.col("node").alias("root")))
+    size = F.conv(F.hex(F.substring("fp", 8 * width + 1, 8)), 16, 10).cast("long")
+    nodes = distinct.join(nodes, distinct["fp"] == nodes["node"]).select("node", F.col("least").alias(ROW), "root", size.alias("size"))
+    nodes = materialize(nodes, "simhash-class")
+    parts = F.greatest(F.ceil(F.count("*") / CLASS_SETS), F.ceil(F.sum("size") / CLASS_SHINGLES)).cast("int").alias("parts")
+    large = nodes.groupBy("root").agg(parts).where("parts > 1").select("root", F.lit(True).alias("large"))
+    level = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-log(0.99 * similarity))).cast("int")
+    nodes = nodes.join(F.broadcast(large), "root", "left").withColumn("level", F.explode(F.when(F.col("large"), F.array(level, level - 1)).otherwise(F.array(F.lit(0)))))
+    dealt = nodes.where("large").groupBy("root", "level").agg(parts).where("parts > 1")
+    nodes = nodes.join(F.broadcast(dealt), ["root", "level"], "left")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    place = lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi"), (F.col("own") > o).alias("side"))
+    return nodes.withColumn("own", own).select("node", ROW, "root", "level", F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), place).alias("places"))
+
+
+def _sets_of(places: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """Nodes with their sorted shingle hashes, once for each group they belong to."""
     small_batches(keyed.sparkSession)
+    kept = ["node", "root", "level", "places"]
+    kinds = "node binary, root binary, level int, places array<struct<lo: int, hi: int, side: boolean>>, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            sets = [np.unique((shingle_hashes(t, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for b in slices(batches, "text", TEXT_BYTES):
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in utf8(b, "text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+
+    sets = keyed.select(ROW, "text").join(places, ROW).select(*kept, "text").mapInArrow(run, kinds)
+    return sets.withColumn("place", F.explode("places")).select("root", "level", "place.lo", "place.hi", "place.side", "node", "shingles")
 
-    return keyed.select(ROW, "text").join(some, ROW).select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges that connect all sets of a class with at least the Jaccard similarity ``similarity``."""
 
-def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of a, b those whose shingle sets have at least the Jaccard similarity ``similarity``."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    def edges(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, nodes, shingles = zip(*held, strict=True)
+        a, b = similar([np.frombuffer(x, np.uint64) for x in shingles], np.array(side), similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.binary()) for x in (a.tolist(), b.tolist())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for *key, side, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group:
+                    if len(held) > 1:
+                        yield from edges(held)
+                    group, held = key, []
+                held.append((side, node, shingles))
+        if len(held) > 1:
+            yield from edges(held)
 
-    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    at = ["root", "level", "lo", "hi"]
+    return sets.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a binary, b binary")
 
 
 def similar_sets(keyed: DataFrame, distinct: DataFrame, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
     """(node, root) over nodes that shingle sets of at least ``similarity`` link; None if there are under two nodes.
 
-    What meets within ``within`` bits is a candidate; of these a group gives what :func:`nearest` says, at most ``NEAREST`` + 1
-    for each row. A candidate is a link if the sets themselves have the similarity. Within ``sure`` bits, where sets below
-    the similarity would lie four deviations off, no sets are fetched."""
+    What meets within ``within`` bits is a candidate; rows that candidates connect are a class, whose sets are compared."""
     n, both = bit_statistics(distinct, 64 * width)
     if n < 2:
         return None
     groups, thresholds, _ = allocate(n, both, complete, width, within=within)
-    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(ordered(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity))), "simhash-edges")
-    sure = bits_for(similarity, 64 * width, -4.0)
-    apart = lambda x, y: sum(F.bit_count(F.conv(F.hex(F.substring(x, 8 * w + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(y, 8 * w + 1, 8)), 16, -10).cast("long"))) for w in range(width))
-    bits = apart("a", "b")
-    doubtful = edges.where(bits > sure)
-    good = materialize(edges.where(bits <= sure).union(_verified(doubtful, materialize(_sets_of(doubtful, keyed, distinct, k), "simhash-sets"), similarity)), "simhash-good")
+    classes = components(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity)))
+    good = materialize(_verified(_sets_of(_places(classes, distinct, width, similarity), keyed, k), similarity), "simhash-good")
     return components(good)
 
 

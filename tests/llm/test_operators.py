@@ -131,6 +131,31 @@ def test_deduplicate_verifies_shingle_sets(spark, tmp_path):
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == want
 
 
+@pytest.mark.parametrize("block", [None, 16])
+def test_deduplicate_loses_no_candidate(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(simhash, "CLASS_SETS", block)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(300)]
+    docs = {}
+    for i in range(70):  # all have about 0.74 with one another, many are nearer in bits than the two of a pair with 0.81
+        own = [word() for _ in range(52)]
+        docs[i] = " ".join([*shared, *own])
+        if i % 7 == 0:
+            docs[1000 + i] = " ".join([*shared, *own[:15], *(word() for _ in range(37))])
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for i, t in docs.items()}
+    root = {i: i for i in docs}
+    for i in docs:
+        for j in docs:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = {x: root[i] if r == root[j] else r for x, r in root.items()}
+    want = {min(j for j in docs if root[j] == r) for r in set(root.values())}
+    assert len(want) == 70
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == want
+
+
 def test_deduplicate_tells_rows_apart(spark):
     rng = random.Random(6)
     text = [prose(rng, 60) for _ in range(6)]

@@ -368,6 +368,30 @@ def test_nearest_spans_what_links_with_few_pairs():
         assert classes(zip(a.tolist(), b.tolist(), strict=True)) == classes((x, y) for x in range(n) for y in range(x) if allowed(x, y))
 
 
+def test_similar_sets_are_all_connected():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 30, 150):
+        base = rng.integers(0, 1 << 63, (4, 60), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[i % 4][: rng.integers(20, 60)], rng.integers(0, 1 << 63, rng.integers(0, 14), dtype=np.uint64)])) for i in range(n)] + [np.empty(0, np.uint64)]
+        for side in (np.zeros(n + 1, bool), rng.random(n + 1) < 0.4):
+            across = side.any() and not side.all()
+
+            def alike(x, y):
+                same = len(np.intersect1d(sets[x], sets[y]))
+                return bool(len(sets[x]) and len(sets[y]) and (side[x] != side[y] or not across) and same >= 0.8 * (len(sets[x]) + len(sets[y]) - same) - 1e-9)
+
+            def classes(pairs):
+                root = list(range(n + 1))
+                for x, y in pairs:
+                    x, y = root[x], root[y]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+                return root
+
+            a, b = simhash.similar(sets, side, 0.8)
+            assert len(a) <= n and all(alike(x, y) for x, y in zip(a, b, strict=True))
+            assert classes(zip(a.tolist(), b.tolist(), strict=True)) == classes((x, y) for x in range(n) for y in range(x) if alike(x, y))
+
+
 def test_public_template_markup_and_labels(spark):
     public = "Permission <<beginOptional>> is hereby <<endOptional>> granted by <<var;name=\"who\";original=\"me\";match=\".{0,3}\">> to <<var;name=who;match=\"any person|all  People\">>, end."
     assert licenses.parse(public) == ["permission", ("opt", ["is", "hereby"]), "granted", "by", ("var", 3), "to", ("any", [["any", "person"], ["all", "people"]]), "end"]
