@@ -156,6 +156,23 @@ def test_deduplicate_loses_no_candidate(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == want
 
 
+def test_deduplicate_finds_pairs_that_are_far_apart_in_bits(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs, far = {}, 0
+    for i in range(200):  # 160 of 198 shingles shared
+        shared = [word() for _ in range(164)]
+        pair = [" ".join([*shared, *(word() for _ in range(19))]) for _ in range(2)]
+        sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in pair]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        docs |= {2 * i: pair[0], 2 * i + 1: pair[1]}
+        one, two = simhash.fingerprints([t.encode() for t in pair], 5, 4)
+        far += sum(int(x ^ y).bit_count() for x, y in zip(one, two, strict=True)) > simhash.bits_for(0.8, 256)
+    assert far > 0
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == set(range(0, 400, 2))
+
+
 def test_deduplicate_tells_rows_apart(spark):
     rng = random.Random(6)
     text = [prose(rng, 60) for _ in range(6)]
