@@ -78,12 +78,12 @@ def list_files(path: str) -> tuple[list[str], str]:
     return files, root
 
 
-def _read(spark: SparkSession, files: list[str], ext: str, infer_rows: int, delimiter: str, text_columns: frozenset, tag: bool = False) -> tuple[DataFrame, list, list[str]]:
-    """A table of files of one format, the raw text behind it, and warnings. tag: with each row's file."""
+def _read(spark: SparkSession, files: list[str], ext: str, infer_rows: int, delimiter: str, text_columns: frozenset, tag: bool = False, found=None) -> tuple[DataFrame, list, list[str]]:
+    """A table of files of one format, the raw text behind it, and warnings. tag: with each row's file; found: kinds and warnings that are known."""
     if ext == ".parquet":
         return formats.read_parquet(spark, files, tag), [], []
     if ext in formats.JSON:
-        raw, kinds, warnings = formats.read_json(spark, files, infer_rows, tag)
+        raw, kinds, warnings = formats.read_json(spark, files, infer_rows, tag, found)
         empty_is_text = False
     else:
         raw, warnings, empty_is_text = formats.read_text(spark, files, formats.delimiter_of(delimiter, formats.TEXT[ext]), tag), [], True
@@ -155,8 +155,9 @@ def open_dataset(spark: SparkSession, path: str, infer_rows: int = 1000, delimit
         groups.setdefault(formats.extension(f), []).append(f)
     parts, raws, warnings = [], [], []
     for ext, some in groups.items():
-        for batch in _same_schema(some, ext):
-            df, raw, warn = _read(spark, batch, ext, infer_rows, delimiter, text_columns, True)
+        batches = [(g[0], g[1:]) for g in formats.json_groups(spark, some, infer_rows)] if ext in formats.JSON else [(b, None) for b in _same_schema(some, ext)]
+        for batch, found in batches:
+            df, raw, warn = _read(spark, batch, ext, infer_rows, delimiter, text_columns, True, found)
             parts.append(df)
             raws += raw
             warnings += [f"{batch[0]}: {w}" for w in warn]

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,19 +101,37 @@ def infer(df: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bo
     return {n: (_kind(row, i), bool(row[f"e{i}"])) for i, n in enumerate(names)}
 
 
-def infer_by_file(raw: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bool]]:
-    """As :func:`infer`, file by file over the first rows of each split of a tagged table, the files' kinds united.
+def first_rows(df: DataFrame, rows: int) -> DataFrame:
+    """The first rows of each split (all if ``rows`` is negative); a split is not read beyond the batch they are in."""
+    most = rows or 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = most
+        for b in batches:
+            yield b.slice(0, left)
+            left -= b.num_rows
+            if left <= 0:
+                return
+
+    return df if rows < 0 else df.mapInArrow(run, df.schema)
+
 
-    For the sample, splits are cut so that none holds two files, and rows are numbered within them."""
-    spark, option = raw.sparkSession, "spark.sql.files.openCostInBytes"
+@contextmanager
+def files_apart(spark: SparkSession) -> Iterator[None]:
+    """Splits of jobs that run inside hold no two files."""
+    option = "spark.sql.files.openCostInBytes"
     before = spark.conf.get(option)
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     try:
         spark.conf.set(option, spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        some = raw if rows < 0 else raw.withColumn("__at", at).where(F.col("__at") < (rows or 1000)).drop("__at")
-        found = some.groupBy(PATH).agg(*_ladder(names)).orderBy(PATH).collect()
+        yield
     finally:
         spark.conf.set(option, before)
+
+
+def infer_by_file(raw: DataFrame, names: list[str], rows: int) -> dict[str, tuple[str, bool]]:
+    """As :func:`infer`, file by file over the first rows of each split of a tagged table, the files' kinds united."""
+    with files_apart(raw.sparkSession):
+        found = first_rows(raw, rows).groupBy(PATH).agg(*_ladder(names)).orderBy(PATH).collect()
     out: dict[str, tuple[str, bool]] = {}
     for row in found:
         for i, n in enumerate(names):
@@ -168,41 +188,83 @@ def _header(line: str, delimiter: str) -> list[str] | None:
     return next(csv.reader([line], delimiter=delimiter), None) if line.count('"') % 2 == 0 else None
 
 
-def read_json(spark: SparkSession, paths: list[str], rows: int, tag: bool = False) -> tuple[DataFrame, dict[str, tuple[str, bool]], list[str]]:
-    """NDJSON as strings under its sampled keys, their kinds, and warnings for nested columns."""
+def _json_lines(spark: SparkSession, paths: list[str], tag: bool) -> DataFrame:
+    """Lines that are not blank; with ``tag`` also each one's file."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     path = [F.col("_metadata.file_path").alias(PATH)] if tag else []
-    parsed = spark.read.text(paths).where(F.trim("value") != "").select(F.try_parse_json("value").alias("v"), F.col("value").alias("line"), *path)
-    some = parsed if rows < 0 else parsed.limit(rows or 1000)
-    some.createOrReplaceTempView("__rowlens_lines")
-    total, bad = spark.sql("select count(*), count_if(v is null or schema_of_variant(v) not like 'OBJECT%') from __rowlens_lines").first()
-    if not total:
-        raise DiffError(f"{paths[0]}: no records")
-    if bad:
-        raise DiffError(f"{paths[0]}: a line is not a JSON object")
+    return spark.read.text(paths).where(F.trim("value") != "").select(F.col("value").alias("line"), *path)
+
+
+def _json_kind(r) -> str:
+    """The narrowest kind of a key's sampled values; empty for nested ones."""
+    seen = {k for k in r["kinds"] if k != "VOID"}
+    if seen & {"OBJECT", "ARRAY"}:
+        return ""
+    if seen == {"STRING"}:
+        return "timestamp" if r["stamps"] else "date" if r["dates"] else "string"
+    if seen == {"BOOLEAN"}:
+        return "bool"
+    if seen and not seen & {"STRING", "BOOLEAN"}:
+        return "long" if seen == {"BIGINT"} and r["whole"] else "double"
+    return "string"
+
+
+def infer_json(lines: DataFrame, name: str) -> dict[str, tuple[dict[str, tuple[str, bool]], list[str]]]:
+    """For each file of sampled lines (one without a tag) the kinds of its keys and warnings for nested columns; files without records are left out."""
+    spark, tagged = lines.sparkSession, PATH in lines.columns
+    file = f"`{PATH}`" if tagged else "''"
+    lines.select(F.try_parse_json("line").alias("v"), *([PATH] if tagged else [])).createOrReplaceTempView("__rowlens_lines")
+    text = "try_variant_get(value, '$', 'string')"
+    totals = spark.sql(f"select {file} file, count(*) n, count_if(v is null or schema_of_variant(v) not like 'OBJECT%') bad from __rowlens_lines group by all order by file").collect()
+    for r in totals:
+        if r["bad"]:
+            raise DiffError(f"{r['file'] or name}: a line is not a JSON object")
     found = spark.sql(
-        "select key, collect_set(regexp_replace(schema_of_variant(value), '[(<].*', '')) kinds, count(*) n, "
-        "bool_and(coalesce(try_variant_get(value, '$', 'string') rlike '" + STAMP.replace("\\", "\\\\") + "', true)) stamps, bool_and(coalesce(try_variant_get(value, '$', 'string') rlike '" + DATE + "', true)) dates, "
-        "bool_and(coalesce(try_variant_get(value, '$', 'string') rlike '^[+-]?[0-9]+$', true)) whole from __rowlens_lines, lateral variant_explode(v) group by key order by key"
+        f"select {file} file, key, collect_set(regexp_replace(schema_of_variant(value), '[(<].*', '')) kinds, count(*) n, "
+        f"bool_and(coalesce({text} rlike '" + STAMP.replace("\\", "\\\\") + f"', true)) stamps, bool_and(coalesce({text} rlike '" + DATE + f"', true)) dates, "
+        f"bool_and(coalesce({text} rlike '^[+-]?[0-9]+$', true)) whole from __rowlens_lines, lateral variant_explode(v) group by all order by file, key"
     ).collect()
     spark.catalog.dropTempView("__rowlens_lines")
-    kinds, warnings = {}, []
+    total = {r["file"]: r["n"] for r in totals}
+    out: dict = {f: ({}, []) for f in total}
     for r in found:
-        seen = {k for k in r["kinds"] if k != "VOID"}
-        if seen & {"OBJECT", "ARRAY"}:
-            warnings.append(f"column {r['key']!r} skipped: nested values are not compared")
-            continue
-        if seen == {"STRING"}:
-            kind = "timestamp" if r["stamps"] else "date" if r["dates"] else "string"
-        elif seen == {"BOOLEAN"}:
-            kind = "bool"
-        elif seen and not seen & {"STRING", "BOOLEAN"}:
-            kind = "long" if seen == {"BIGINT"} and r["whole"] else "double"
+        kinds, warnings = out[r["file"]]
+        if kind := _json_kind(r):
+            kinds[r["key"]] = (kind, r["n"] < total[r["file"]] or "VOID" in r["kinds"])
         else:
-            kind = "string"
-        kinds[r["key"]] = (kind, r["n"] < total or "VOID" in r["kinds"])
-    if not kinds:
-        raise DiffError(f"{paths[0]}: no column can be compared")
+            warnings.append(f"column {r['key']!r} skipped: nested values are not compared")
+    for f, (kinds, _) in out.items():
+        if not kinds:
+            raise DiffError(f"{f or name}: no column can be compared")
+    return out
+
+
+def json_groups(spark: SparkSession, paths: list[str], rows: int) -> list[tuple[list[str], dict[str, tuple[str, bool]], list[str]]]:
+    """Files whose keys have the same kinds in the first lines of each split, so that they can be read together; files
+    without records (which a writer leaves for an empty partition) are in none."""
+    with files_apart(spark):
+        found = infer_json(first_rows(_json_lines(spark, paths, True), rows), paths[0])
+    if not found:
+        raise DiffError(f"{paths[0]}: no records")
+    known = {fs.qualified(p): p for p in paths}
+    groups: dict = {}
+    for f, (kinds, warnings) in found.items():
+        some, united, warned = groups.setdefault(tuple((k, kind) for k, (kind, _) in kinds.items()), ([], {}, warnings))
+        some.append(known[fs.qualified(f, encoded=True)])
+        united |= {k: (kind, null or united.get(k, ("", False))[1]) for k, (kind, null) in kinds.items()}
+        warned += [w for w in warnings if w not in warned]
+    return list(groups.values())
+
+
+def read_json(spark: SparkSession, paths: list[str], rows: int, tag: bool = False, found=None) -> tuple[DataFrame, dict[str, tuple[str, bool]], list[str]]:
+    """NDJSON as strings under its sampled keys, their kinds, and warnings for nested columns (found: both, if they are known)."""
+    lines = _json_lines(spark, paths, tag)
+    if found is None:
+        found = infer_json(lines if rows < 0 else lines.limit(rows or 1000), paths[0]).get("")
+        if not found:
+            raise DiffError(f"{paths[0]}: no records")
+    kinds, warnings = found
+    parsed = lines.select(F.try_parse_json("line").alias("v"), "line", *([PATH] if tag else []))
     at = lambda k: "$['" + k.replace("'", "\\'") + "']"
 
     def get(k: str) -> Column:

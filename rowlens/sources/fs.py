@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob as globbing
 import os
+import re
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -50,6 +52,14 @@ def is_file(path: str) -> bool:
     return s is not None and s.isFile()
 
 
+def qualified(path: str, encoded: bool = False) -> str:
+    """A path as its file system names it, for paths to be told apart however they are written; ``encoded``: it is an address that Spark gave."""
+    if encoded:
+        return re.sub("^file:/+", "/", unquote(path))
+    _, system, p = _open(path)
+    return qualified(system.makeQualified(p).toUri().toString(), True)
+
+
 def names(folder: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     if is_local(folder):

@@ -81,6 +81,23 @@ def test_formats_agree(spark, tmp_path):
         assert r.rows_same and r.unchanged == 60 and not [c for c in r.schema.type_changes], p
 
 
+def test_ndjson_folders_with_files_without_records(spark, tmp_path):
+    from rowlens.sources.formats import json_groups
+
+    put(f"{tmp_path}/d/part-0.ndjson", "")
+    put(f"{tmp_path}/d/part-1 %41.ndjson", '{"id":1,"v":2}\n')
+    put(f"{tmp_path}/d/part-2.ndjson", ' \n{"id":2,"v":2.5}\n')
+    files = [put(f"{tmp_path}/d/part-3.ndjson", '{"id":3,"v":1,"s":"x"}\n'), put(f"{tmp_path}/d/part-4.ndjson", '{"id":4,"v":null,"s":"y"}\n{"id":5,"v":7,"s":"z"}\n')]
+    d = open_dataset(spark, f"{tmp_path}/d")
+    assert sorted(map(tuple, d.df.select("id", "v", "s").collect())) == [(1, 2.0, None), (2, 2.5, None), (3, 1.0, "x"), (4, None, "y"), (5, 7.0, "z")]
+    assert not d.contradictions()
+    ((some, of, _),) = json_groups(spark, files, 1000)
+    assert some == files and of == {"id": ("long", False), "v": ("long", True), "s": ("string", False)}
+    put(f"{tmp_path}/e/part-0.ndjson", "")
+    with pytest.raises(DiffError, match="no records"):
+        open_dataset(spark, f"{tmp_path}/e")
+
+
 def test_ndjson_kinds(spark, tmp_path):
     p = put(f"{tmp_path}/a.ndjson", '{"i":1,"f":1.5,"b":true,"t":"2024-01-01T00:00:00Z","m":1,"o":{"x":1},"s":"a"}\n{"i":2,"f":3,"b":null,"t":"2024-01-01T00:00:00Z","m":"x","i":3}\n')
     d = open_dataset(spark, p)
