@@ -171,8 +171,10 @@ def _same_schema(files: list[str], ext: str) -> list[list[str]]:
     def key(f: str) -> str:
         if ext == ".parquet":
             return formats.schema_text(f)
-        if ext in formats.TEXT and not f.endswith(formats.PACKED):
-            return fs.read(f, 0, HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8", "replace")
+        if ext in formats.TEXT:
+            line, ends, _ = formats.unpacked(f, fs.read(f, 0, HEADER_BYTES), HEADER_BYTES).partition(b"\n")
+            if ends and line.count(b'"') % 2 == 0 or not f.endswith(formats.PACKED):
+                return line.decode("utf-8", "replace")
         return f
 
     groups: dict = {}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -44,6 +45,18 @@ def extension(path: str) -> str:
     return ext if ext in TEXT or ext in JSON or ext == ".parquet" and not packed else ""
 
 
+def unpacked(path: str, start: bytes, most: int) -> bytes:
+    """What the first bytes of a file hold, at most ``most`` bytes of it; nothing if they can't be unpacked."""
+    if not path.endswith(PACKED):
+        return start
+    try:
+        if path.endswith(".gz"):
+            return zlib.decompressobj(31).decompress(start, most)
+        return pa.CompressedInputStream(pa.BufferReader(start), "zstd").read(1 << 16)
+    except (zlib.error, OSError):
+        return b""
+
+
 def delimiter_of(spec: str, default: str) -> str:
     if not spec:
         return default
@@ -70,7 +83,8 @@ def value_as(c: Column, kind: str) -> Column:
     if kind == "timestamp":
         cut = F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]{6})[0-9]+", "$1"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
         zoned = F.when(cut.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), cut).otherwise(F.concat(cut, F.lit("Z")))
-        return F.when(c.rlike(STAMP), zoned.try_cast("timestamp"))
+        short = c.endswith("Z") & (F.length(c) <= 27)  # nothing to cut, and most values: three patterns less for each
+        return F.when(c.rlike(STAMP), F.when(short, c).otherwise(zoned).try_cast("timestamp"))
     return c
 
 
@@ -139,7 +153,7 @@ def infer_by_file(raw: DataFrame, names: list[str], rows: int) -> dict[str, tupl
             if was != kind and {was, kind} != {"long", "double"}:
                 raise DiffError(f"column {n!r} is {was} in one file and {kind} in another ({row[PATH]})")
             out[n] = (kind if was == kind else "double", null or bool(row[f"e{i}"]))
-    return out
+    return out or dict.fromkeys(names, ("string", False))  # no file has rows
 
 
 def typed_columns(raw: DataFrame, kinds: dict[str, tuple[str, bool]], empty_is_text: bool) -> DataFrame:

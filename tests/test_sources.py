@@ -81,6 +81,36 @@ def test_formats_agree(spark, tmp_path):
         assert r.rows_same and r.unchanged == 60 and not [c for c in r.schema.type_changes], p
 
 
+def test_packed_csv_folder_is_one_scan(spark, tmp_path):
+    for i in range(3):
+        put(f"{tmp_path}/d/part-{i}.csv.gz", "id,t,s\n" + "".join(f"{j},2024-01-01T00:00:0{j}.000Z,x{j}\n" for j in range(3 * i, 3 * i + 3)))
+    put(f"{tmp_path}/d/part-4.csv.gz", "id,t,s\n")
+    put(f"{tmp_path}/d/other.csv.gz", "id,n\n9,1.5\n")
+    d = open_dataset(spark, f"{tmp_path}/d")
+    assert len(d.raw) == 2 and not d.contradictions()
+    want = [(i, 1704067200000000 + 1000000 * i, f"x{i}", None) for i in range(9)] + [(9, None, None, 1.5)]
+    assert sorted(map(tuple, d.df.selectExpr("id", "unix_micros(t)", "s", "n").collect())) == want
+    put(f"{tmp_path}/e/a.csv.gz", "id,t\n")
+    e = open_dataset(spark, f"{tmp_path}/e")
+    assert e.df.columns == ["id", "t"] and not e.df.count()
+
+
+@pytest.mark.parametrize("text", ["2024-01-01T00:00:00Z", "2024-01-01 00:00:00.5", "2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.123456789Z", "2024-01-01T00:00:00+0200", "2024-01-01T00:00:00.1234567-02:30", "2024-13-01T00:00:00Z", "2024-01-01T00:00Z"])
+def test_timestamps_of_all_forms(spark, text):
+    from datetime import datetime, timezone
+
+    from rowlens.sources.formats import value_as
+
+    if "T00:00Z" in text or "-13-" in text:
+        want = None
+    else:
+        t = datetime.fromisoformat(text)
+        t = t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+        want = round((t - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds() * 10**6)
+    df = spark.createDataFrame([(text,)], "c string")
+    assert df.select(value_as(df.c, "timestamp").alias("t")).selectExpr("unix_micros(t)").first()[0] == want
+
+
 def test_ndjson_folders_with_files_without_records(spark, tmp_path):
     from rowlens.sources.formats import json_groups
 
