@@ -18,12 +18,14 @@ bits link; beyond ``complete`` bits (where ``within`` is larger) the plan is the
 ``within`` bits meets with a chance of at least ``RECALL``, however many rows there are.
 Components are the smallest ids reachable, by alternating star contractions written to the shared folder.
 
-Dropping rows. :func:`deduplicate` fingerprints the set of a text's shingles and takes links as candidates only. A group that
-meets gives a spanning forest of its candidates, so rows that candidates connect are a class. Of a class all pairs are held to the
-Jaccard similarity asked for, set against set: every candidate, and pairs that did not meet themselves. Only pairs that are
-connected already are left out. Classes that are too large for a task are dealt by the sets' sizes, then into blocks, each pair
-of which is a group of its own. So a link is missed only where no candidates connect its ends: beyond ``complete`` bits with the chance
-that :data:`RECALL` leaves, and beyond ``SLACK`` standard deviations.
+Dropping rows. :func:`deduplicate` fingerprints the set of a text's shingles and takes links as candidates only. Its search is by
+prefixes, whose cost grows with the texts, not with pairs of rows: the shingles of all sets are put in one order, and two sets of a
+Jaccard similarity s share one of the first (1 - s) * size + 1 of each, so every such pair meets. Shingles that are common in a bounded
+sample come last in the order, so that few rows meet under one; any order finds the same pairs. A group that meets gives a spanning
+forest of its candidates, so rows that candidates connect are a class. Of a class all pairs are held to the Jaccard similarity asked
+for, set against set: every candidate, and pairs that did not meet themselves. Only pairs that are connected already are left out.
+Classes that are too large for a task are dealt by the sets' sizes, then into blocks, each pair of which is a group of its own. So a
+link is missed only where no candidates connect its ends, beyond ``SLACK`` standard deviations of bits.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a text shorter than a shingle is
 one shingle; null ids are ignored when a component takes its smallest id (null if all are); rows that share a doc_id
@@ -33,7 +35,7 @@ are separate rows of one component if their texts are near; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, comb, log, log1p, pi
+from math import acos, ceil, comb, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ROW_KIND, free, materialize, mix64, remove, row_keyed, scratch, slices, small_batches, utf8
+from rowlens.llm.common import ROW_KIND, free, materialize, mix64, partitions_of, remove, row_keyed, scratch, slices, small_batches, utf8
 
 SEED, BLOCK = 42, 4096
 #: Words of a text, and bytes of texts, that are hashed at once.
@@ -54,6 +56,10 @@ SLACK = 4.0
 NEAREST = 3
 #: Sets, and shingles in all, beyond which a class is dealt into blocks; a group holds two blocks.
 CLASS_SETS, CLASS_SHINGLES = 4096, 1 << 20
+#: Texts that are sampled for common shingles, the least share of them that makes one common, and how many there may be.
+SAMPLED, COMMON_SHARE, COMMON = 16_384, 0.0005, 65_536
+#: Groups that a task remembers, so as not to send one again.
+KNOWN_GROUPS = 1 << 19
 #: Groups that a component is dealt into where its smallest id goes back to its members.
 SALTS = 16
 #: The row key that near-dedup gives its input.
@@ -293,15 +299,16 @@ def _probed(groups: list[list[int]], thresholds: list[int], words: int):
     return run
 
 
-def spanning(fps: np.ndarray, probe: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect what links within ``within`` bits, in a group that meets; two probes alone don't meet."""
+def spanning(fps: np.ndarray, probe: np.ndarray, within: int, words: int = 0, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect what links within ``within`` bits, in a group that meets; two probes alone don't meet. With a
+    similarity rows are nodes, whose sets' sizes have to allow it."""
     left = np.argsort(probe, kind="stable")
     a, b = [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1) <= within
+            near = (np.bitwise_count(fps[left] ^ fps[at]).sum(1) if similarity is None else _bits_apart(fps, probe, at, left, words, similarity)) <= within
             if probe[at]:
                 near &= ~probe[left]
             if near.any():
@@ -383,8 +390,7 @@ def _linked(within: int, words: int, similarity: float | None = None):
                 near = _bits_apart(fps, probe, two, two + 1, words, similarity) <= within
             a.append(two[near]), b.append(two[near] + 1)
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            part = fps[s : s + n], probe[s : s + n], within
-            x, y = spanning(*part) if similarity is None else nearest(*part, words, similarity, 0)
+            x, y = spanning(fps[s : s + n], probe[s : s + n], within, words, similarity)
             a.append(x + s), b.append(y + s)
         yield from named(col, a, b)
 
@@ -402,7 +408,11 @@ def links(distinct: DataFrame, bits: int, complete: int, within: int, block: int
 
 def meetings(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], words: int, linked, block: int = BLOCK) -> DataFrame:
     """The distinct edges that ``linked`` finds where rows meet under a value."""
-    probes = distinct.select("fp").mapInArrow(_probed(groups, thresholds, words), "key long, probe boolean, fp binary")
+    return met(distinct.select("fp").mapInArrow(_probed(groups, thresholds, words), "key long, probe boolean, fp binary"), linked, block)
+
+
+def met(probes: DataFrame, linked, block: int = BLOCK) -> DataFrame:
+    """The distinct edges that ``linked`` finds in groups of rows with one key."""
     heavy = materialize(probes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-heavy")
     if heavy.limit(1).count():
         probes = probes.join(heavy, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
@@ -457,8 +467,45 @@ def bits_for(similarity: float, bits: int, slack: float = 2.0) -> int:
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
-def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
-    """Of every row its key, id, hashes of text and other columns, and node: fingerprint, size and 128-bit hash of its shingle set."""
+def common_shingles(keyed: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that are common in a bounded sample (the first rows of each partition), the commonest last."""
+    small_batches(keyed.sparkSession)
+    each = -(-SAMPLED // partitions_of(keyed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = each
+        for b in batches:
+            for some in slices([b.slice(0, left)], "text", TEXT_BYTES):
+                every = np.concatenate([np.unique(shingle_hashes(t, k)) for t in utf8(some, "text")])
+                h, n = np.unique(every, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            left -= b.num_rows
+            if left <= 0:
+                return
+
+    least = max(8, int(SAMPLED * COMMON_SHARE))
+    counts = keyed.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()["h"].to_numpy()
+    return np.ascontiguousarray(found[::-1]).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of a sorted set of hashes the first in the order of all sets that any set of at least the similarity shares one of:
+    by hash, then common ones (sorted, each with its rank) by rank."""
+    if len(common) and len(shingles):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        known = common[at] == shingles
+        if known.any():
+            shingles = np.concatenate([shingles[~known], shingles[known][np.argsort(rank[at[known]])]])
+    n = len(shingles)
+    return shingles[: n - ceil(similarity * n - 1e-6) + 1]
+
+
+def _shingle_sets(keyed: DataFrame, k: int, width: int, similarity: float) -> DataFrame:
+    """Of every row its key, id, hashes of text and other columns, node (fingerprint, size and 128-bit hash of its shingle set) and prefix."""
+    by_rank = common_shingles(keyed, k)
+    rank = np.argsort(by_rank, kind="stable")
+    common = by_rank[rank]
     small_batches(keyed.sparkSession)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
@@ -468,9 +515,59 @@ def _shingle_sets(keyed: DataFrame, k: int, width: int) -> DataFrame:
             named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">u8").reshape(-1, 2).astype(np.uint64)
             size = np.array([len(x) for x in sets], np.uint64)
             nodes = _to_binary(np.concatenate([prints_of(sets, width), size[:, None], named], 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, "doc_id", "hash", "rest")), nodes], [ROW, "doc_id", "hash", "rest", "fp"])
+            first = [prefix(x, similarity, common, rank) for x in sets]
+            first = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), np.concatenate(first).astype(np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (ROW, "doc_id", "hash", "rest")), nodes, first], [ROW, "doc_id", "hash", "rest", "fp", "prefix"])
+
+    return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} {ROW_KIND}, doc_id {kind}, hash long, rest long, fp binary, prefix array<long>")
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, file, at), sorted by key, the groups of two and more, each named by its members so that shingles
+    which the same rows share are one group."""
+    rest, known = None, set()
+
+    def groups(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff([*starts, t.num_rows])
+        file, at = t["file"].to_numpy(), t["at"].to_numpy()
+        names = np.add.reduceat(mix64(file.view(np.uint64) ^ mix64(at.view(np.uint64))), starts)
+        new = []
+        for i in np.flatnonzero(sizes > 1).tolist():
+            if (name := int(names[i])) not in known:
+                new.append(i)
+                known.add(name)
+        if len(known) > KNOWN_GROUPS:
+            known.clear()
+        if new:
+            kept = np.zeros(len(starts), bool)
+            kept[new] = True
+            rows = np.repeat(kept, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[kept], sizes[kept]).view(np.int64)), pa.array(file[rows]), pa.array(at[rows])], ["key", "file", "at"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        if rest and rest[0]["key"][0] == t["key"][0] == t["key"][-1]:
+            rest.append(t)  # a group goes on
+            continue
+        t = pa.concat_tables([*(rest or []), t])
+        key = t["key"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        if len(starts) > 1:
+            yield from groups(t.slice(0, int(starts[-1])), starts[:-1])
+        rest = [t.slice(int(starts[-1]))]
+    if rest:
+        yield from groups(pa.concat_tables(rest), np.zeros(1, np.int64))
 
-    return keyed.select(ROW, "doc_id", F.xxhash64("text").alias("hash"), "rest", "text").mapInArrow(run, f"{ROW} {ROW_KIND}, doc_id {kind}, hash long, rest long, fp binary")
+
+def sharing(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Groups (key, probe, fp) of distinct nodes that share a shingle of their prefixes."""
+    nodes = distinct.select("fp", F.col("least.file").alias("file"), F.col("least.at").alias("at"))
+    firsts = prints.select(ROW, "prefix").join(distinct.select(F.col("least").alias(ROW)), ROW, "left_semi")
+    posts = firsts.select(F.explode("prefix").alias("key"), f"{ROW}.file", f"{ROW}.at").repartition("key").sortWithinPartitions("key")
+    groups = posts.mapInArrow(_sharing, "key long, file long, at long").distinct()
+    return materialize(groups.join(nodes, ["file", "at"]).select("key", F.lit(False).alias("probe"), "fp"), "simhash-met")
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -579,15 +676,13 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a binary, b binary")
 
 
-def similar_sets(keyed: DataFrame, distinct: DataFrame, k: int, similarity: float, width: int, complete: int, within: int) -> DataFrame | None:
+def similar_sets(keyed: DataFrame, prints: DataFrame, distinct: DataFrame, k: int, similarity: float, width: int, within: int) -> DataFrame | None:
     """(node, root) over nodes that shingle sets of at least ``similarity`` link; None if there are under two nodes.
 
     What meets within ``within`` bits is a candidate; rows that candidates connect are a class, whose sets are compared."""
-    n, both = bit_statistics(distinct, 64 * width)
-    if n < 2:
+    if distinct.limit(2).count() < 2:
         return None
-    groups, thresholds, _ = allocate(n, both, complete, width, within=within)
-    classes = components(meetings(distinct, groups, thresholds, width, _linked(within, width, similarity)))
+    classes = components(met(sharing(prints, distinct), _linked(within, width, similarity)))
     good = materialize(_verified(_sets_of(_places(classes, distinct, width, similarity), keyed, k), similarity), "simhash-good")
     return components(good)
 
@@ -602,9 +697,9 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", k=5, similari
     rest = F.xxhash64(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)))
     keyed = rows.select(F.col(row).alias(ROW), F.col(id_col).alias("doc_id"), rest.alias("rest"), F.col(text_col).alias("text"))
     with scratch() as made:
-        prints = materialize(_shingle_sets(keyed, k, width), "simhash-fp")
+        prints = materialize(_shingle_sets(keyed, k, width, similarity), "simhash-fp")
         distinct = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("least")), "simhash-distinct")
-        tree = similar_sets(keyed, distinct, k, similarity, width, complete, within)
+        tree = similar_sets(keyed, prints, distinct, k, similarity, width, within)
         rooted = prints.withColumn("root", F.col("fp")) if tree is None else prints.join(tree, prints["fp"] == tree["node"], "left").withColumn("root", F.coalesce("root", "fp"))
         first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "rest", ROW)).alias("first"))
         kept = materialize(first.select(F.col(f"first.{ROW}").alias(ROW)), "simhash-kept")  # rows are told by their own key, never dealt by root

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 
 from rowlens.llm import decontaminate, langmodel, licenses, mixing, postings, quality, secretscan, simhash, substrings, tokencount, warc
@@ -173,6 +174,46 @@ def test_deduplicate_finds_pairs_that_are_far_apart_in_bits(spark):
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == set(range(0, 400, 2))
 
 
+def test_deduplicate_meets_rows_by_their_prefixes(spark, monkeypatch):
+    """Pairs meet in numbers that grow with the texts: rows that are alike in bits of their fingerprints but share no shingle never do."""
+    monkeypatch.setattr(simhash, "COMMON_SHARE", 0)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line, docs = [word() for _ in range(12)], {}
+    for i in range(60):  # a line that all share, each second text a near copy of the one before
+        docs[2 * i] = " ".join([*line, *(own := [word() for _ in range(90)])])
+        docs[2 * i + 1] = " ".join([*line, *own[:-3], *(word() for _ in range(3))])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    seen, real = [], simhash.sharing
+
+    def counted(*args):
+        seen.append(real(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(simhash, "sharing", counted)
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == set(range(0, 120, 2))
+    monkeypatch.setattr(simhash, "remove", lambda t: None)
+    monkeypatch.setattr(simhash.scratch, "__exit__", lambda *_: None)
+    simhash.deduplicate(df)
+    sizes = [r["count"] for r in seen[-1].groupBy("key").count().collect()]
+    assert sizes and max(sizes) == 2 and len(sizes) <= 120
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 9, 10, 40, 301):
+        for _ in range(40):
+            every = np.unique(rng.integers(0, 1 << 63, 2 * n + 4).astype(np.uint64))
+            lost = rng.integers(0, n // 5 + 1)
+            one, two = every[:n], np.unique(np.concatenate([every[lost:n], every[n : n + max(0, n // 9 - lost)]]))
+            if len(np.intersect1d(one, two)) < 0.8 * len(np.union1d(one, two)):
+                continue
+            by_rank = rng.permutation(np.unique(rng.choice(every, n)))
+            rank = np.argsort(by_rank, kind="stable")
+            a, b = (simhash.prefix(x, 0.8, by_rank[rank], rank) for x in (one, two))
+            assert len(np.intersect1d(a, b)) and len(a) <= 0.2 * n + 1
+
+
 def test_deduplicate_tells_rows_apart(spark):
     rng = random.Random(6)
     text = [prose(rng, 60) for _ in range(6)]
